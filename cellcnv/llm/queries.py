@@ -5,8 +5,12 @@ from __future__ import annotations
 from .bpe import op8_byte_bpe
 from .classifier import op1_quality_classifier
 from .packing import op9_packing
+from .pii import op7_pii
 from .rules import op5_quality_rules
 from .simhash import op6_simhash
+from .suffixes import op4_suffix_dedup
+from .templates import OP10_SQL, op10_line_dedup
+from .warc import op2_warc
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op5_quality_rules, op6_simhash, op8_byte_bpe, op9_packing)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_warc, op4_suffix_dedup, op5_quality_rules, op6_simhash, op7_pii, op8_byte_bpe, op9_packing, op10_line_dedup)}
+ORACLE_SQL = {"op10_line_dedup": OP10_SQL}
