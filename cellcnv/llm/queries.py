@@ -7,10 +7,11 @@ from .classifier import op1_quality_classifier
 from .packing import op9_packing
 from .pii import op7_pii
 from .rules import op5_quality_rules
+from .search import op3_search
 from .simhash import op6_simhash
 from .suffixes import op4_suffix_dedup
 from .templates import OP10_SQL, op10_line_dedup
 from .warc import op2_warc
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_warc, op4_suffix_dedup, op5_quality_rules, op6_simhash, op7_pii, op8_byte_bpe, op9_packing, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_warc, op3_search, op4_suffix_dedup, op5_quality_rules, op6_simhash, op7_pii, op8_byte_bpe, op9_packing, op10_line_dedup)}
 ORACLE_SQL = {"op10_line_dedup": OP10_SQL}

@@ -203,7 +203,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns."""
-    forest, threshold = fit(stored(rule_statistics(docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")), "rule-stats"), labels)
+    forest, threshold = fit(stored(rule_statistics(docs), "rule-stats"), labels)
 
     @F.pandas_udf("boolean")
     def good(text: pd.Series) -> pd.Series:
