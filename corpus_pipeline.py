@@ -1,35 +1,55 @@
 """A corpus pipeline of five stages over the documents table.
 
 Each stage takes all rows that the one before it kept and returns the columns of documents; the last one
-returns packed pieces.
+returns packed pieces. Stages that change a text set n_chars (where the table has it) to the new length.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cellcnv.llm import packing, rules, simhash
+from cellcnv.llm import packing, pii, rules, simhash, templates
 from cellcnv.llm.common import stored, table
 
 #: An isolation forest isn't expressible in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
+def _measured(docs: DataFrame) -> DataFrame:
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
     return rules.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Recurring lines go, but for the first of each template."""
+    return _measured(templates.without_recurring_lines(docs))
+
+
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
     return simhash.one_of_each(docs)
 
 
+def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gives way to its kind in angle brackets."""
+    return _measured(pii.redact(docs))
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of at most 4096 tokens."""
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("quality_rules", quality_rules), ("simhash_near_dedup", simhash_near_dedup), ("packing", pack_sequences)]
+STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("simhash_near_dedup", simhash_near_dedup), ("pii", mask_pii), ("packing", pack_sequences)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
