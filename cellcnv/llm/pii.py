@@ -252,7 +252,9 @@ def redact(docs: DataFrame) -> DataFrame:
     """docs with each span replaced by its kind in angle brackets; overlapping spans go as one."""
     columns = docs.columns
     weights = train(annotated(docs))
-    df = annotated(docs, *columns).withColumn("pii_all", F.array_sort(F.transform(chosen(weights), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
+    # The row travels as one struct, so no column of the table can clash with those made here.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row_"), "text")
+    df = annotated(rows, "row_").withColumn("pii_all", F.array_sort(F.transform(chosen(weights), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
     reached = F.transform("pii_all", lambda s, i: F.coalesce(F.array_max(F.transform(F.slice("pii_all", F.lit(1), i), lambda x: x["end"])), F.lit(0)))
     df = df.withColumn("pii_from", reached)
     marks = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
@@ -263,8 +265,8 @@ def redact(docs: DataFrame) -> DataFrame:
 
     last = F.array_max(F.transform("pii_all", lambda s: s["end"]))
     tail = F.substring(F.col("pii_text"), last + 1, F.char_length("pii_text"))
-    text = F.when(F.size("pii_all") > 0, F.concat(F.array_join(F.transform("pii_all", piece), ""), tail)).otherwise(F.col("text"))
-    return df.withColumn("text", text).select(*columns)
+    text = F.when(F.size("pii_all") > 0, F.concat(F.array_join(F.transform("pii_all", piece), ""), tail)).otherwise(F.col("row_.text"))
+    return df.select(*(text.alias("text") if c == "text" else F.col(f"row_.`{c}`").alias(c) for c in columns))
 
 
 def op7_pii(spark, sf_dir):

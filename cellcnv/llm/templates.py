@@ -100,12 +100,14 @@ def without_recurring_lines(docs: DataFrame, counts: bool = False, **options) ->
     """docs with recurring lines taken out of text; with counts, also n_lines_ and n_dropped_."""
     columns = docs.columns
     drop = recurring_lines(docs, **options)
-    joined = _same_document(docs.select("*", *document_key(docs)), drop, "left")
-    lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
+    # The row travels as one struct, so no column of the table can clash with those of the join.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row_"), F.col("text").alias("whole_"), *document_key(docs))
+    joined = _same_document(rows, drop, "left")
+    lines = F.split(F.coalesce("whole_", F.lit("")), "\n", -1)
     left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("drop_", i)), "\n")
     extra = [F.size(lines).cast("long").alias("n_lines_"), F.coalesce(F.size("drop_"), F.lit(0)).cast("long").alias("n_dropped_")] if counts else []
-    text = F.when(F.col("drop_").isNull(), F.col("text")).otherwise(left)
-    return joined.select(*(text.alias("text") if c == "text" else F.col(c) for c in columns), *extra)
+    text = F.when(F.col("drop_").isNull(), F.col("whole_")).otherwise(left)
+    return joined.select(*(text.alias("text") if c == "text" else F.col(f"row_.`{c}`").alias(c) for c in columns), *extra)
 
 
 def op10_line_dedup(spark, sf_dir):
