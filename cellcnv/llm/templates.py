@@ -45,8 +45,8 @@ def document_key(docs: DataFrame) -> list[Column]:
 def lines_of(docs: DataFrame, min_words: int, depth: int) -> DataFrame:
     """A row for each line that is judged: document, line number, masked line, leaf of the tree."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = docs.select(*document_key(docs), F.posexplode(F.split(text, "\n", -1)).alias("line_", "raw_"))
-    lines = lines.select("doc_", "text_", "line_", masked(F.col("raw_")).alias("m_"))
+    # Masking happens inside the generator, so that no later filter or hash repeats it.
+    lines = docs.select(*document_key(docs), F.posexplode(F.transform(F.split(text, "\n", -1), masked)).alias("line_", "m_"))
     lines = lines.withColumn("n_", _count(F.col("m_"), " ") + 1).withColumn("v_", _count(F.col("m_"), VARIABLE))
     lines = lines.where((F.length("m_") > 0) & (F.col("n_") - F.col("v_") >= min_words) & (2 * F.col("v_") <= F.col("n_")))
     return lines.withColumn("leaf_", F.xxhash64("n_", F.substring_index("m_", " ", depth)))
