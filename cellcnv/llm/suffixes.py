@@ -10,8 +10,9 @@ at equal offsets. A run of windows with one anchor is one occurrence: anchor has
    anchors with very many snippets are dealt window by window instead. Inside a bucket the snippets of each
    small shard are sorted into a Burrows-Wheeler transform, and the shards' transforms are merged: starting
    from the shards one after the other, the interleave is refined by stable passes over the transforms'
-   symbols; each pass makes the order right for one more byte, and where neighbours part in pass k their common
-   prefix is k - 1. After `length` passes the blocks that never parted are the repeated intervals.
+   symbols; each pass makes the order right for two more bytes, and where neighbours part their common prefix
+   ends. After `length` bytes the blocks that never parted are the repeated intervals. Only rows that reach the
+   start of a window take part, and a row that is alone in its block has nothing equal and leaves.
 
 Defined results: null and empty texts have no bytes; documents shorter than `length` lose nothing; rows that
 repeat a doc_id are one document and don't count as earlier than each other; a null doc_id is the lowest;
@@ -33,10 +34,10 @@ from .common import bucket, stored, table
 
 GRAM = 24
 #: Anchors with more snippets than this are dealt window by window.
-HOT_SNIPPETS = 400
-BUCKET_BYTES = 1_000_000
-SHARD_BYTES = 250_000
-CHUNK_BYTES = 1 << 21
+HOT_SNIPPETS = 20_000
+BUCKET_BYTES = 600_000
+SHARD_BYTES = 60_000
+CHUNK_BYTES = 1 << 18
 OCCURRENCE = "doc_ long, f_ long, h_ long, lo_ int, n_ int, again_ boolean"
 LOWEST = -(1 << 63)
 
@@ -123,64 +124,87 @@ def occurrences(docs: DataFrame, length: int) -> DataFrame:
 
 
 class Collection:
-    """Strings of one shard or bucket, as cyclic rows that end with a sentinel (0; bytes are shifted by one)."""
+    """Strings of one shard as cyclic rows that end with a sentinel (code 0; bytes have codes from 1 on)."""
 
-    def __init__(self, strings: list[bytes]):
+    def __init__(self, strings: list[bytes], codes: np.ndarray):
         sizes = np.array([len(s) + 1 for s in strings], np.int64)
-        self.symbols = np.frombuffer(b"".join([s + b"\0" for s in strings]), np.uint8).astype(np.uint16) + 1
         self.begin = np.cumsum(sizes) - sizes
+        self.symbols = codes[np.frombuffer(b"".join([s + b"\0" for s in strings]), np.uint8)].astype(np.int64)
         self.symbols[self.begin + sizes - 1] = 0
         self.string = np.repeat(np.arange(len(strings)), sizes)
-        self.size = sizes
+        self.first, self.size = self.begin[self.string], sizes[self.string]
+        self.offset = np.arange(len(self.symbols)) - self.first
 
     def shifted(self, by: int) -> np.ndarray:
         """Position `by` symbols on, around the end of each string."""
-        at = np.arange(len(self.symbols))
-        begin = self.begin[self.string]
-        return begin + (at - begin + by) % self.size[self.string]
-
-
-def transform(rows: Collection, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of a shard's rotations by their first `depth` symbols at least (prefix doubling), and their transform."""
-    rank, known = rows.symbols.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
-    while known < depth:
-        key = rank * (int(rank.max()) + 1) + rank[rows.shifted(known)]
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        rank = np.empty_like(rank)
-        rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
-        known *= 2
-        if rank[order[-1]] == len(rank) - 1:
-            break
-    return order, rows.symbols[rows.shifted(-1)[order]]
+        at = self.offset + by
+        if 0 <= by < self.size.min():
+            return self.first + np.where(at >= self.size, at - self.size, at)
+        return self.first + at % self.size
+
 
+class Transform:
+    """A shard's rotations in the order of their first `depth` symbols at least, and its Burrows-Wheeler transform.
 
-def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Merge transforms by refining their interleave.
+    before[n][row] codes the n symbols before a row (n = 1: the transform itself), back[n][row] is the row of the
+    rotation that begins with them.
+    """
 
-    Returns, for each merged row, the shard it comes from and the number of its block; rows of a block have their
-    first `depth` symbols in common.
+    def __init__(self, rows: Collection, depth: int, n_codes: int):
+        rank, known = rows.symbols, 1
+        while known < 8 and n_codes ** (2 * known) < 1 << 62:
+            rank = rank * n_codes**known + rank[rows.shifted(known)]
+            known *= 2
+        while True:
+            order = np.argsort(rank)
+            ordered = rank[order]
+            rank = np.empty_like(rank)
+            rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
+            if known >= depth or rank[order[-1]] == len(rank) - 1:
+                break
+            rank = rank * len(rank) + rank[rows.shifted(known)]
+            known *= 2
+        row_of = np.empty_like(order)
+        row_of[order] = np.arange(len(order))
+        self.order, self.before, self.back = order, {}, {}
+        one, two = rows.shifted(-1), rows.shifted(-2)
+        self.before[1], self.back[1] = rows.symbols[one][order], row_of[one[order]]
+        self.before[2], self.back[2] = (rows.symbols[two] * n_codes + rows.symbols[one])[order], row_of[two[order]]
+
+
+def merge(transforms: list[Transform], rows: list[np.ndarray], depth: int, n_codes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Merge transforms by refining their interleave, for the given rows of each shard.
+
+    Returns, in merged order, rows (numbered through all shards) and blocks, after `depth` symbols have been put
+    before each; rows of a block have these in common. Rows alone in their block are left out.
     """
-    joined = np.concatenate(transforms)
-    source = np.repeat(np.arange(len(transforms), dtype=np.uint16), [len(t) for t in transforms])
-    block = np.zeros(len(joined), np.int32)
-    for _ in range(depth):
-        # Each shard's symbols in its own order, laid out along the interleave, are the symbols before its rows.
-        symbols = np.empty_like(joined)
-        symbols[np.argsort(source, kind="stable")] = joined
+    shift = np.cumsum([0, *(len(t.order) for t in transforms)])
+    before, back = {}, {}
+    for step in (1, 2):
+        joined = np.concatenate([t.before[step] for t in transforms])
+        before[step] = joined.astype(np.uint16 if n_codes**step <= 1 << 16 else np.uint32)
+        back[step] = np.concatenate([t.back[step] + s for t, s in zip(transforms, shift)]).astype(np.int32)
+    interleave = np.concatenate([r + s for r, s in zip(rows, shift)]).astype(np.int32)
+    block = np.zeros(len(interleave), np.int32)
+    for n, step in enumerate([1] * (depth % 2) + [2] * (depth // 2)):
+        symbols = before[step][interleave]
         order = np.argsort(symbols, kind="stable")
-        symbols, source, block = symbols[order], source[order], block[order]
-        parted = (symbols[1:] != symbols[:-1]) | (block[1:] != block[:-1])
-        block = np.concatenate([[0], np.cumsum(parted, dtype=np.int32)])
-        if block[-1] == len(block) - 1:
-            # All rows differ: from here on only the order would be refined.
+        symbols, block, interleave = symbols[order], block[order], back[step][interleave[order]]
+        parted = np.concatenate([[True], (symbols[1:] != symbols[:-1]) | (block[1:] != block[:-1])])[: len(block)]
+        if n % 6 == 5 or n >= depth // 2 - 1:
+            alone = parted & np.concatenate([parted[1:], [True]])[: len(block)]
+            interleave, parted = interleave[~alone], parted[~alone]
+        block = np.cumsum(parted, dtype=np.int32)
+        if not len(block):
             break
-    return source, block
+    return interleave, block
 
 
 def repeated_windows(strings: list[bytes], windows: np.ndarray, doc: np.ndarray, lo: np.ndarray, length: int) -> np.ndarray:
     """For each window (string by string, windows[i] of string i) whether an equal one has a smaller (doc, start)."""
+    used = np.unique(np.frombuffer(b"".join(strings), np.uint8))
+    codes, n_codes = np.zeros(256, np.int64), len(used) + 1
+    codes[used] = np.arange(1, n_codes)
     shards, size = [[]], 0
     for i, s in enumerate(strings):
         if size > SHARD_BYTES:
@@ -188,29 +212,28 @@ def repeated_windows(strings: list[bytes], windows: np.ndarray, doc: np.ndarray,
             size = 0
         shards[-1].append(i)
         size += len(s)
-    parts = [Collection([strings[i] for i in shard]) for shard in shards]
-    made = [transform(p, length) for p in parts]
-    source, block = merge([t for _, t in made], length)
+    parts = [Collection([strings[i] for i in shard], codes) for shard in shards]
+    made = [Transform(p, length, n_codes) for p in parts]
+    # A window at offset o is reached from the row that begins right after it.
+    rows = []
+    for shard, part, t in zip(shards, parts, made):
+        ahead = part.offset[t.order] - length
+        rows.append(np.flatnonzero((ahead >= 0) & (ahead < windows[np.array(shard)][part.string[t.order]])))
+    interleave, block = merge(made, rows, length, n_codes)
+    shift = np.cumsum([0, *(len(t.order) for t in made)])
     first_window = np.cumsum(windows) - windows
-    klass = np.full(int(windows.sum()), -1, np.int64)
-    if block[-1] < len(block) - 1:
-        for k, (shard, part, (order, _)) in enumerate(zip(shards, parts, made)):
-            at = order  # rows of a shard keep their order in the interleave
-            mine = block[source == k]
-            string = np.array(shard)[part.string[at]]
-            offset = at - part.begin[part.string[at]]
-            inside = offset < windows[string]
-            klass[(first_window[string] + offset)[inside]] = mine[inside]
-    else:
-        return np.zeros(len(klass), bool)
-    string = np.repeat(np.arange(len(strings)), windows)
-    start = lo[string] + np.arange(len(klass)) - first_window[string]
-    order = np.lexsort((start, doc[string], klass))
-    k, d, s = klass[order], doc[string][order], start[order]
-    head = np.concatenate([[True], k[1:] != k[:-1]])
-    first = np.maximum.accumulate(np.where(head, np.arange(len(k)), 0))
-    later = np.empty(len(k), bool)
-    later[order] = (d != d[first]) | (s != s[first])
+    string, offset = (np.empty(len(interleave), np.int64) for _ in range(2))
+    for k, (shard, part, t) in enumerate(zip(shards, parts, made)):
+        mine = (interleave >= shift[k]) & (interleave < shift[k + 1])
+        at = t.order[interleave[mine] - shift[k]]
+        string[mine], offset[mine] = np.array(shard)[part.string[at]], part.offset[at]
+    start = lo[string] + offset
+    order = np.lexsort((start, doc[string], block))
+    b, d, s = block[order], doc[string][order], start[order]
+    head = np.concatenate([[True], b[1:] != b[:-1]])[: len(b)]
+    first = np.maximum.accumulate(np.where(head, np.arange(len(b)), 0))
+    later = np.zeros(int(windows.sum()), bool)
+    later[(first_window[string] + offset)[order]] = (d != d[first]) | (s != s[first])
     return later
 
 
