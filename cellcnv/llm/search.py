@@ -15,13 +15,11 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.dataset
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,38 +28,55 @@ from .warc import filesystem
 
 K1, B = 1.2, 0.75
 BLOCK = 64
-DF_FLUSH = 400_000
+CHUNK_CHARS = 1 << 22
+DF_FLUSH = 2_000_000
 
 
 def words_of(text: str) -> list[bytes]:
+    """What a word is; term_counts cuts whole columns alike."""
     return text.encode().lower().split()
 
 
-def term_of(word: bytes) -> int:
-    """64-bit name of a word, as a signed long."""
-    h = xxhash.xxh3_64_intdigest(word)
-    return h - (1 << 64) if h >> 63 else h
+def term_counts(documents: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document number, term (a word's 64-bit hash) and count of each distinct word of each text, by document and term."""
+    ends = np.cumsum([len(t) for t in documents])
+    cuts = np.flatnonzero(np.diff(ends // CHUNK_CHARS, prepend=0))
+    parts = []
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(documents)]):
+        words = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(documents[a:b], pa.large_string())))
+        doc, word = pc.list_parent_indices(words), pc.list_flatten(words)
+        real = pc.greater(pc.binary_length(word), 0)
+        coded = pc.dictionary_encode(word.filter(real))
+        names = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False), categorize=False).view(np.int64)
+        by_name = np.argsort(names)
+        rank = np.empty(len(names), np.int64)
+        rank[by_name] = np.arange(len(names))
+        pair, count = np.unique(doc.filter(real).to_numpy().astype(np.int64) * max(1, len(names)) + rank[coded.indices.to_numpy()], return_counts=True)
+        number, at = np.divmod(pair, max(1, len(names)))
+        parts.append((number + a, names[by_name][at], count))
+    number, term, count = (np.concatenate(c) for c in zip(*parts))
+    return number, term, count
 
 
 def statistics(docs: DataFrame) -> DataFrame:
     """term, df: in how many documents each term is; the row with a null term has the number of words in df."""
 
     def run(batches):
-        def rows(counts, total):
-            names, n = [*counts, None] if total else [*counts], [*counts.values(), total] if total else [*counts.values()]
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(n, pa.int64())], ["term", "df"])
+        def rows(held):
+            terms, df = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(terms), pa.array(df)], ["term", "df"])
 
-        counts: Counter = Counter()
-        total = 0
+        held, size, total = [], 0, 0
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                words = words_of(text)
-                total += len(words)
-                counts.update(set(words))
-                if len(counts) > DF_FLUSH:
-                    yield rows({term_of(w): n for w, n in counts.items()}, total)
-                    counts, total = Counter(), 0
-        yield rows({term_of(w): n for w, n in counts.items()}, total)
+            _, terms, count = term_counts(batch.column("text").to_pylist())
+            held.append(terms)
+            size, total = size + len(terms), total + int(count.sum())
+            if size > DF_FLUSH:
+                yield rows(held)
+                held, size = [], 0
+        if held:
+            yield rows(held)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], ["term", "df"])
 
     return docs.mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
@@ -71,9 +86,9 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            terms = [[term_of(w) for w in set(words_of(t))] for t in batch.column("text").to_pylist()]
-            ids = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), [len(t) for t in terms])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x for t in terms for x in t], pa.int64())], ["query_id", "term"])
+            number, terms, _ = term_counts(batch.column("text").to_pylist())
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)[number]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(terms)], ["query_id", "term"])
 
     return queries.where("doc_id is not null").mapInArrow(run, "query_id long, term long")
 
@@ -87,29 +102,30 @@ def ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
 
 class ShardIndex:
     def __init__(self, ids: np.ndarray, documents: list[str], mean_length: float):
-        counted = [Counter(words_of(t)) for t in documents]
-        sizes = np.array([sum(c.values()) for c in counted], np.float64)
-        leading = [max(c.items(), key=lambda x: (x[1], x[0]))[0] if c else b"" for c in counted]
-        order = sorted(range(len(counted)), key=lambda i: (leading[i], sizes[i]))
+        doc, name, tf = term_counts(documents)
+        self.names, term = np.unique(name, return_inverse=True)
+        sizes, n_terms = np.bincount(doc, tf, len(ids)), np.bincount(doc, minlength=len(ids))
+        # Documents with the same most frequent word stand together.
+        most = np.zeros(len(ids), np.int64)
+        np.maximum.at(most, doc, tf)
+        often = np.flatnonzero(tf == most[doc])
+        leading = np.full(len(ids), -1, np.int64)
+        leading[doc[often]] = term[often]
+        order = np.lexsort((sizes, leading))
+        place = np.empty(len(ids), np.int32)
+        place[order] = np.arange(len(ids))
         self.ids = ids[order]
-        number: dict[bytes, int] = {}
-        term = np.fromiter((number.setdefault(w, len(number)) for i in order for w in counted[i]), np.int32)
-        tf = np.fromiter((n for i in order for n in counted[i].values()), np.float64, len(term))
-        doc = np.repeat(np.arange(len(order), dtype=np.int32), [len(counted[i]) for i in order])
-        impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[order][doc] / mean_length))
-        by_term = np.argsort(term, kind="stable")
-        self.doc, self.impact, term = doc[by_term], impact[by_term], term[by_term]
+        impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / mean_length))
+        by_term = np.argsort(term * max(1, len(ids)) + place[doc])
+        self.doc, self.impact, term = place[doc[by_term]], impact[by_term], term[by_term]
         # Entries: the runs of one term within one block, with their largest impact.
         block = self.doc // BLOCK
-        entry = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, np.int64)
-        self.entry_start, self.entry_stop = entry, np.concatenate([entry[1:], [len(term)]]) if len(entry) else entry
+        entry = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])[: len(term)])
+        self.entry_start, self.entry_stop = entry, np.concatenate([entry[1:], [len(term)]])[: len(entry)]
         self.entry_block = block[entry]
         self.entry_max = np.maximum.reduceat(self.impact, entry) if len(entry) else np.zeros(0)
-        names = np.array([term_of(w) for w in number], np.int64)
-        self.name_order = np.argsort(names)
-        self.names = names[self.name_order]
-        self.term_entries = np.searchsorted(term[entry], np.arange(len(names) + 1))
-        self.n_blocks = -(-len(order) // BLOCK)
+        self.term_entries = np.searchsorted(term[entry], np.arange(len(self.names) + 1))
+        self.n_blocks = -(-len(ids) // BLOCK)
 
     def search(self, terms: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and rounded scores of the k best documents."""
@@ -117,8 +133,8 @@ class ShardIndex:
         at[at == len(self.names)] = 0
         here = self.names[at] == terms if len(self.names) else np.zeros(len(terms), bool)
         # Terms in order of their names, so equal documents get equal sums in every shard.
-        order = np.argsort(terms[here], kind="stable")
-        t, w = self.name_order[at[here]][order], idf[here][order]
+        order = np.argsort(at[here], kind="stable")
+        t, w = at[here][order], idf[here][order]
         if not len(t):
             return self.ids[:0], np.zeros(0)
         entries = ranges(self.term_entries[t], self.term_entries[t + 1])
