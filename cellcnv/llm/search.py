@@ -28,7 +28,7 @@ from .warc import filesystem
 
 K1, B = 1.2, 0.75
 BLOCK = 64
-CHUNK_CHARS = 1 << 22
+CHUNK_BYTES = 1 << 22
 DF_FLUSH = 2_000_000
 
 
@@ -37,13 +37,14 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
-def term_counts(documents: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def term_counts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document number, term (a word's 64-bit hash) and count of each distinct word of each text, by document and term."""
-    ends = np.cumsum([len(t) for t in documents])
-    cuts = np.flatnonzero(np.diff(ends // CHUNK_CHARS, prepend=0))
+    column = pa.chunked_array([column]) if isinstance(column, pa.Array) else column
+    ends = np.cumsum(pc.binary_length(column).to_numpy(), dtype=np.int64)
+    cuts = np.flatnonzero(np.diff(ends // CHUNK_BYTES, prepend=0)).tolist()
     parts = []
-    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(documents)]):
-        words = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(documents[a:b], pa.large_string())))
+    for a, b in zip([0, *cuts], [*cuts, len(column)]):
+        words = pc.ascii_split_whitespace(pc.ascii_lower(pa.concat_arrays(column.slice(a, b - a).chunks or [pa.array([], column.type)])))
         doc, word = pc.list_parent_indices(words), pc.list_flatten(words)
         real = pc.greater(pc.binary_length(word), 0)
         coded = pc.dictionary_encode(word.filter(real))
@@ -53,7 +54,7 @@ def term_counts(documents: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         rank[by_name] = np.arange(len(names))
         pair, count = np.unique(doc.filter(real).to_numpy().astype(np.int64) * max(1, len(names)) + rank[coded.indices.to_numpy()], return_counts=True)
         number, at = np.divmod(pair, max(1, len(names)))
-        parts.append((number + a, names[by_name][at], count))
+        parts.append(((number + a).astype(np.int32), names[by_name][at], count.astype(np.int32)))
     number, term, count = (np.concatenate(c) for c in zip(*parts))
     return number, term, count
 
@@ -68,9 +69,9 @@ def statistics(docs: DataFrame) -> DataFrame:
 
         held, size, total = [], 0, 0
         for batch in batches:
-            _, terms, count = term_counts(batch.column("text").to_pylist())
+            _, terms, count = term_counts(batch.column("text"))
             held.append(terms)
-            size, total = size + len(terms), total + int(count.sum())
+            size, total = size + len(terms), total + int(count.sum(dtype=np.int64))
             if size > DF_FLUSH:
                 yield rows(held)
                 held, size = [], 0
@@ -86,7 +87,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            number, terms, _ = term_counts(batch.column("text").to_pylist())
+            number, terms, _ = term_counts(batch.column("text"))
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)[number]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(terms)], ["query_id", "term"])
 
@@ -101,27 +102,31 @@ def ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
 
 
 class ShardIndex:
-    def __init__(self, ids: np.ndarray, documents: list[str], mean_length: float):
+    def __init__(self, ids: np.ndarray, documents: pa.Array | pa.ChunkedArray, mean_length: float):
         doc, name, tf = term_counts(documents)
-        self.names, term = np.unique(name, return_inverse=True)
-        sizes, n_terms = np.bincount(doc, tf, len(ids)), np.bincount(doc, minlength=len(ids))
+        self.names = np.unique(name)
+        term = np.searchsorted(self.names, name).astype(np.int32)
+        del name
+        sizes = np.bincount(doc, tf, len(ids))
         # Documents with the same most frequent word stand together.
-        most = np.zeros(len(ids), np.int64)
+        most = np.zeros(len(ids), np.int32)
         np.maximum.at(most, doc, tf)
         often = np.flatnonzero(tf == most[doc])
-        leading = np.full(len(ids), -1, np.int64)
+        leading = np.full(len(ids), -1, np.int32)
         leading[doc[often]] = term[often]
         order = np.lexsort((sizes, leading))
         place = np.empty(len(ids), np.int32)
         place[order] = np.arange(len(ids))
         self.ids = ids[order]
-        impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / mean_length))
-        by_term = np.argsort(term * max(1, len(ids)) + place[doc])
-        self.doc, self.impact, term = place[doc[by_term]], impact[by_term], term[by_term]
-        # Entries: the runs of one term within one block, with their largest impact.
+        by_term = np.lexsort((place[doc], term))
+        doc, tf, term = doc[by_term], tf[by_term], term[by_term]
+        del by_term
+        self.impact = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * sizes / mean_length))[doc])
+        self.doc = place[doc]
+        # Entries: the runs of one term within one block, with their largest impact; the last start is the end.
         block = self.doc // BLOCK
         entry = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])[: len(term)])
-        self.entry_start, self.entry_stop = entry, np.concatenate([entry[1:], [len(term)]])[: len(entry)]
+        self.entry_start = np.append(entry, len(term)).astype(np.int32)
         self.entry_block = block[entry]
         self.entry_max = np.maximum.reduceat(self.impact, entry) if len(entry) else np.zeros(0)
         self.term_entries = np.searchsorted(term[entry], np.arange(len(self.names) + 1))
@@ -151,7 +156,7 @@ class ShardIndex:
             if not chosen.any():
                 continue
             e = entries[chosen]
-            start, stop = self.entry_start[e], self.entry_stop[e]
+            start, stop = self.entry_start[e], self.entry_start[e + 1]
             postings = ranges(start, stop)
             total = np.round(np.bincount(self.doc[postings], self.impact[postings] * np.repeat(weight[chosen], stop - start), len(self.ids)), 6)
             # Every document that a term touches scores over zero.
@@ -167,8 +172,11 @@ class ShardIndex:
         return self.ids[best], scores
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard_docs: int = 16_384) -> DataFrame:
-    """query_id, doc_id, score and rank of the k best documents for each row of queries (both with doc_id and text)."""
+def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard_docs: int = 16_384, shard_words: int = 8_000_000) -> DataFrame:
+    """query_id, doc_id, score and rank of the k best documents for each row of queries (both with doc_id and text).
+
+    A shard is expected to have at most shard_docs documents and shard_words words, which bounds its memory.
+    """
     spark = docs.sparkSession
     docs, queries = texts(docs), texts(queries)
     counted = statistics(docs).persist()
@@ -181,8 +189,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard_docs: int = 1
     weighted.groupBy("query_id").agg(F.collect_list("term").alias("terms"), F.collect_list("idf").alias("idf")).write.parquet(path)
     counted.unpersist()
 
-    def searched(shard: pd.DataFrame) -> pd.DataFrame:
-        index = ShardIndex(shard["doc_id"].to_numpy(np.int64), shard["text"].tolist(), mean_length)
+    def searched(shard: pa.Table) -> pa.Table:
+        index = ShardIndex(shard["doc_id"].to_numpy(), shard["text"], mean_length)
         where, root = filesystem(path)
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in pyarrow.dataset.dataset(root, filesystem=where, format="parquet").to_batches(batch_size=2000):
@@ -191,11 +199,11 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard_docs: int = 1
                 ids, scores = index.search(terms[i].values.to_numpy(), weights[i].values.to_numpy(), k)
                 out.append((np.full(len(ids), query, np.int64), ids, scores))
         columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0)] * 3
-        return pd.DataFrame(dict(zip(("query_id", "doc_id", "score"), columns)))
+        return pa.table([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "doc_id", "score"])
 
-    n_shards = max(1, -(-n_docs // shard_docs))
+    n_shards = max(1, -(-n_docs // shard_docs), -(-n_words // shard_words))
     dealt = docs.withColumn("shard_", bucket("doc_id", n=n_shards, seed=3)).withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    hits = dealt.groupBy("shard_").applyInPandas(searched, "query_id long, doc_id long, score double")
+    hits = dealt.groupBy("shard_").applyInArrow(searched, "query_id long, doc_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")).alias("doc_id"), "score", "rank")
