@@ -25,7 +25,8 @@ def test_query_equals_sql(spark, name):
         db.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     found = __spark_entry__.queries()[name](spark, SF)
     columns = sorted(found.columns)
-    asked = db.sql(f"select {', '.join(columns)} from ({__spark_entry__.oracle_sql()[name]})").fetchall()
+    quoted = ", ".join(f'"{c}"' for c in columns)
+    asked = db.sql(f"select {quoted} from ({__spark_entry__.oracle_sql()[name]})").fetchall()
     assert sorted(tuple(map(plain, (r[c] for c in columns))) for r in found.collect()) == sorted(tuple(plain(float(v)) if type(v).__name__ == "Decimal" else plain(v) for v in r) for r in asked)
 
 
