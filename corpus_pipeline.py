@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellcnv.llm import packing, pii, rules, simhash, templates
+from cellcnv.llm import nearcopies, packing, pii, rules, templates
 from cellcnv.llm.common import stored, table
 
 #: An isolation forest isn't expressible in SQL; tests hold the stages against brute force.
@@ -33,8 +33,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near-duplicates stays: five-word shingles with a Jaccard index of at least 0.8."""
+    return nearcopies.one_of_near_copies(docs)
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
