@@ -28,8 +28,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring lines go, but for the first of each template; a leaf has several templates."""
-    return _measured(templates.without_recurring_lines(docs, several=True))
+    """Recurring lines go, but for the first of each template; a leaf has several templates, and lines without enough words are judged as they stand from 20 characters on."""
+    return _measured(templates.without_recurring_lines(docs, several=True, min_chars=20))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,3 +25,10 @@ def test_templates_that_share_a_leaf(spark):
     rng.shuffle(texts)
     out = left(spark, texts)
     assert sum(t in lines for t in out.values()) == 3 and sum(t in noise for t in out.values()) == 40
+
+
+def test_lines_judged_as_they_stand(spark):
+    digits, other = "2024-01-02 13:45 77.5 99.1 ab12cd", "2024-01-03 13:46 77.6 99.2 ab12cd"
+    script = "这是一个没有空格的很长的段落它在许多文件里一字不差地重复出现"
+    out = left(spark, [f"{digits}\nYes.\none", f"{script}\nYes.\ntwo", f"{digits}\n{script}\nthree", other])
+    assert out == {0: f"{digits}\nYes.\none", 1: f"{script}\nYes.\ntwo", 2: "three", 3: other}
