@@ -4,7 +4,8 @@ Regular expressions find base spans, which always stay, and looser candidates. L
 strict format, a gazetteer of known parts, words before it, its edges and its digits. Counts by kind and vote
 pattern (a small table of fixed size) over all documents feed expectation-maximisation, which estimates how
 reliable each labeler is; its posteriors train the final span classifier, a logistic model that is applied as
-a column expression. Candidates that overlap a base span, or score under one half, are left out.
+a column expression. Of candidates that overlap base spans the parts outside stay, unless only a keyword is left;
+candidates that score under one half are left out.
 
 Positions are code points, ends exclusive. Defined results: null and empty texts have no spans; repeated rows
 are searched each; without any span in the corpus the classifier accepts nothing; extra columns are ignored
@@ -33,19 +34,20 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 CANDIDATES = "|".join([
-    r"(?i:(?<![a-z0-9])(?:password|passwd|pwd|token|secret|api[_-]?key)[\"']?[\x20]?[=:][\x20]?[\"']?[^\x20\x09-\x0D\"']{6,200})",
-    r"(?<![A-Za-z0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])",
+    r"(?i:(?<![a-z0-9])(?:password|passwd|pwd|token|secret|api[_-]?key)[\"']?[\x20]?[=:][\x20]?[\"']?[^\x20\x09-\x0D\"']{6,}+)",
+    r"(?<![A-Za-z0-9])[0-9a-f]{32,}+(?![A-Za-z0-9])",
     r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
     r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     r"(?<![0-9+(])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
     rf"(?<!{LOCAL}){LOCAL}++[\x20]?(?:\[at\]|\(at\))[\x20]?[A-Za-z0-9-]++(?:(?:\.|[\x20]?(?:\[dot\]|\(dot\))[\x20]?)[A-Za-z0-9-]++)++",
     r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\.?[\x20][A-Z][a-z]++(?:[\x20][A-Z][a-z]++)?",
 ])
+KEYWORD_ONLY = r"^(?i:password|passwd|pwd|token|secret|api[_-]?key)[\"']?[\x20]?[=:]?[\x20]?[\"']?$"
 IP_PARTS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$"
 STRICT = [
     r"^[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}$", IP_PARTS, r"^[0-9]{4}([\x20-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4,7}$",
     r"^(?:\+[0-9]{1,3}[\x20.-]?)?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{3,4}$", r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$", r"^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$",
-    r"(?:[=:][\x20]?[\"']?\S{6,}|^[0-9a-f]{32,64})$", r"^(?:Mr|Mrs|Ms|Dr|Prof)\.[\x20][A-Z][a-z]+",
+    r"(?:[=:][\x20]?[\"']?\S{6,}|^[0-9a-f]{32,})$", r"^(?:Mr|Mrs|Ms|Dr|Prof)\.[\x20][A-Z][a-z]+",
 ]
 GAZETTEER = [
     r"\.(?:com|org|net|edu|gov|io|co|de|fr|es|uk|info|biz)$", r"^(?!0|127\.|255\.)[0-9]", r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))", r"^(?:\+(?:1|7|2[07]|3[0-9]|4[0-9]|5[1-8]|6[0-6]|8[1246]|9[0-8])|\(?[2-9])", r"^[0-8]",
@@ -102,7 +104,7 @@ def _kind_of(value: Column) -> Column:
     """Kind number of a candidate, by its form."""
     kind = lambda k: F.lit(KINDS.index(k))
     return (
-        F.when(value.rlike(r"[\[(]at[\])]"), kind("email")).when(value.rlike(r"^(?i:password|passwd|pwd|token|secret|api)|^[0-9a-f]{32,64}$"), kind("secret"))
+        F.when(value.rlike(r"[\[(]at[\])]"), kind("email")).when(value.rlike(r"^(?i:password|passwd|pwd|token|secret|api)|^[0-9a-f]{32,}$"), kind("secret"))
         .when(value.rlike(r"^[A-Z]{2}[0-9]{2}"), kind("iban")).when(value.rlike(r"^[0-9]{3}-[0-9]{2}-"), kind("ssn")).when(value.rlike(r"^[A-Z]"), kind("name")).otherwise(kind("phone"))
     )
 
@@ -120,13 +122,14 @@ def _span(text: Column, kind: Column, found: Column) -> Column:
     end = start + F.char_length(value)
     before = F.substring(text, F.greatest(start - 23, F.lit(1)), F.least(start, F.lit(24)))
     edge = F.concat(F.substring(text, F.greatest(start, F.lit(1)), F.least(start, F.lit(1))), F.lit(" "), F.substring(text, end + 1, F.lit(1)))
+    number = digits(value)
     two = lambda test: F.when(test, 2).otherwise(0)
     votes = [
         two(_by_kind(kind, STRICT, value)),
         F.when(_by_kind(kind, GAZETTEER, value), 2).otherwise(1),
         F.when(_by_kind(kind, CONTEXT, before), 2).otherwise(1),
         F.when(edge.rlike(r"^[A-Za-z0-9_/-]|[A-Za-z0-9_/-]$"), 0).otherwise(2),
-        F.when(value.rlike(r"[0-9]"), two(~value.rlike(r"^[^0-9]*([0-9])(?:[^0-9]*\1){5,}[^0-9]*$"))).otherwise(1),
+        F.when(number == "", 1).otherwise(two((F.length(number) < 6) | (F.replace(number, F.substring(number, 1, 1), F.lit("")) != ""))),
     ]
     packed = sum((v * 3**i for i, v in enumerate(votes)), F.lit(0))
     size = F.least(F.lit(3), F.floor(F.log2(F.char_length(value).cast("double"))) - 2)
@@ -142,6 +145,19 @@ def _count_of(kind: int) -> Column:
     return F.size(F.filter("pii_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
 
 
+def _outside(text: Column, span: Column, base: Column) -> Column:
+    """The parts of a candidate that no base span (sorted by start) covers, with the candidate's kind and votes."""
+    over = F.filter(base, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
+
+    def part(i):
+        begin = F.greatest(span["start"], F.coalesce(F.array_max(F.transform(F.slice(over, F.lit(1), i), lambda b: b["end"])), span["start"]))
+        end = F.when(i < F.size(over), F.get(over, i)["start"]).otherwise(span["end"])
+        return F.struct(span["kind"].alias("kind"), begin.alias("start"), end.alias("end"), span["votes"].alias("votes"), span["size"].alias("size"))
+
+    parts = F.filter(F.transform(F.sequence(F.lit(0), F.size(over)), part), lambda x: x["start"] < x["end"])
+    return F.filter(parts, lambda x: ~F.substring(text, x["start"] + 1, x["end"] - x["start"]).rlike(KEYWORD_ONLY))
+
+
 def annotated(docs: DataFrame, *keep: str) -> DataFrame:
     """Columns `keep`, and arrays pii_base and pii_more of spans with votes."""
     text = "pii_text"
@@ -152,8 +168,11 @@ def annotated(docs: DataFrame, *keep: str) -> DataFrame:
     df = df.withColumn("pii_base", F.concat(*(f"pii_{kind}" for kind in KINDS[:4]))).drop(*(f"pii_{kind}" for kind in KINDS[:4]))
     df = located(df, text, "pii_more", CANDIDATES)
     df = df.withColumn("pii_more", F.transform("pii_more", lambda x: _span(F.col(text), _kind_of(x["value"]), x)))
-    free = F.filter("pii_more", lambda x: ~F.exists("pii_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return df.withColumn("pii_more", free).withColumn("pii_base", F.col("pii_base").cast(SPAN)).withColumn("pii_more", F.col("pii_more").cast(SPAN))
+    df = df.withColumn("pii_base", F.col("pii_base").cast(SPAN)).withColumn("pii_more", F.col("pii_more").cast(SPAN))
+    ordered = F.array_sort("pii_base", lambda x, y: x["start"] - y["start"])
+    clear = F.filter("pii_more", lambda x: ~F.exists("pii_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    trimmed = F.flatten(F.transform("pii_more", lambda x: _outside(F.col(text), x, ordered)))
+    return df.withColumn("pii_more", F.when(F.size(clear) == F.size("pii_more"), F.col("pii_more")).otherwise(trimmed.cast(SPAN)))
 
 
 def votes_of(packed: int) -> list[int]:
