@@ -23,6 +23,8 @@ from .common import stored, table
 
 SPAN = "array<struct<kind:int,start:int,end:int,votes:int,size:int>>"
 LOCAL = "[A-Za-z0-9._%+-]"
+#: Entries of an array that are folded or searched together, and characters of a text that are cut together.
+BLOCK, CHUNK = 64, 4096
 
 # Patterns of the base kinds and of further candidates. Possessive quantifiers and the tests of
 # what stands before only keep the search linear; they change no match.
@@ -86,18 +88,54 @@ def accepted(kind: str, value: Column) -> Column:
     return (n >= 8) & (n <= 15) if kind == "phone" else F.lit(True)
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, fold, levels: int = 3) -> Column:
+    """For each place the fold (of integers from 0 on) of all values before it.
+
+    Long arrays are folded block by block, and the folds of the blocks likewise, so a place costs about BLOCK steps a level.
+    """
+    folded = lambda a: F.aggregate(a, F.lit(0), fold)
+    plain = F.transform(values, lambda _, i: folded(F.slice(values, F.lit(1), i)))
+    if levels == 1:
+        return plain
+    blocks = F.transform(F.sequence(F.lit(0), ((F.size(values) - 1) / BLOCK).cast("int")), lambda b: folded(F.slice(values, b * BLOCK + 1, BLOCK)))
+
+    def within(before):
+        return F.transform(values, lambda _, i: fold(F.get(before, (i / BLOCK).cast("int")), folded(F.slice(values, i - i % BLOCK + 1, i % BLOCK))))
+
+    return F.when(F.size(values) <= BLOCK, plain).otherwise(let(blocks, lambda b: let(running(b, fold, levels - 1), within)))
+
+
+def added(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def larger(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
 def located(df: DataFrame, text: str, name: str, pattern: str) -> DataFrame:
-    """Adds `name`: matches of a pattern as (start, value), in order."""
+    """Adds `name`: matches of a pattern as (start, value, before, after), in order; before and after reach to the matches beside."""
     m, g = f"{name}_m", f"{name}_g"
     df = df.withColumn(m, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)))
     # Splitting by the same pattern gives the gaps, so lengths of gaps and matches give the positions.
-    gaps = F.transform(F.split(F.col(text), pattern, -1), lambda x: F.char_length(x))
-    df = df.withColumn(g, F.when(F.size(m) > 0, gaps).otherwise(F.array().cast("array<int>")))
-    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-    starts = lambda x, i: F.struct(
-        (total(F.slice(g, F.lit(1), i + 1)) + total(F.transform(F.slice(m, F.lit(1), i), lambda y: F.char_length(y)))).alias("start"), x.alias("value")
-    )
-    return df.withColumn(name, F.transform(m, starts)).drop(m, g)
+    df = df.withColumn(g, F.when(F.size(m) > 0, F.split(F.col(text), pattern, -1)))
+    steps = F.zip_with(m, g, lambda x, y: F.coalesce(F.char_length(x), F.lit(0)) + F.char_length(y))
+    beside = lambda i: F.coalesce(F.get(m, i), F.lit(""))
+
+    def match(at):
+        return lambda x, i: F.struct(
+            (F.get(at, i) + F.char_length(F.get(g, i))).alias("start"), x.alias("value"),
+            F.right(F.concat(beside(i - 1), F.get(g, i)), F.lit(24)).alias("before"), F.left(F.concat(F.get(g, i + 1), beside(i + 1)), F.lit(1)).alias("after"),
+        )
+
+    found = let(let(steps, lambda s: running(s, added)), lambda at: F.transform(m, match(at)))
+    empty = F.array().cast("array<struct<start:int,value:string,before:string,after:string>>")
+    return df.withColumn(name, F.when(F.size(m) > 0, found).otherwise(empty)).drop(m, g)
 
 
 def _kind_of(value: Column) -> Column:
@@ -116,12 +154,11 @@ def _by_kind(kind: Column, patterns: list[str], value: Column) -> Column:
     return out
 
 
-def _span(text: Column, kind: Column, found: Column) -> Column:
+def _span(kind: Column, found: Column, *more: str) -> Column:
     """A span with its labelers' votes as digits of a number in base three (0 against, 1 abstains, 2 for)."""
-    value, start = found["value"], found["start"]
+    value, start, before = found["value"], found["start"], found["before"]
     end = start + F.char_length(value)
-    before = F.substring(text, F.greatest(start - 23, F.lit(1)), F.least(start, F.lit(24)))
-    edge = F.concat(F.substring(text, F.greatest(start, F.lit(1)), F.least(start, F.lit(1))), F.lit(" "), F.substring(text, end + 1, F.lit(1)))
+    edge = F.concat(F.right(before, F.lit(1)), F.lit(" "), found["after"])
     number = digits(value)
     two = lambda test: F.when(test, 2).otherwise(0)
     votes = [
@@ -133,21 +170,35 @@ def _span(text: Column, kind: Column, found: Column) -> Column:
     ]
     packed = sum((v * 3**i for i, v in enumerate(votes)), F.lit(0))
     size = F.least(F.lit(3), F.floor(F.log2(F.char_length(value).cast("double"))) - 2)
-    return F.struct(kind.alias("kind"), start.alias("start"), end.alias("end"), packed.cast("int").alias("votes"), F.greatest(F.lit(0), size).cast("int").alias("size"))
+    return F.struct(kind.alias("kind"), start.alias("start"), end.alias("end"), packed.cast("int").alias("votes"), F.greatest(F.lit(0), size).cast("int").alias("size"), *(found[c].alias(c) for c in more))
 
 
-def _base_spans(text: str, kind: str) -> Column:
+def _base_spans(kind: str) -> Column:
     passed = F.filter(f"pii_{kind}", lambda x: accepted(kind, x["value"]))
-    return F.transform(passed, lambda x: _span(F.col(text), F.lit(KINDS.index(kind)), x))
+    return F.transform(passed, lambda x: _span(F.lit(KINDS.index(kind)), x))
 
 
 def _count_of(kind: int) -> Column:
     return F.size(F.filter("pii_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
 
 
-def _outside(text: Column, span: Column, base: Column) -> Column:
-    """The parts of a candidate that no base span (sorted by start) covers, with the candidate's kind and votes."""
-    over = F.filter(base, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
+def _in_blocks(spans: Column) -> Column:
+    """Spans in blocks of neighbours, each with the range that it covers."""
+
+    def block(b):
+        part = F.slice(spans, b * BLOCK + 1, BLOCK)
+        low, high = F.array_min(F.transform(part, lambda s: s["start"])), F.array_max(F.transform(part, lambda s: s["end"]))
+        return F.struct(low.alias("start"), high.alias("end"), part.alias("spans"))
+
+    return F.transform(F.sequence(F.lit(0), ((F.size(spans) - 1) / BLOCK).cast("int")), block)
+
+
+def _meeting(spans: Column, span: Column) -> Column:
+    return F.filter(spans, lambda s: (s["start"] < span["end"]) & (span["start"] < s["end"]))
+
+
+def _outside(span: Column, over: Column) -> Column:
+    """The parts of a candidate that no base span over it (sorted by start) covers, with the candidate's kind and votes."""
 
     def part(i):
         begin = F.greatest(span["start"], F.coalesce(F.array_max(F.transform(F.slice(over, F.lit(1), i), lambda b: b["end"])), span["start"]))
@@ -155,7 +206,7 @@ def _outside(text: Column, span: Column, base: Column) -> Column:
         return F.struct(span["kind"].alias("kind"), begin.alias("start"), end.alias("end"), span["votes"].alias("votes"), span["size"].alias("size"))
 
     parts = F.filter(F.transform(F.sequence(F.lit(0), F.size(over)), part), lambda x: x["start"] < x["end"])
-    return F.filter(parts, lambda x: ~F.substring(text, x["start"] + 1, x["end"] - x["start"]).rlike(KEYWORD_ONLY))
+    return F.filter(parts, lambda x: ~F.substring(span["value"], x["start"] - span["start"] + 1, x["end"] - x["start"]).rlike(KEYWORD_ONLY))
 
 
 def annotated(docs: DataFrame, *keep: str) -> DataFrame:
@@ -164,15 +215,20 @@ def annotated(docs: DataFrame, *keep: str) -> DataFrame:
     df = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias(text))
     for kind in KINDS[:4]:
         df = located(df, text, f"pii_{kind}", PATTERNS[kind])
-        df = df.withColumn(f"pii_{kind}", _base_spans(text, kind))
-    df = df.withColumn("pii_base", F.concat(*(f"pii_{kind}" for kind in KINDS[:4]))).drop(*(f"pii_{kind}" for kind in KINDS[:4]))
+        df = df.withColumn(f"pii_{kind}", _base_spans(kind))
+    df = df.withColumn("pii_base", F.concat(*(f"pii_{kind}" for kind in KINDS[:4])).cast(SPAN)).drop(*(f"pii_{kind}" for kind in KINDS[:4]))
     df = located(df, text, "pii_more", CANDIDATES)
-    df = df.withColumn("pii_more", F.transform("pii_more", lambda x: _span(F.col(text), _kind_of(x["value"]), x)))
-    df = df.withColumn("pii_base", F.col("pii_base").cast(SPAN)).withColumn("pii_more", F.col("pii_more").cast(SPAN))
+    df = df.withColumn("pii_more", F.transform("pii_more", lambda x: _span(_kind_of(x["value"]), x, "value")))
     ordered = F.array_sort("pii_base", lambda x, y: x["start"] - y["start"])
-    clear = F.filter("pii_more", lambda x: ~F.exists("pii_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    trimmed = F.flatten(F.transform("pii_more", lambda x: _outside(F.col(text), x, ordered)))
-    return df.withColumn("pii_more", F.when(F.size(clear) == F.size("pii_more"), F.col("pii_more")).otherwise(trimmed.cast(SPAN)))
+    bare = lambda s: F.struct(*(s[c].alias(c) for c in ("kind", "start", "end", "votes", "size")))
+
+    def trimmed(blocks):
+        over = lambda s: F.flatten(F.transform(_meeting(blocks, s), lambda b: _meeting(b["spans"], s)))
+        return F.flatten(F.transform("pii_more", lambda s: let(over(s), lambda o: F.when(F.size(o) == 0, F.array(bare(s))).otherwise(_outside(s, o)))))
+
+    some = (F.size("pii_base") > 0) & (F.size("pii_more") > 0)
+    more = F.when(some, let(let(ordered, _in_blocks), trimmed)).otherwise(F.transform("pii_more", bare))
+    return df.withColumn("pii_more", more.cast(SPAN))
 
 
 def votes_of(packed: int) -> list[int]:
@@ -270,21 +326,31 @@ def find(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each span replaced by its kind in angle brackets; overlapping spans go as one."""
     columns = docs.columns
-    weights = train(annotated(docs))
     # The row travels as one struct, so no column of the table can clash with those made here.
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row_"), "text")
-    df = annotated(rows, "row_").withColumn("pii_all", F.array_sort(F.transform(chosen(weights), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
-    reached = F.transform("pii_all", lambda s, i: F.coalesce(F.array_max(F.transform(F.slice("pii_all", F.lit(1), i), lambda x: x["end"])), F.lit(0)))
-    df = df.withColumn("pii_from", reached)
+    df = stored(annotated(rows, "row_").drop("pii_text"), "spans")
+    weights = train(df)
+    found = F.array_sort(F.transform(chosen(weights), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    df = df.select("row_", found.alias("pii_all"), F.coalesce("row_.text", F.lit("")).alias("pii_text"))
     marks = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
+    size = F.char_length("pii_text")
+    chunks = F.transform(F.sequence(F.lit(0), (size / CHUNK).cast("int")), lambda c: F.substring(F.col("pii_text"), c * CHUNK + 1, F.lit(CHUNK)))
+
+    def between(chunks, begin, end):
+        """A piece of the text from the chunks that it touches, so that no piece is counted from the text's start."""
+        first, last = (begin / CHUNK).cast("int"), (end / CHUNK).cast("int")
+        return F.substring(F.array_join(F.slice(chunks, first + 1, last - first + 1), ""), begin - first * CHUNK + 1, end - begin)
+
+    def masked(chunks, reached):
+        def piece(s, i):
+            begin = F.get(reached, i)
+            return F.when(s["start"] >= begin, F.concat(between(chunks, begin, s["start"]), F.element_at(marks, s["kind"] + 1))).otherwise("")
 
-    def piece(s, i):
-        begin = F.element_at("pii_from", i + 1)
-        return F.when(s["start"] >= begin, F.concat(F.substring("pii_text", begin + 1, s["start"] - begin), F.element_at(marks, s["kind"] + 1))).otherwise("")
+        last = F.array_max(F.transform("pii_all", lambda s: s["end"]))
+        return F.concat(F.array_join(F.transform("pii_all", piece), ""), between(chunks, last, size))
 
-    last = F.array_max(F.transform("pii_all", lambda s: s["end"]))
-    tail = F.substring(F.col("pii_text"), last + 1, F.char_length("pii_text"))
-    text = F.when(F.size("pii_all") > 0, F.concat(F.array_join(F.transform("pii_all", piece), ""), tail)).otherwise(F.col("row_.text"))
+    reached = let(F.transform("pii_all", lambda s: s["end"]), lambda e: running(e, larger))
+    text = F.when(F.size("pii_all") > 0, let(chunks, lambda c: let(reached, lambda r: masked(c, r)))).otherwise(F.col("row_.text"))
     return df.select(*(text.alias("text") if c == "text" else F.col(f"row_.`{c}`").alias(c) for c in columns))
 
 
