@@ -1,11 +1,15 @@
 """Exact top-k BM25 search: per-shard inverted indexes with block-max WAND pruning, global statistics.
 
-Documents are dealt evenly to shards of bounded expected size; document frequencies and the mean length are
-counted over all documents, so a shard's scores are final and the shards' lists merge exactly. In a shard,
-documents that share their most frequent word stand together; postings are cut into blocks of neighbouring
-documents with the largest impact of each (term, block). For a query, the sum of the maxima bounds every
-document of a block: the most promising blocks are scored first, the k-th best score so far is the threshold,
-and blocks whose bound stays below it are skipped unread. Queries stream from a table in the shared folder.
+Documents are dealt in turn to shards of bounded size; document frequencies and the mean length are counted over
+all documents, so a shard's scores are final and the shards' lists merge exactly. In a shard, documents that share
+their most frequent word stand together; postings are cut into blocks of neighbouring documents with the largest
+impact of each (term, block).
+
+A WAND cursor stops only at a pivot: a document at which the bounds of the lists that can hold it reach the
+threshold. Here that test runs over whole columns instead of one cursor step at a time. Lists are read in groups from
+the largest bound down; after each group the threshold rises to the k-th best score so far, and the documents that are
+still possible pivots are those whose score so far and the block maxima of the unread lists reach it. Blocks without
+one are skipped in every further list. Queries stream from a table in the shared folder.
 
 A query is the set of distinct words of a whole text. Ranks go by score rounded to 6 digits, then doc_id.
 Defined results: queries without words get no rows; documents without words are never found; null texts count
@@ -23,11 +27,16 @@ import pyarrow.dataset
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket, fresh_path, table, texts
+from .common import fresh_path, stored, table, texts
 from .warc import filesystem
 
 K1, B = 1.2, 0.75
 BLOCK = 64
+#: Parts of a query's postings after which the threshold is raised, and documents that are scored at once when no more are left.
+SHARES = np.array([0.2, 0.35, 0.5, 0.7])
+FEW = 16
+#: The part after which the leaders' whole scores are taken.
+WHOLE_AT = 1
 CHUNK_BYTES = 1 << 22
 DF_FLUSH = 2_000_000
 
@@ -102,6 +111,8 @@ def ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
 
 
 class ShardIndex:
+    """Lists by term, in blocks of documents, with the largest impact of each list in each block; and the terms of each document."""
+
     def __init__(self, ids: np.ndarray, documents: pa.Array | pa.ChunkedArray, mean_length: float):
         doc, name, tf = term_counts(documents)
         self.names = np.unique(name)
@@ -118,68 +129,116 @@ class ShardIndex:
         place = np.empty(len(ids), np.int32)
         place[order] = np.arange(len(ids))
         self.ids = ids[order]
-        by_term = np.lexsort((place[doc], term))
-        doc, tf, term = doc[by_term], tf[by_term], term[by_term]
-        del by_term
-        self.impact = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * sizes / mean_length))[doc])
-        self.doc = place[doc]
+        impact = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * sizes / mean_length))[doc])
+        doc = place[doc]
+        by_doc = np.argsort(doc, kind="stable")
+        self.own_term, self.own_impact = term[by_doc], impact[by_doc]
+        self.own_start = np.searchsorted(doc[by_doc], np.arange(len(ids) + 1))
+        del by_doc
+        by_term = np.lexsort((doc, term))
+        self.doc, term = doc[by_term], term[by_term]
+        self.impact = impact[by_term].astype(np.float32)
+        del by_term, doc, impact
         # Entries: the runs of one term within one block, with their largest impact; the last start is the end.
         block = self.doc // BLOCK
         entry = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])[: len(term)])
         self.entry_start = np.append(entry, len(term)).astype(np.int32)
         self.entry_block = block[entry]
-        self.entry_max = np.maximum.reduceat(self.impact, entry) if len(entry) else np.zeros(0)
+        self.entry_max = np.maximum.reduceat(self.impact, entry) if len(entry) else np.zeros(0, np.float32)
         self.term_entries = np.searchsorted(term[entry], np.arange(len(self.names) + 1))
+        self.term_max = np.maximum.reduceat(self.entry_max, self.term_entries[:-1]) if len(entry) else np.zeros(0, np.float32)
         self.n_blocks = -(-len(ids) // BLOCK)
+        self.block_of = np.arange(len(ids)) // BLOCK
+        self.weight = np.zeros(len(self.names))
+        self.read = self.listed = 0  # postings read, and in the lists of all queries
+
+    def whole(self, docs: np.ndarray) -> np.ndarray:
+        """Scores of some documents by their own terms, in the order of the terms; minus one for those that share none."""
+        out = np.empty(len(docs))
+        for i, (start, stop) in enumerate(zip(self.own_start[docs].tolist(), self.own_start[docs + 1].tolist())):
+            weight = self.weight[self.own_term[start:stop]]
+            out[i] = weight @ self.own_impact[start:stop] if weight.any() else -1.0
+            self.read += stop - start
+        return out
 
     def search(self, terms: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and rounded scores of the k best documents."""
+        """Ids and rounded scores of the k best documents.
+
+        Lists are read from the largest bound down, in groups. After each group the k-th best score so far is the
+        threshold, which only rises; a document whose score so far and the block maxima of the
+        lists that are left don't reach it can't be a pivot any more, and blocks without such documents are skipped
+        in all further lists. When few are left they get their whole scores.
+        """
         at = np.searchsorted(self.names, terms)
         at[at == len(self.names)] = 0
         here = self.names[at] == terms if len(self.names) else np.zeros(len(terms), bool)
-        # Terms in order of their names, so equal documents get equal sums in every shard.
-        order = np.argsort(at[here], kind="stable")
-        t, w = at[here][order], idf[here][order]
+        t, w = at[here], idf[here]
         if not len(t):
             return self.ids[:0], np.zeros(0)
-        entries = ranges(self.term_entries[t], self.term_entries[t + 1])
-        weight = np.repeat(w, self.term_entries[t + 1] - self.term_entries[t])
+        order = np.argsort(-self.term_max[t] * w, kind="stable")
+        t, w = t[order], w[order]
+        self.weight[t] = w
+        first, last = self.term_entries[t], self.term_entries[t + 1]
+        length = np.cumsum(self.entry_start[last] - self.entry_start[first])
+        group = np.searchsorted(length[-1] * SHARES, length, side="left")
+        entries, n = ranges(first, last), last - first
+        # Scores so far are in single precision, so bounds get a margin; what is returned comes from whole scores.
+        weight, of_group = np.repeat(w.astype(np.float32), n), np.repeat(group, n)
         blocks = self.entry_block[entries]
-        bound = np.bincount(blocks, self.entry_max[entries] * weight, self.n_blocks)
-        best, scores = np.zeros(0, np.int64), np.zeros(0)
-        lead, floor = np.zeros(self.n_blocks, bool), 0.0
-        lead[np.argsort(-bound, kind="stable")[: max(4, self.n_blocks // 16)]] = True
-        for pick in (lead, None):
-            if pick is None:
-                pick = ~lead & (bound >= floor - 1e-5)
-            chosen = pick[blocks]
-            if not chosen.any():
-                continue
-            e = entries[chosen]
-            start, stop = self.entry_start[e], self.entry_start[e + 1]
+        bounds = np.bincount(of_group * self.n_blocks + blocks, self.entry_max[entries] * weight, (len(SHARES) + 1) * self.n_blocks).reshape(-1, self.n_blocks)
+        left = bounds.sum(axis=0)
+        margin = 1e-4 * (1 + left.max())
+        score, alive, floor = np.zeros(len(self.ids)), np.arange(len(self.ids)), -1.0
+        ends = np.searchsorted(of_group, np.arange(len(SHARES) + 2))
+        live = left > 0
+        for g in range(len(SHARES) + 1):
+            e = entries[ends[g] : ends[g + 1]]
+            pick = live[blocks[ends[g] : ends[g + 1]]]
+            start, stop = self.entry_start[e[pick]], self.entry_start[e[pick] + 1]
             postings = ranges(start, stop)
-            total = np.round(np.bincount(self.doc[postings], self.impact[postings] * np.repeat(weight[chosen], stop - start), len(self.ids)), 6)
-            # Every document that a term touches scores over zero.
-            found = np.flatnonzero(total > max(0.0, floor - 2e-6))
-            if len(found) > k:
-                cut = np.partition(total[found], len(found) - k)[len(found) - k]
-                found = found[total[found] >= cut]
-            best, scores = np.concatenate([best, found]), np.concatenate([scores, total[found]])
-            keep = np.lexsort((self.ids[best], -scores))[:k]
-            best, scores = best[keep], scores[keep]
-            if len(scores) == k:
-                floor = scores[-1]
-        return self.ids[best], scores
+            self.read += len(postings)
+            if len(postings):
+                score += np.bincount(self.doc[postings], self.impact[postings] * np.repeat(weight[ends[g] : ends[g + 1]][pick], stop - start), len(self.ids))
+            left = left - bounds[g]
+            so_far = score[alive]
+            if len(alive) > k:
+                best = np.argpartition(-so_far, k - 1)[:k]
+                # Any k documents give a threshold: what they have so far, and once what they have on the whole.
+                least = (self.whole(alive[best]) if g == WHOLE_AT else so_far[best]).min()
+                floor = max(floor, least - margin)
+            alive = alive[so_far + np.maximum(left, 0.0)[self.block_of[alive]] >= floor]
+            if len(alive) <= FEW:
+                break
+            live = np.zeros(self.n_blocks, bool)
+            live[self.block_of[alive]] = True
+        self.listed += int(length[-1])
+        whole = self.whole(alive)
+        self.weight[t] = 0.0
+        best, scores = alive[whole >= 0], np.round(whole[whole >= 0], 6)
+        keep = np.lexsort((self.ids[best], -scores))[:k]
+        return self.ids[best[keep]], scores[keep]
+
+
+def parts_of(batches, most_bytes: int):
+    """Batches (doc_id, text) cut so that none but a single row has more bytes of text."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(), dtype=np.int64)
+        cuts = [0, *np.flatnonzero(np.diff(ends // most_bytes, prepend=0)).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                yield batch.slice(a, b - a)
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard_docs: int = 16_384, shard_words: int = 8_000_000) -> DataFrame:
     """query_id, doc_id, score and rank of the k best documents for each row of queries (both with doc_id and text).
 
-    A shard is expected to have at most shard_docs documents and shard_words words, which bounds its memory.
+    Rows are dealt in turn, whatever their ids are, to partitions of shard_docs rows and shard_words words at most on
+    average; a partition that gets half as much again is searched as several shards, which bounds the memory of a task.
+    Every shard reads all queries, so work grows with queries times shards.
     """
     spark = docs.sparkSession
     docs, queries = texts(docs), texts(queries)
-    counted = statistics(docs).persist()
+    counted = stored(statistics(docs), "terms")
     n_docs = docs.count()
     n_words = counted.where("term is null").agg(F.sum("df")).first()[0] or 0
     mean_length = max(1.0, n_words / max(1, n_docs))
@@ -187,9 +246,10 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard_docs: int = 1
     weighted = query_terms(queries).join(counted.where("term is not null"), "term").select("query_id", "term", idf.alias("idf"))
     path = fresh_path(spark, "queries")
     weighted.groupBy("query_id").agg(F.collect_list("term").alias("terms"), F.collect_list("idf").alias("idf")).write.parquet(path)
-    counted.unpersist()
+    most_docs, most_bytes = shard_docs * 3 // 2, shard_words * 12
 
-    def searched(shard: pa.Table) -> pa.Table:
+    def answers(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        shard = pa.Table.from_batches(held)
         index = ShardIndex(shard["doc_id"].to_numpy(), shard["text"], mean_length)
         where, root = filesystem(path)
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -199,11 +259,23 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard_docs: int = 1
                 ids, scores = index.search(terms[i].values.to_numpy(), weights[i].values.to_numpy(), k)
                 out.append((np.full(len(ids), query, np.int64), ids, scores))
         columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0)] * 3
-        return pa.table([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "doc_id", "score"])
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "doc_id", "score"])
+
+    def searched(batches):
+        held, rows, size = [], 0, 0
+        for part in parts_of(batches, most_bytes // 8):
+            n = pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
+            if held and (rows + part.num_rows > most_docs or size + n > most_bytes):
+                yield answers(held)
+                held, rows, size = [], 0, 0
+            held.append(part)
+            rows, size = rows + part.num_rows, size + n
+        if held:
+            yield answers(held)
 
     n_shards = max(1, -(-n_docs // shard_docs), -(-n_words // shard_words))
-    dealt = docs.withColumn("shard_", bucket("doc_id", n=n_shards, seed=3)).withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    hits = dealt.groupBy("shard_").applyInArrow(searched, "query_id long, doc_id long, score double")
+    dealt = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63)))).repartition(n_shards)
+    hits = dealt.mapInArrow(searched, "query_id long, doc_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")).alias("doc_id"), "score", "rank")

@@ -279,17 +279,3 @@ def test_warc_round_trip_and_pushdown(spark):
     path = warc.fresh_path(spark, "warc-test")
     warc.write_pages(pages.limit(0), path)
     assert warc.read_warc(spark, path).count() == 0
-
-
-def test_search(spark, docs, empty):
-    counts = [Counter(search.words_of(t or "")) for t in TEXTS]
-    sizes, n = [sum(c.values()) for c in counts], len(TEXTS)
-    mean, df = sum(sizes) / n, Counter(w for c in counts for w in c)
-    found = search.search(docs, docs, k=3, shard_docs=5).toPandas()
-    for q, terms in enumerate(counts):
-        scores = []
-        for d, c in enumerate(counts):
-            s = sum(math.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * sizes[d] / mean)) for w in terms if w in c)
-            scores += [(-round(s, 6), d)] if s > 0 else []
-        assert found[found.query_id == q].sort_values("rank").doc_id.tolist() == [d for _, d in sorted(scores)[:3]]
-    assert search.search(empty, empty).count() == 0
