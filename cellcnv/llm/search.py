@@ -9,7 +9,8 @@ A WAND cursor stops only at a pivot: a document at which the bounds of the lists
 threshold. Here that test runs over whole columns instead of one cursor step at a time. Lists are read in groups from
 the largest bound down; after each group the threshold rises to the k-th best score so far, and the documents that are
 still possible pivots are those whose score so far and the block maxima of the unread lists reach it. Blocks without
-one are skipped in every further list. Queries stream from a table in the shared folder.
+one are skipped in every further list. A part of the corpus is searched first, and its k-th best scores are what all
+other shards start from. Queries stream from a table in the shared folder.
 
 A query is the set of distinct words of a whole text. Ranks go by score rounded to 6 digits, then doc_id.
 Defined results: queries without words get no rows; documents without words are never found; null texts count
@@ -37,6 +38,10 @@ SHARES = np.array([0.2, 0.35, 0.5, 0.7])
 FEW = 16
 #: The part after which the leaders' whole scores are taken.
 WHOLE_AT = 1
+#: One row in so many is searched first, for a threshold to begin with.
+AHEAD = 8
+#: What stands for a null doc_id in a shard.
+LOWEST = -(1 << 63)
 CHUNK_BYTES = 1 << 22
 DF_FLUSH = 2_000_000
 
@@ -150,7 +155,7 @@ class ShardIndex:
         self.n_blocks = -(-len(ids) // BLOCK)
         self.block_of = np.arange(len(ids)) // BLOCK
         self.weight = np.zeros(len(self.names))
-        self.read = self.listed = 0  # postings read, and in the lists of all queries
+        self.read = self.listed = 0  # postings of the queries' lists that were read, and all of them
 
     def whole(self, docs: np.ndarray) -> np.ndarray:
         """Scores of some documents by their own terms, in the order of the terms; minus one for those that share none."""
@@ -158,10 +163,9 @@ class ShardIndex:
         for i, (start, stop) in enumerate(zip(self.own_start[docs].tolist(), self.own_start[docs + 1].tolist())):
             weight = self.weight[self.own_term[start:stop]]
             out[i] = weight @ self.own_impact[start:stop] if weight.any() else -1.0
-            self.read += stop - start
         return out
 
-    def search(self, terms: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, terms: np.ndarray, idf: np.ndarray, k: int, floor: float = -1.0) -> tuple[np.ndarray, np.ndarray]:
         """Ids and rounded scores of the k best documents.
 
         Lists are read from the largest bound down, in groups. After each group the k-th best score so far is the
@@ -188,9 +192,11 @@ class ShardIndex:
         bounds = np.bincount(of_group * self.n_blocks + blocks, self.entry_max[entries] * weight, (len(SHARES) + 1) * self.n_blocks).reshape(-1, self.n_blocks)
         left = bounds.sum(axis=0)
         margin = 1e-4 * (1 + left.max())
-        score, alive, floor = np.zeros(len(self.ids)), np.arange(len(self.ids)), -1.0
+        score = np.zeros(len(self.ids))
         ends = np.searchsorted(of_group, np.arange(len(SHARES) + 2))
-        live = left > 0
+        floor -= margin
+        live = (left > 0) & (left >= floor)
+        alive = np.flatnonzero(live[self.block_of])
         for g in range(len(SHARES) + 1):
             e = entries[ends[g] : ends[g + 1]]
             pick = live[blocks[ends[g] : ends[g + 1]]]
@@ -199,14 +205,15 @@ class ShardIndex:
             self.read += len(postings)
             if len(postings):
                 score += np.bincount(self.doc[postings], self.impact[postings] * np.repeat(weight[ends[g] : ends[g + 1]][pick], stop - start), len(self.ids))
-            left = left - bounds[g]
+            left = bounds[g + 1 :].sum(axis=0)
             so_far = score[alive]
             if len(alive) > k:
                 best = np.argpartition(-so_far, k - 1)[:k]
                 # Any k documents give a threshold: what they have so far, and once what they have on the whole.
                 least = (self.whole(alive[best]) if g == WHOLE_AT else so_far[best]).min()
                 floor = max(floor, least - margin)
-            alive = alive[so_far + np.maximum(left, 0.0)[self.block_of[alive]] >= floor]
+            bound = so_far + left[self.block_of[alive]]
+            alive = alive[(bound > 0) & (bound >= floor)]
             if len(alive) <= FEW:
                 break
             live = np.zeros(self.n_blocks, bool)
@@ -229,14 +236,20 @@ def parts_of(batches, most_bytes: int):
                 yield batch.slice(a, b - a)
 
 
+def _written(df: DataFrame) -> str:
+    path = fresh_path(df.sparkSession, "queries")
+    df.write.parquet(path)
+    return path
+
+
 def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard_docs: int = 16_384, shard_words: int = 8_000_000) -> DataFrame:
     """query_id, doc_id, score and rank of the k best documents for each row of queries (both with doc_id and text).
 
     Rows are dealt in turn, whatever their ids are, to partitions of shard_docs rows and shard_words words at most on
     average; a partition that gets half as much again is searched as several shards, which bounds the memory of a task.
-    Every shard reads all queries, so work grows with queries times shards.
+    One row in AHEAD is searched first; the k-th best score there is what every other shard starts from, so the more
+    rows there are, the more is pruned. Every shard reads all queries: work grows with queries times shards.
     """
-    spark = docs.sparkSession
     docs, queries = texts(docs), texts(queries)
     counted = stored(statistics(docs), "terms")
     n_docs = docs.count()
@@ -244,9 +257,29 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard_docs: int = 1
     mean_length = max(1.0, n_words / max(1, n_docs))
     idf = F.log1p((F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = query_terms(queries).join(counted.where("term is not null"), "term").select("query_id", "term", idf.alias("idf"))
-    path = fresh_path(spark, "queries")
-    weighted.groupBy("query_id").agg(F.collect_list("term").alias("terms"), F.collect_list("idf").alias("idf")).write.parquet(path)
-    most_docs, most_bytes = shard_docs * 3 // 2, shard_words * 12
+    lists = weighted.groupBy("query_id").agg(F.collect_list("term").alias("terms"), F.collect_list("idf").alias("idf"))
+    asked = stored(lists.withColumn("floor", F.lit(-1.0)), "queries")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+
+    def best(hits: DataFrame) -> DataFrame:
+        return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    def hits_in(part: DataFrame, n: int, asked: DataFrame) -> DataFrame:
+        n_shards = max(1, -(-n // shard_docs), -(-n_words * n // (shard_words * max(1, n_docs))))
+        run = shard_search(_written(asked), k, mean_length, shard_docs * 3 // 2, shard_words * 12)
+        return part.withColumn("doc_id", F.coalesce("doc_id", F.lit(LOWEST))).repartition(n_shards).mapInArrow(run, "query_id long, doc_id long, score double")
+
+    ahead = F.pmod(F.xxhash64("doc_id", "text"), F.lit(AHEAD)) == 0
+    n_ahead = docs.where(ahead).count()
+    first = stored(best(hits_in(docs.where(ahead), n_ahead, asked)).drop("rank"), "hits")
+    floors = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") == k)
+    raised = asked.join(floors, "query_id", "left").select("query_id", "terms", "idf", F.coalesce("least", "floor").alias("floor"))
+    others = hits_in(docs.where(~ahead), n_docs - n_ahead, raised)
+    return best(first.unionByName(others)).select("query_id", F.when(F.col("doc_id") != LOWEST, F.col("doc_id")).alias("doc_id"), "score", "rank")
+
+
+def shard_search(path: str, k: int, mean_length: float, most_docs: int, most_bytes: int):
+    """A mapInArrow function: documents to the hits of all queries stored at path, shard by shard."""
 
     def answers(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         shard = pa.Table.from_batches(held)
@@ -255,13 +288,13 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard_docs: int = 1
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in pyarrow.dataset.dataset(root, filesystem=where, format="parquet").to_batches(batch_size=2000):
             terms, weights = batch.column("terms"), batch.column("idf")
-            for i, query in enumerate(batch.column("query_id").to_pylist()):
-                ids, scores = index.search(terms[i].values.to_numpy(), weights[i].values.to_numpy(), k)
+            for i, (query, floor) in enumerate(zip(batch.column("query_id").to_pylist(), batch.column("floor").to_pylist())):
+                ids, scores = index.search(terms[i].values.to_numpy(), weights[i].values.to_numpy(), k, floor)
                 out.append((np.full(len(ids), query, np.int64), ids, scores))
         columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0)] * 3
         return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "doc_id", "score"])
 
-    def searched(batches):
+    def run(batches):
         held, rows, size = [], 0, 0
         for part in parts_of(batches, most_bytes // 8):
             n = pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
@@ -273,12 +306,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard_docs: int = 1
         if held:
             yield answers(held)
 
-    n_shards = max(1, -(-n_docs // shard_docs), -(-n_words // shard_words))
-    dealt = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63)))).repartition(n_shards)
-    hits = dealt.mapInArrow(searched, "query_id long, doc_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")).alias("doc_id"), "score", "rank")
+    return run
 
 
 def op3_search(spark, sf_dir):
