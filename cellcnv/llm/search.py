@@ -32,12 +32,10 @@ from .common import fresh_path, stored, table, texts
 from .warc import filesystem
 
 K1, B = 1.2, 0.75
-BLOCK = 64
+BLOCK = 128
 #: Parts of a query's postings after which the threshold is raised, and documents that are scored at once when no more are left.
 SHARES = np.array([0.2, 0.35, 0.5, 0.7])
 FEW = 16
-#: The part after which the leaders' whole scores are taken.
-WHOLE_AT = 1
 #: One row in so many is searched first, for a threshold to begin with.
 AHEAD = 8
 #: What stands for a null doc_id in a shard.
@@ -120,9 +118,12 @@ class ShardIndex:
 
     def __init__(self, ids: np.ndarray, documents: pa.Array | pa.ChunkedArray, mean_length: float):
         doc, name, tf = term_counts(documents)
-        self.names = np.unique(name)
-        term = np.searchsorted(self.names, name).astype(np.int32)
-        del name
+        coded, seen = pd.factorize(name)
+        by_name = np.argsort(seen)
+        self.names, rank = seen[by_name], np.empty(len(seen), np.int32)
+        rank[by_name] = np.arange(len(seen))
+        term = rank[coded]
+        del name, coded
         sizes = np.bincount(doc, tf, len(ids))
         # Documents with the same most frequent word stand together.
         most = np.zeros(len(ids), np.int32)
@@ -194,7 +195,7 @@ class ShardIndex:
         margin = 1e-4 * (1 + left.max())
         score = np.zeros(len(self.ids))
         ends = np.searchsorted(of_group, np.arange(len(SHARES) + 2))
-        floor -= margin
+        raise_early, floor = floor < 0, floor - margin
         live = (left > 0) & (left >= floor)
         alive = np.flatnonzero(live[self.block_of])
         for g in range(len(SHARES) + 1):
@@ -209,8 +210,8 @@ class ShardIndex:
             so_far = score[alive]
             if len(alive) > k:
                 best = np.argpartition(-so_far, k - 1)[:k]
-                # Any k documents give a threshold: what they have so far, and once what they have on the whole.
-                least = (self.whole(alive[best]) if g == WHOLE_AT else so_far[best]).min()
+                # Any k documents give a threshold: what they have so far, and once, without a floor, what they have on the whole.
+                least = (self.whole(alive[best]) if g == 1 and raise_early else so_far[best]).min()
                 floor = max(floor, least - margin)
             bound = so_far + left[self.block_of[alive]]
             alive = alive[(bound > 0) & (bound >= floor)]
@@ -269,7 +270,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard_docs: int = 1
         run = shard_search(_written(asked), k, mean_length, shard_docs * 3 // 2, shard_words * 12)
         return part.withColumn("doc_id", F.coalesce("doc_id", F.lit(LOWEST))).repartition(n_shards).mapInArrow(run, "query_id long, doc_id long, score double")
 
-    ahead = F.pmod(F.xxhash64("doc_id", "text"), F.lit(AHEAD)) == 0
+    ahead = F.pmod(F.xxhash64("doc_id"), F.lit(AHEAD)) == 0
     n_ahead = docs.where(ahead).count()
     first = stored(best(hits_in(docs.where(ahead), n_ahead, asked)).drop("rank"), "hits")
     floors = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") == k)
