@@ -5,18 +5,19 @@ length the smallest of its gram hashes is its anchor (leftmost on ties), so equa
 at equal offsets. A run of windows with one anchor is one occurrence: anchor hash, hash of its bytes, place.
 
 1. Anchors that occur once in the corpus are done: their windows are unique. Counting combines before the shuffle.
-2. Where all occurrences of an anchor have the same bytes, all but the first are repeats, whole.
-3. Elsewhere each different snippet of an anchor is kept once, and snippets are dealt to buckets by anchor;
-   anchors with very many snippets are dealt window by window instead. Inside a bucket the snippets of each
+2. Equal snippets of an anchor (64-bit hashes of their bytes) are joined before anything is gathered, so a group of
+   copies, however large, is one string; its later copies are repeats, whole.
+3. What is left, the different snippets of each anchor, is dealt to buckets by anchor; anchors with very many are
+   dealt window by window instead, so that no bucket gets them all. Inside a bucket the snippets of each
    small shard are sorted into a Burrows-Wheeler transform, and the shards' transforms are merged: starting
    from the shards one after the other, the interleave is refined by stable passes over the transforms'
    symbols; each pass makes the order right for two more bytes, and where neighbours part their common prefix
    ends. After `length` bytes the blocks that never parted are the repeated intervals. Only rows that reach the
    start of a window take part, and a row that is alone in its block has nothing equal and leaves.
 
-Defined results: null and empty texts have no bytes; documents shorter than `length` lose nothing; rows that
-repeat a doc_id are one document and don't count as earlier than each other; a null doc_id is the lowest;
-extra columns are ignored; an empty table gives an empty result.
+Defined results: null and empty texts have no bytes; documents shorter than `length` lose nothing; rows that repeat
+a doc_id don't count as earlier than each other, and those that repeat its text too are one document; a null doc_id
+is the lowest; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ HOT_SNIPPETS = 20_000
 BUCKET_BYTES = 600_000
 SHARD_BYTES = 60_000
 CHUNK_BYTES = 1 << 18
-OCCURRENCE = "doc_ long, f_ long, h_ long, lo_ int, n_ int, again_ boolean"
+OCCURRENCE = "doc_ long, text_ long, f_ long, h_ long, lo_ int, n_ int, again_ boolean"
 LOWEST = -(1 << 63)
 
 
@@ -90,13 +91,13 @@ def occurrences_in(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.
 def occurrences(docs: DataFrame, length: int) -> DataFrame:
     """All anchor runs of all documents; again_ marks those whose bytes came earlier in the same document."""
 
-    def chunks(ids, texts):
+    def chunks(ids, keys, texts):
         held, size = [], 0
-        for i, t in zip(ids, texts):
+        for i, key, t in zip(ids, keys, texts):
             if size and size + len(t) > CHUNK_BYTES:
                 yield held
                 held, size = [], 0
-            held.append((i, t))
+            held.append((i, key, t))
             size += len(t)
         if held:
             yield held
@@ -105,19 +106,18 @@ def occurrences(docs: DataFrame, length: int) -> DataFrame:
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             texts = [t.encode() for t in batch.column("text").to_pylist()]
-            for held in chunks(batch.column("doc_").to_pylist(), texts):
-                joined = b"".join([t for _, t in held])
-                doc, f, first, n = occurrences_in(np.frombuffer(joined, np.uint8), np.cumsum([len(t) for _, t in held]), length)
-                starts = np.cumsum([0, *(len(t) for _, t in held)])
+            for held in chunks(batch.column("doc_").to_pylist(), batch.column("text_").to_pylist(), texts):
+                ids, keys, parts = zip(*held)
+                joined, starts = b"".join(parts), np.cumsum([0, *map(len, parts)])
+                doc, f, first, n = occurrences_in(np.frombuffer(joined, np.uint8), starts[1:], length)
                 h = np.fromiter((digest(joined[a:b]) for a, b in zip(first.tolist(), (first + n + length - 1).tolist())), np.uint64, len(first))
                 order = np.lexsort((first, h, f, doc))
                 same = (doc[order][1:] == doc[order][:-1]) & (f[order][1:] == f[order][:-1]) & (h[order][1:] == h[order][:-1])
                 again = np.zeros(len(first), bool)
                 again[order[1:][same]] = True
-                ids = np.array([i for i, _ in held], np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[doc]), pa.array(f.view(np.int64)), pa.array(h.view(np.int64)), pa.array((first - starts[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(again)],
-                    ["doc_", "f_", "h_", "lo_", "n_", "again_"],
+                    [pa.array(np.array(ids, np.int64)[doc]), pa.array(np.array(keys, np.int64)[doc]), pa.array(f.view(np.int64)), pa.array(h.view(np.int64)), pa.array((first - starts[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(again)],
+                    ["doc_", "text_", "f_", "h_", "lo_", "n_", "again_"],
                 )
 
     return docs.mapInArrow(run, OCCURRENCE)
@@ -200,8 +200,8 @@ def merge(transforms: list[Transform], rows: list[np.ndarray], depth: int, n_cod
     return interleave, block
 
 
-def repeated_windows(strings: list[bytes], windows: np.ndarray, doc: np.ndarray, lo: np.ndarray, length: int) -> np.ndarray:
-    """For each window (string by string, windows[i] of string i) whether an equal one has a smaller (doc, start)."""
+def repeated_windows(strings: list[bytes], windows: np.ndarray, doc: np.ndarray, text: np.ndarray, lo: np.ndarray, length: int) -> np.ndarray:
+    """For each window (string by string, windows[i] of string i) whether an equal one has a smaller doc, or starts earlier in the same text."""
     used = np.unique(np.frombuffer(b"".join(strings), np.uint8))
     codes, n_codes = np.zeros(256, np.int64), len(used) + 1
     codes[used] = np.arange(1, n_codes)
@@ -228,12 +228,13 @@ def repeated_windows(strings: list[bytes], windows: np.ndarray, doc: np.ndarray,
         at = t.order[interleave[mine] - shift[k]]
         string[mine], offset[mine] = np.array(shard)[part.string[at]], part.offset[at]
     start = lo[string] + offset
-    order = np.lexsort((start, doc[string], block))
-    b, d, s = block[order], doc[string][order], start[order]
+    order = np.lexsort((start, text[string], doc[string], block))
+    b, d, t = block[order], doc[string][order], text[string][order]
     head = np.concatenate([[True], b[1:] != b[:-1]])[: len(b)]
     first = np.maximum.accumulate(np.where(head, np.arange(len(b)), 0))
+    same = np.concatenate([[False], (b[1:] == b[:-1]) & (d[1:] == d[:-1]) & (t[1:] == t[:-1])])[: len(b)]
     later = np.zeros(int(windows.sum()), bool)
-    later[(first_window[string] + offset)[order]] = (d != d[first]) | (s != s[first])
+    later[(first_window[string] + offset)[order]] = (d != d[first]) | same
     return later
 
 
@@ -244,68 +245,73 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _repeats_in_bucket(length: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["doc_", "lo_"], ignore_index=True)
-        windows, doc, lo = (group[c].to_numpy(np.int64) for c in ("n_", "doc_", "lo_"))
-        later = repeated_windows(group["bytes_"].tolist(), windows, doc, lo, length)
+        group = group.sort_values(["doc_", "text_", "lo_"], ignore_index=True)
+        windows, doc, text, lo = (group[c].to_numpy(np.int64) for c in ("n_", "doc_", "text_", "lo_"))
+        later = repeated_windows(group["bytes_"].tolist(), windows, doc, text, lo, length)
         out, at = [], 0
-        for n, d, start in zip(windows.tolist(), doc.tolist(), lo.tolist()):
+        for n, d, t, start in zip(windows.tolist(), doc.tolist(), text.tolist(), lo.tolist()):
             flags = later[at : at + n]
             at += n
             if flags.any():
-                out.extend((d, start + a, start + b - 1 + length) for a, b in zip(*map(np.ndarray.tolist, _runs(flags))))
-        return pd.DataFrame(out, columns=["doc_", "from_", "to_"])
+                out.extend((d, t, start + a, start + b - 1 + length) for a, b in zip(*map(np.ndarray.tolist, _runs(flags))))
+        return pd.DataFrame(out, columns=["doc_", "text_", "from_", "to_"])
 
     return run
 
 
 def _cut(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of each wanted snippet: f_, h_, doc_, lo_, n_, bytes_."""
-    lists = wanted.groupBy("doc_").agg(F.collect_list(F.struct("f_", "h_", "lo_", "n_")).alias("want_"))
+    """The bytes of each wanted snippet: f_, h_, doc_, text_, lo_, n_, bytes_."""
+    lists = wanted.groupBy("doc_", "text_").agg(F.collect_list(F.struct("f_", "h_", "lo_", "n_")).alias("want_"))
+    # Rows that repeat an id and a text are one document.
+    rows = docs.join(lists, ["doc_", "text_"])
 
     def run(batches):
         for batch in batches:
             rows = []
-            for doc, text, want in zip(*(batch.column(c).to_pylist() for c in ("doc_", "text", "want_"))):
+            for doc, key, text, want in zip(*(batch.column(c).to_pylist() for c in ("doc_", "text_", "text", "want_"))):
                 data = text.encode()
-                rows.extend((w["f_"], w["h_"], doc, w["lo_"], w["n_"], data[w["lo_"] : w["lo_"] + w["n_"] + length - 1]) for w in want)
-            columns = list(zip(*rows)) or [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["f_", "h_", "doc_", "lo_", "n_", "bytes_"])
+                rows.extend((w["f_"], w["h_"], doc, key, w["lo_"], w["n_"], data[w["lo_"] : w["lo_"] + w["n_"] + length - 1]) for w in want)
+            columns = list(zip(*rows)) or [()] * 7
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["f_", "h_", "doc_", "text_", "lo_", "n_", "bytes_"])
 
-    return docs.join(lists, "doc_").mapInArrow(run, "f_ long, h_ long, doc_ long, lo_ int, n_ int, bytes_ binary")
+    return rows.mapInArrow(run, "f_ long, h_ long, doc_ long, text_ long, lo_ int, n_ int, bytes_ binary")
 
 
 def _window_by_window(snippets: DataFrame, length: int) -> DataFrame:
     at = F.explode(F.sequence(F.lit(0), F.col("n_") - 1))
-    rows = snippets.select("f_", "doc_", "lo_", "bytes_", at.alias("o_"))
+    rows = snippets.select("f_", "doc_", "text_", "lo_", "bytes_", at.alias("o_"))
     window = F.substring(F.col("bytes_"), F.col("o_") + 1, F.lit(length))
-    return rows.select("f_", "doc_", (F.col("lo_") + F.col("o_")).alias("lo_"), F.lit(1).alias("n_"), window.alias("bytes_"))
+    return rows.select("f_", "doc_", "text_", (F.col("lo_") + F.col("o_")).alias("lo_"), F.xxhash64(window).alias("window_"), F.xxhash64(F.lit(1), window).alias("again_"))
 
 
 def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
-    """doc_, from_, to_: byte ranges that repeated windows cover. docs has doc_ (long, not null) and text."""
+    """doc_, text_, from_, to_: byte ranges that repeated windows cover. docs has doc_ and text_ (longs, not null) and text."""
     found = occurrences(docs, length)
     counts = found.groupBy("f_").agg(F.count("*").alias("count_"), F.min("doc_").alias("first_"), (F.min("h_") != F.max("h_")).alias("several_")).where("count_ > 1").drop("count_")
     shared = stored(found.join(counts, "f_"), "shared")
-    span = ["doc_", F.col("lo_").alias("from_"), (F.col("lo_") + F.col("n_") + length - 1).alias("to_")]
+    span = ["doc_", "text_", F.col("lo_").alias("from_"), (F.col("lo_") + F.col("n_") + length - 1).alias("to_")]
     whole = shared.where("not several_ and (again_ or doc_ > first_)").select(*span)
 
     several = shared.where("several_").drop("first_", "several_")
     snippets = several.groupBy("f_", "h_").agg(F.min("doc_").alias("first_"))
     placed = several.join(snippets, ["f_", "h_"])
     copies = placed.where("again_ or doc_ > first_").select(*span)
-    own = stored(_cut(docs, placed.where("not again_ and doc_ = first_").select("f_", "h_", "doc_", "lo_", "n_").dropDuplicates(["f_", "h_", "doc_"]), length), "snippets")
+    own = placed.where("not again_ and doc_ = first_").select("f_", "h_", "doc_", "text_", "lo_", "n_").dropDuplicates(["f_", "h_", "doc_", "text_"])
+    own = stored(_cut(docs, own, length).dropDuplicates(["f_", "h_", "doc_", "text_"]), "snippets")
     sizes = own.groupBy("f_").agg(F.count("*").alias("k_"))
     hot = sizes.where(F.col("k_") > HOT_SNIPPETS).select("f_")
     total = own.agg(F.sum(F.length("bytes_")).alias("n")).first()["n"] or 0
     n_buckets = max(1, -(-total // BUCKET_BYTES))
-    cool = own.join(hot, "f_", "left_anti").select("doc_", "lo_", "n_", "bytes_", bucket("f_", n=n_buckets, seed=1).alias("bucket_"))
-    single = _window_by_window(own.join(hot, "f_", "left_semi"), length).withColumn("bytes_key_", F.xxhash64("bytes_"))
-    # Windows of a hot anchor are told apart by 128 bits (anchor and window hash), so no bucket gets them all.
-    least = single.groupBy("f_", "bytes_key_").agg(F.min(F.struct("doc_", "lo_")).alias("least_"))
-    placed_hot = single.select("f_", "bytes_key_", "doc_", "lo_").join(least, ["f_", "bytes_key_"])
-    later = placed_hot.where(F.struct("doc_", "lo_") != F.col("least_")).select("doc_", F.col("lo_").alias("from_"), (F.col("lo_") + length).alias("to_"))
-    in_buckets = cool.groupBy("bucket_").applyInPandas(_repeats_in_bucket(length), "doc_ long, from_ int, to_ int")
+    cool = own.join(hot, "f_", "left_anti").select("doc_", "text_", "lo_", "n_", "bytes_", bucket("f_", n=n_buckets, seed=1).alias("bucket_"))
+    # Windows of a hot anchor are told apart by the anchor's and two more hashes, so no bucket gets them all.
+    single = _window_by_window(own.join(hot, "f_", "left_semi"), length)
+    one = ["f_", "window_", "again_"]
+    starts = single.groupBy(*one, "doc_", "text_").agg(F.min("lo_").alias("low_"), F.collect_set("lo_").alias("at_"))
+    least = starts.groupBy(*one).agg(F.min("doc_").alias("least_"))
+    placed_hot = starts.join(least, one).select("doc_", "text_", "least_", "low_", F.explode("at_").alias("lo_"))
+    later = placed_hot.where("doc_ > least_ or lo_ > low_").select("doc_", "text_", F.col("lo_").alias("from_"), (F.col("lo_") + length).alias("to_"))
+    in_buckets = cool.groupBy("bucket_").applyInPandas(_repeats_in_bucket(length), "doc_ long, text_ long, from_ int, to_ int")
     return whole.unionByName(copies).unionByName(later).unionByName(in_buckets)
 
 
@@ -336,9 +342,9 @@ def _removed(length: int):
 def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the bytes that stay) of every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    keyed = docs.select("*", F.coalesce("doc_id", F.lit(LOWEST)).alias("doc_"))
-    spans = repeats(keyed.select("doc_", "text"), length).groupBy("doc_").agg(F.collect_list(F.struct("from_", "to_")).alias("spans_"))
-    return keyed.join(spans, "doc_", "left").select("doc_id", "text", "spans_").mapInArrow(_removed(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    keyed = docs.select("*", F.coalesce("doc_id", F.lit(LOWEST)).alias("doc_"), F.xxhash64("text").alias("text_"))
+    spans = repeats(keyed.select("doc_", "text_", "text"), length).groupBy("doc_", "text_").agg(F.collect_set(F.struct("from_", "to_")).alias("spans_"))
+    return keyed.join(spans, ["doc_", "text_"], "left").select("doc_id", "text", "spans_").mapInArrow(_removed(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op4_suffix_dedup(spark, sf_dir):
