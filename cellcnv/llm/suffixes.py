@@ -39,7 +39,7 @@ HOT_SNIPPETS = 20_000
 BUCKET_BYTES = 600_000
 SHARD_BYTES = 60_000
 CHUNK_BYTES = 1 << 18
-OCCURRENCE = "doc_ long, text_ long, f_ long, h_ long, lo_ int, n_ int, again_ boolean"
+OCCURRENCE = "doc_ long, text_ long, f_ long, h_ long, at_ long"
 LOWEST = -(1 << 63)
 
 
@@ -89,7 +89,11 @@ def occurrences_in(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.
 
 
 def occurrences(docs: DataFrame, length: int) -> DataFrame:
-    """All anchor runs of all documents; again_ marks those whose bytes came earlier in the same document."""
+    """All anchor runs of all documents.
+
+    at_ packs the first window's start, the number of windows and whether the run's bytes came earlier in the same
+    document into one number, as these rows are shuffled.
+    """
 
     def chunks(ids, keys, texts):
         held, size = [], 0
@@ -115,10 +119,9 @@ def occurrences(docs: DataFrame, length: int) -> DataFrame:
                 same = (doc[order][1:] == doc[order][:-1]) & (f[order][1:] == f[order][:-1]) & (h[order][1:] == h[order][:-1])
                 again = np.zeros(len(first), bool)
                 again[order[1:][same]] = True
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(ids, np.int64)[doc]), pa.array(np.array(keys, np.int64)[doc]), pa.array(f.view(np.int64)), pa.array(h.view(np.int64)), pa.array((first - starts[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(again)],
-                    ["doc_", "text_", "f_", "h_", "lo_", "n_", "again_"],
-                )
+                at = ((first - starts[doc]) << 16) + (n << 1) + again
+                columns = [np.array(ids, np.int64)[doc], np.array(keys, np.int64)[doc], f.view(np.int64), h.view(np.int64), at]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_", "text_", "f_", "h_", "at_"])
 
     return docs.mapInArrow(run, OCCURRENCE)
 
@@ -287,9 +290,12 @@ def _window_by_window(snippets: DataFrame, length: int) -> DataFrame:
 
 def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """doc_, text_, from_, to_: byte ranges that repeated windows cover. docs has doc_ and text_ (longs, not null) and text."""
+    if not GRAM <= length < 1 << 15:
+        raise ValueError(f"length must be from {GRAM} to {(1 << 15) - 1} bytes")
     found = occurrences(docs, length)
     counts = found.groupBy("f_").agg(F.count("*").alias("count_"), F.min("doc_").alias("first_"), (F.min("h_") != F.max("h_")).alias("several_")).where("count_ > 1").drop("count_")
-    shared = stored(found.join(counts, "f_"), "shared")
+    at = [F.shiftright("at_", 16).cast("int").alias("lo_"), F.shiftright(F.col("at_").bitwiseAND(0xFFFE), 1).cast("int").alias("n_"), (F.col("at_") % 2 == 1).alias("again_")]
+    shared = stored(found.join(counts, "f_").select("doc_", "text_", "f_", "h_", *at, "first_", "several_"), "shared")
     span = ["doc_", "text_", F.col("lo_").alias("from_"), (F.col("lo_") + F.col("n_") + length - 1).alias("to_")]
     whole = shared.where("not several_ and (again_ or doc_ > first_)").select(*span)
 
