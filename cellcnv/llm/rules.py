@@ -24,6 +24,8 @@ BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SHAPE = ["mean_word", "symbols", "dup_lines", "repeats", "upper", "digits", "punctuation", "marks", "bars", "line_words", "distinct", "short_words"]
 STATS = ", ".join(["doc_id long", *(f"{c} long" for c in BASE), *(f"{c} double" for c in SHAPE)])
 SYMBOLS = b"#*$%&|<>"
+#: How far cuts reach beyond a node's rows, and the least width of a feature.
+WIDER, FLAT = 0.5, 0.002
 
 
 def _classes() -> np.ndarray:
@@ -101,15 +103,21 @@ def base_failed(n_words, n_repeat_words):
 
 
 class IsolationForest:
-    """Random split trees as flat arrays; all trees have the same depth limit."""
+    """Random split trees as flat arrays; all trees have the same depth limit.
 
-    def __init__(self, rows: np.ndarray, n_trees: int = 100, sample: int = 256, seed: int = 11):
+    A node cuts one feature at a random place of the range of its rows, widened on both sides by WIDER of its width,
+    so that cuts also fall where no row of the sample lies and set apart rows that come from there. A width counts
+    as `least` of the feature at least: half its deviation over all rows, and FLAT for features that are all equal.
+    """
+
+    def __init__(self, rows: np.ndarray, n_trees: int = 150, sample: int = 256, seed: int = 11):
         rng = np.random.default_rng(seed)
         sample = min(sample, len(rows))
         self.depth = max(1, int(np.ceil(np.log2(max(2, sample)))))
         size = 2 ** (self.depth + 1)
         self.feature, self.cut, self.length = np.full((n_trees, size), -1), np.zeros((n_trees, size)), np.zeros((n_trees, size))
         self.norm = self._expected(sample) or 1.0
+        self.least = np.maximum(0.5 * rows.std(0), FLAT)
         for t in range(n_trees):
             self._grow(t, 1, 0, rows[rng.choice(len(rows), sample, replace=False)], rng)
 
@@ -119,20 +127,17 @@ class IsolationForest:
         return 0.0 if n < 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else 1.0
 
     def _grow(self, t, node, depth, rows, rng):
-        low, high = rows.min(0), rows.max(0)
-        free = np.flatnonzero(high > low)
-        if depth == self.depth or len(rows) < 2 or not len(free):
+        if depth == self.depth or len(rows) < 2:
             self.length[t, node] = depth + self._expected(len(rows))
             return
-        f = rng.choice(free)
-        cut = rng.uniform(low[f], high[f])
+        f = rng.integers(rows.shape[1])
+        low, high = rows[:, f].min(), rows[:, f].max()
+        margin = WIDER * max(high - low, self.least[f])
+        cut = rng.uniform(low - margin, high + margin)
         self.feature[t, node], self.cut[t, node] = f, cut
         left = rows[:, f] < cut
-        self._grow(t, 2 * node, depth + 1, rows[left], rng) if left.any() else self._leaf(t, 2 * node, depth + 1)
-        self._grow(t, 2 * node + 1, depth + 1, rows[~left], rng) if not left.all() else self._leaf(t, 2 * node + 1, depth + 1)
-
-    def _leaf(self, t, node, depth):
-        self.length[t, node] = depth
+        self._grow(t, 2 * node, depth + 1, rows[left], rng)
+        self._grow(t, 2 * node + 1, depth + 1, rows[~left], rng)
 
     def score(self, rows: np.ndarray) -> np.ndarray:
         """Anomaly score of each row, 0 to 1: the shorter the paths, the higher."""
@@ -146,15 +151,7 @@ class IsolationForest:
                 inner = f >= 0
                 node = np.where(inner, 2 * node + (rows[at_row, np.maximum(f, 0)] >= cut[node]), node)
             total += length[node]
-        # Values beyond the range that the sample covered lengthen no path, so they count as a shorter one.
-        beyond = np.clip((rows < self.low) | (rows > self.high), 0, 1).sum(1) if hasattr(self, "low") else 0
-        return 2.0 ** (-(total / len(self.feature)) / self.norm / (1 + 0.25 * beyond))
-
-    def fit_range(self, rows: np.ndarray):
-        """Remember the wide range of the sample, for values that no split has seen."""
-        span = np.quantile(rows, 0.999, axis=0) - np.quantile(rows, 0.001, axis=0)
-        self.low, self.high = rows.min(0) - 0.1 * span - 1e-9, rows.max(0) + 0.1 * span + 1e-9
-        return self
+        return 2.0 ** (-(total / len(self.feature)) / self.norm)
 
 
 def score_with(forest: IsolationForest, *columns) -> Column:
@@ -178,7 +175,7 @@ def fit(stats: DataFrame, labels: DataFrame, sample: int = 8192, keep: float = 0
     rows = known.where("quality_ = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(*SHAPE).toPandas().to_numpy(np.float64)
     if len(rows) < 2:
         return None, 1.0
-    forest = IsolationForest(rows).fit_range(rows)
+    forest = IsolationForest(rows)
     counts = known.select(score_with(forest, *SHAPE).alias("score_"), "quality_").groupBy("score_").agg(F.sum(F.col("quality_").cast("long")).alias("good"), F.count("*").alias("n"))
     counts = counts.toPandas().sort_values("score_", ignore_index=True)  # at most 10,001 rows: scores have 4 digits
     kept_good = counts["good"].cumsum() / max(1, counts["good"].sum())
@@ -202,17 +199,18 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns."""
-    forest, threshold = fit(stored(rule_statistics(docs), "rule-stats"), labels)
-
-    @F.pandas_udf("boolean")
-    def good(text: pd.Series) -> pd.Series:
-        rows = [statistics_of(t or "") for t in text]
-        base, shape = np.array([r[: len(BASE)] for r in rows]).reshape(-1, len(BASE)), np.array([r[len(BASE) :] for r in rows], np.float64).reshape(-1, len(SHAPE))
-        ok = ~base_failed(base[:, 0], base[:, 4])
-        return pd.Series(ok & (np.round(forest.score(shape), 4) <= threshold) if forest else ok)
-
-    return docs.where(good("text"))
+    """The rows of docs that the rules keep, with all their columns. Statistics are taken once and stored beside the rows."""
+    columns = docs.columns
+
+    @F.pandas_udf(STATS.replace("doc_id long, ", ""))
+    def measured(text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([statistics_of(t or "") for t in text], columns=[*BASE, *SHAPE])
+
+    # The row travels as one struct, so no column of the table can clash with those made here.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row_"), F.col("doc_id").cast("long").alias("doc_id"), measured("text").alias("stats_"))
+    rows = stored(rows.select("row_", "doc_id", "stats_.*"), "rows")
+    kept = judged(rows, *fit(rows.drop("row_"), labels)).where("kept")
+    return kept.select(*(F.col(f"row_.`{c}`").alias(c) for c in columns))
 
 
 def op5_quality_rules(spark, sf_dir):
