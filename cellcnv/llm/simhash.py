@@ -4,8 +4,10 @@ Whole texts are reduced to 64-bit SimHash fingerprints of their word shingles. D
 to shards by a vantage-point tree, grown from a bounded sample: at each node the Hamming distance to a vantage
 fingerprint is at most, or over, a radius. A fingerprint lives in one shard; by the triangle inequality a
 partner within `radius` bits can only live where the distance to each vantage differs by `radius` at most, so
-the fingerprint also visits those later shards. Inside a shard the points are compared exactly, and only the
-links of a spanning forest leave it. Components of the links come from alternating star contraction.
+the fingerprint also visits those later shards. A shard grows a tree of its own points and compares them leaf by
+leaf, so a shard may be large where the corpus is: with the sample's 8,192 leaves and more, a shard of 100 million
+fingerprints has some ten thousands, of 8 bytes each. Only the links of a spanning forest leave a leaf. Components of
+the links come from alternating star contraction.
 
 Defined results: texts without words have fingerprint zero and link like any other; repeated rows share their
 component; a null doc_id gets a component but never names one (null if no other id is in it); an empty table
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import stored, table, texts
 
 SEED = 42
+#: Points of a shard that are compared with each other without a tree.
+LEAF_POINTS = 2048
 
 
 def fingerprint(text: str, shingle: int = 3) -> int:
@@ -109,8 +113,8 @@ class VantageTree:
         return at, shard, home[at] == shard
 
 
-def links_within(points: np.ndarray, at_home: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the pairs within the radius, of which one lives here at least."""
+def spanning_links(points: np.ndarray, at_home: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Links of a spanning forest of the pairs within the radius, of which one lives here at least, by comparing all."""
     home, guests = points[at_home], points[~at_home]
     if len(guests):
         near = np.zeros(len(guests), bool)
@@ -131,6 +135,25 @@ def links_within(points: np.ndarray, at_home: np.ndarray, radius: int) -> list[t
     return out
 
 
+def links_within(points: np.ndarray, at_home: np.ndarray, radius: int, most: int = LEAF_POINTS) -> list[tuple[int, int]]:
+    """Links that connect all pairs within the radius, of which one lives here at least.
+
+    More than `most` points get a tree of their own, grown from them, and are compared leaf by leaf. A leaf that is
+    still larger holds points so close together that no vantage parts them further; it is compared as it is.
+    """
+    if len(points) <= most:
+        return spanning_links(points, at_home, radius)
+    depth = int(np.ceil(np.log2(2 * len(points) / most)))
+    tree = VantageTree(points[np.random.default_rng(5).permutation(len(points))[: 64 << depth]], depth)
+    at, shard, _ = tree.route(points, radius)
+    order = np.argsort(shard, kind="stable")
+    out = []
+    for leaf in np.split(at[order], np.flatnonzero(np.diff(shard[order])) + 1):
+        if at_home[leaf].any():
+            out += spanning_links(points[leaf], at_home[leaf], radius)
+    return out
+
+
 def near_links(nodes: DataFrame, radius: int = 2, shard_rows: int = 1500, sample_rows: int = 65_536) -> DataFrame:
     """Links (a, b) between the distinct fingerprints of `nodes` that keep all their components."""
     n = nodes.count()
