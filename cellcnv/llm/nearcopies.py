@@ -1,12 +1,16 @@
-"""Near-copies by exact similarity: every pair of texts whose sets of five-word shingles have a Jaccard index of 0.8 or more.
+"""Near-copies: SimHash fingerprints find the close ones, an exact set join the rest, down to a Jaccard index of 0.8.
+
+First the vantage-point trees of `simhash` link texts whose fingerprints (of five-word shingles) differ in two bits at
+most; their whole sets of shingles are compared, and what is connected by then needs no further comparison. Pairs with
+an index of 0.8 are up to 11 of 64 bits apart and more, and at such a radius a vantage-point tree sends every
+fingerprint to nearly every shard, so fingerprints alone can't promise all pairs. The rest comes from the sets:
 
 A text is the set of 64-bit hashes of its shingles. All sets are put in one order, shingles that are frequent in a
 sample last; two sets with a Jaccard index of at least 0.8 then share one of the first n - ceil(0.8 n) + 1 shingles of
 each (prefix filter), whatever the order is. Texts that meet at such a shingle are compared by their whole sets. Where many meet at
 one, they are compared with one of them first and pairs that are connected by then are left out, so a large group
 of copies takes a number of comparisons in proportion to its size; the pairs left after some rounds are all compared.
-Components of the links come from star contraction. The fingerprints of `simhash` can't do this: such pairs are up to 11 of
-64 bits apart and more, and at that radius a vantage-point tree sends every fingerprint to nearly every shard.
+Components of the links come from star contraction.
 
 Defined results: of each component the row with the smallest doc_id stays (null ids last); rows with equal id and
 equal text are copies too; texts without words are copies of each other; texts of up to five words are one
@@ -22,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .simhash import SEED, components
+from .simhash import SEED, components, fingerprint, near_links
 
 SMALL, ROUNDS = 8, 4
 
@@ -87,9 +91,20 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def similar_links(keys: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """Links that connect all similar pairs among the nodes that meet at a key (key, node, n); None if there are none."""
-    links = labels = None
+def fingerprint_links(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between nodes (node, fp) with close fingerprints whose whole sets are similar."""
+    low = stored(nodes.groupBy("fp").agg(F.min("node").alias("low")), "fingerprints")
+    same = nodes.join(low, "fp").where("node != low").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    near = near_links(low.select("fp"))
+    for side in ("a", "b"):
+        near = near.join(low.select(F.col("fp").alias(side), F.col("low").alias(f"node_{side}")), side)
+    pairs = same.unionByName(near.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+    return stored(_verified(stored(pairs.distinct(), "pairs"), sets), "links")
+
+
+def similar_links(keys: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame | None:
+    """Links that connect all similar pairs among the nodes that meet at a key (key, node, n), some of which are known; None if there are none."""
+    labels = None if links.isEmpty() else stored(components(links).select("node", F.col("root").alias("label")), "labels")
     for k in range(ROUNDS):
         named = keys.withColumn("label", F.col("node")) if labels is None else keys.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         whole = named.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("node", "n", "label")).alias("p"), F.min("label").alias("low"), F.max("label").alias("high"))
@@ -104,7 +119,7 @@ def similar_links(keys: DataFrame, sets: DataFrame) -> DataFrame | None:
             star = many.where((F.col("node") != F.col("p.node")) & (F.col("label") != F.col("p.label")) & near("n", "p.n"))
             pairs = pairs.unionByName(star.select(F.col("p.node").alias("a"), F.col("node").alias("b")))
         found = stored(_verified(stored(pairs.distinct(), "pairs"), sets), "links")
-        links = found if links is None else links.unionByName(found)
+        links = links.unionByName(found)
         if last:
             break
         # What stood in the middle has met all others of its key.
@@ -130,20 +145,23 @@ def one_of_near_copies(docs: DataFrame, sample_rows: int = 16_384) -> DataFrame:
             sets = [shingle_set(t or "") for t in batch.column("text_").to_pylist()]
             node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
             first = pa.array([prefix(s, frequent, counts).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("at_"), batch.column("doc_"), pa.array(node), pa.array([len(s) for s in sets], pa.int32()), first], ["at_", "doc_", "node", "n", "prefix"])
+            prints = np.array([fingerprint(t or "", 5) for t in batch.column("text_").to_pylist()], np.uint64).view(np.int64)
+            columns = [batch.column("at_"), batch.column("doc_"), pa.array(node), pa.array(prints), pa.array([len(s) for s in sets], pa.int32()), first]
+            yield pa.RecordBatch.from_arrays(columns, ["at_", "doc_", "node", "fp", "n", "prefix"])
 
     def whole_sets(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingle_set(t or "").tobytes() for t in batch.column("text_").to_pylist()], pa.binary())], ["node", "set"])
 
-    prints = stored(read.mapInArrow(prefixed, "at_ long, doc_ long, node long, n int, prefix array<long>"), "prefixes")
+    prints = stored(read.mapInArrow(prefixed, "at_ long, doc_ long, node long, fp long, n int, prefix array<long>"), "prefixes")
     lowest = prints.groupBy("node").agg(F.min("at_").alias("at_"))
     one = prints.join(lowest.select("at_"), "at_", "left_semi")
     keys = stored(one.select("node", "n", F.explode("prefix").alias("key")), "keys")
     keys = stored(keys.join(keys.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi").select("key", "node", "n"), "keys")
     wanted = lowest.join(keys.select("node").distinct(), "node", "left_semi")
     sets = stored(read.select("at_", "text_").join(wanted, "at_").select("node", "text_").mapInArrow(whole_sets, "node long, set binary"), "sets")
-    links = similar_links(keys, sets)
+    nodes = stored(one.join(wanted.select("at_"), "at_", "left_semi").select("node", "fp"), "nodes")
+    links = similar_links(keys, sets, fingerprint_links(nodes, sets))
     rooted = prints.select("at_", "doc_", "node")
     if links is not None:
         rooted = rooted.join(stored(components(links), "roots"), "node", "left")
