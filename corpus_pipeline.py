@@ -2,6 +2,11 @@
 
 Each stage takes all rows that the one before it kept and returns the columns of documents; the last one
 returns packed pieces. Stages that change a text set n_chars (where the table has it) to the new length.
+
+Defined results: a null or empty text fails the quality rules and goes; a null doc_id is passed on like any other;
+repeated rows are judged alike by the rules, lose their later lines as one document, and all but one of them go at the
+near-copy stage; ties go to the smallest doc_id; columns of the table may have any names, also those that a stage uses
+for itself, and come out unchanged; an empty table goes through as an empty table.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from pyspark.sql import functions as F
 from cellcnv.llm import nearcopies, packing, pii, rules, templates
 from cellcnv.llm.common import stored, table
 
-#: An isolation forest isn't expressible in SQL; tests hold the stages against brute force.
+#: An isolation forest isn't expressible in SQL; tests hold each stage's operator against brute force.
 ORACLE_SQL = None
 
 
@@ -33,7 +38,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: five-word shingles with a Jaccard index of at least 0.8."""
+    """One document of each group of near-duplicates stays: five-word shingles with a Jaccard index of at least 0.8.
+
+    SimHash fingerprints in vantage-point trees link the close ones; an exact set join finds the pairs that no fingerprint can promise.
+    """
     return nearcopies.one_of_near_copies(docs)
 
 
