@@ -29,6 +29,7 @@ from .common import stored
 from .simhash import SEED, components, fingerprint, near_links
 
 SMALL, ROUNDS = 8, 4
+SAMPLE_PARTS = 2
 
 
 def shingle_set(text: str, shingle: int = 5) -> np.ndarray:
@@ -66,32 +67,50 @@ def frequent_shingles(rows: DataFrame, sample_rows: int, most: int = 200_000) ->
     share = max(1, rows.count() // sample_rows)
 
     def run(batches):
-        for batch in batches:
-            sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets or [np.zeros(0, np.uint64)]).view(np.int64))], ["key"])
+        sets = [shingle_set(t) for batch in batches for t in batch.column("text").to_pylist()]
+        keys, counts = np.unique(np.concatenate(sets or [np.zeros(0, np.uint64)]), return_counts=True)
+        often = counts > 1
+        yield pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(counts[often])], ["key", "n"])
 
     sample = rows.select(F.coalesce("text_", F.lit("")).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).distinct()
-    counted = sample.mapInArrow(run, "key long").groupBy("key").count().where("count > 2")
+    # What a part of the sample has once only is left out before the shuffle.
+    counted = sample.repartition(SAMPLE_PARTS).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("count")).where("count > 2")
     top = counted.orderBy(F.desc("count"), "key").limit(most).toPandas()
     keys, counts = top["key"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int64)
     order = np.argsort(keys)
     return keys[order], counts[order]
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar by their whole sets."""
+def whole_sets(batches):
+    """node and set of each node and text_."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingle_set(t or "").tobytes() for t in batch.column("text_").to_pylist()], pa.binary())], ["node", "set"])
 
-    def run(batches):
+
+def verified_by(read: DataFrame, lowest: DataFrame):
+    """A function that keeps the pairs (a, b) of nodes that are similar by their whole sets.
+
+    Sets are made of the texts of just the nodes that are asked for, as whole sets take more room than anything else.
+    """
+
+    def compared(batches):
         for batch in batches:
             keep = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = stored(pairs.distinct(), "pairs")
+        asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        sets = read.select("at_", "text_").join(lowest.join(asked, "node", "left_semi"), "at_").select("node", "text_").mapInArrow(whole_sets, "node long, set binary")
+        sets = stored(sets, "sets")
+        left = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
+        right = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
+        return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(compared, "a long, b long"), "links")
+
+    return verified
 
 
-def fingerprint_links(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+def fingerprint_links(nodes: DataFrame, verified) -> DataFrame:
     """Links between nodes (node, fp) with close fingerprints whose whole sets are similar."""
     low = stored(nodes.groupBy("fp").agg(F.min("node").alias("low")), "fingerprints")
     same = nodes.join(low, "fp").where("node != low").select(F.col("low").alias("a"), F.col("node").alias("b"))
@@ -99,10 +118,10 @@ def fingerprint_links(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     for side in ("a", "b"):
         near = near.join(low.select(F.col("fp").alias(side), F.col("low").alias(f"node_{side}")), side)
     pairs = same.unionByName(near.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
-    return stored(_verified(stored(pairs.distinct(), "pairs"), sets), "links")
+    return verified(pairs)
 
 
-def similar_links(keys: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame | None:
+def similar_links(keys: DataFrame, verified, links: DataFrame) -> DataFrame | None:
     """Links that connect all similar pairs among the nodes that meet at a key (key, node, n), some of which are known; None if there are none."""
     labels = None if links.isEmpty() else stored(components(links).select("node", F.col("root").alias("label")), "labels")
     for k in range(ROUNDS):
@@ -118,8 +137,7 @@ def similar_links(keys: DataFrame, sets: DataFrame, links: DataFrame) -> DataFra
             many = named.where(F.col("m") > SMALL)
             star = many.where((F.col("node") != F.col("p.node")) & (F.col("label") != F.col("p.label")) & near("n", "p.n"))
             pairs = pairs.unionByName(star.select(F.col("p.node").alias("a"), F.col("node").alias("b")))
-        found = stored(_verified(stored(pairs.distinct(), "pairs"), sets), "links")
-        links = links.unionByName(found)
+        links = links.unionByName(verified(pairs))
         if last:
             break
         # What stood in the middle has met all others of its key.
@@ -149,19 +167,14 @@ def one_of_near_copies(docs: DataFrame, sample_rows: int = 16_384) -> DataFrame:
             columns = [batch.column("at_"), batch.column("doc_"), pa.array(node), pa.array(prints), pa.array([len(s) for s in sets], pa.int32()), first]
             yield pa.RecordBatch.from_arrays(columns, ["at_", "doc_", "node", "fp", "n", "prefix"])
 
-    def whole_sets(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingle_set(t or "").tobytes() for t in batch.column("text_").to_pylist()], pa.binary())], ["node", "set"])
-
     prints = stored(read.mapInArrow(prefixed, "at_ long, doc_ long, node long, fp long, n int, prefix array<long>"), "prefixes")
-    lowest = prints.groupBy("node").agg(F.min("at_").alias("at_"))
+    lowest = stored(prints.groupBy("node").agg(F.min("at_").alias("at_")), "nodes")
     one = prints.join(lowest.select("at_"), "at_", "left_semi")
-    keys = stored(one.select("node", "n", F.explode("prefix").alias("key")), "keys")
+    keys = one.select("node", "n", F.explode("prefix").alias("key"))
     keys = stored(keys.join(keys.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi").select("key", "node", "n"), "keys")
-    wanted = lowest.join(keys.select("node").distinct(), "node", "left_semi")
-    sets = stored(read.select("at_", "text_").join(wanted, "at_").select("node", "text_").mapInArrow(whole_sets, "node long, set binary"), "sets")
-    nodes = stored(one.join(wanted.select("at_"), "at_", "left_semi").select("node", "fp"), "nodes")
-    links = similar_links(keys, sets, fingerprint_links(nodes, sets))
+    nodes = stored(one.join(keys.select("node").distinct(), "node", "left_semi").select("node", "fp"), "nodes")
+    verified = verified_by(read, lowest)
+    links = similar_links(keys, verified, fingerprint_links(nodes, verified))
     rooted = prints.select("at_", "doc_", "node")
     if links is not None:
         rooted = rooted.join(stored(components(links), "roots"), "node", "left")
