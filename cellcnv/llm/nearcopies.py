@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import settled, stored
 from .simhash import SEED, components, fingerprint, near_links
 
 SMALL, ROUNDS = 8, 4
@@ -149,13 +149,8 @@ def similar_links(keys: DataFrame, verified, links: DataFrame) -> DataFrame | No
     return None if links.isEmpty() else links
 
 
-def one_of_near_copies(docs: DataFrame, sample_rows: int = 16_384) -> DataFrame:
-    """One row of each component of similar texts."""
-    columns = docs.columns
-    # The row travels as one struct, so no column of the table can clash with those made here; numbers are fixed by writing.
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row_"), F.monotonically_increasing_id().alias("at_"))
-    rows = stored(rows, "rows")
-    read = rows.select("at_", F.col("row_.doc_id").cast("long").alias("doc_"), F.col("row_.text").alias("text_"))
+def _first_rows(read: DataFrame, sample_rows: int) -> DataFrame:
+    """at_ of the row that stays of each component."""
     frequent, counts = frequent_shingles(read, sample_rows)
 
     def prefixed(batches):
@@ -180,6 +175,17 @@ def one_of_near_copies(docs: DataFrame, sample_rows: int = 16_384) -> DataFrame:
         rooted = rooted.join(stored(components(links), "roots"), "node", "left")
     else:
         rooted = rooted.withColumn("root", F.col("node"))
-    kept = rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct(F.col("doc_").isNull().alias("none"), "doc_", "at_")).alias("low"))
-    left = rows.join(kept.select(F.col("low.at_").alias("at_")), "at_", "left_semi")
+    first = rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct(F.col("doc_").isNull().alias("none"), "doc_", "at_")).alias("low"))
+    return first.select(F.col("low.at_").alias("at_"))
+
+
+def one_of_near_copies(docs: DataFrame, sample_rows: int = 16_384) -> DataFrame:
+    """One row of each component of similar texts."""
+    columns = docs.columns
+    # The row travels as one struct, so no column of the table can clash with those made here; numbers are fixed by writing.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row_"), F.monotonically_increasing_id().alias("at_"))
+    rows = stored(rows, "rows")
+    read = rows.select("at_", F.col("row_.doc_id").cast("long").alias("doc_"), F.col("row_.text").alias("text_"))
+    kept = settled(docs.sparkSession, lambda: _first_rows(read, sample_rows), "kept")
+    left = rows.join(kept, "at_", "left_semi")
     return left.select(*(F.col(f"row_.`{c}`").alias(c) for c in columns))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table, texts
+from .common import settled, stored, table, texts
 
 SEED = 42
 #: Points of a shard that are compared with each other without a tree.
@@ -206,7 +206,7 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataF
     """doc_id, fingerprint (16 hex digits) and component_id of every document."""
     prints = stored(fingerprints(docs, shingle), "fingerprints")
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
-    roots = components(near_links(nodes, radius))
+    roots = settled(docs.sparkSession, lambda: components(near_links(nodes, radius)), "roots")
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = rooted.join(names, "root").select("fp", "component_id")

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket, stored, table
+from .common import bucket, settled, stored, table
 
 GRAM = 24
 #: Anchors with more snippets than this are dealt window by window.
@@ -349,7 +349,8 @@ def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the bytes that stay) of every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     keyed = docs.select("*", F.coalesce("doc_id", F.lit(LOWEST)).alias("doc_"), F.xxhash64("text").alias("text_"))
-    spans = repeats(keyed.select("doc_", "text_", "text"), length).groupBy("doc_", "text_").agg(F.collect_set(F.struct("from_", "to_")).alias("spans_"))
+    found = settled(docs.sparkSession, lambda: repeats(keyed.select("doc_", "text_", "text"), length), "repeats")
+    spans = found.groupBy("doc_", "text_").agg(F.collect_set(F.struct("from_", "to_")).alias("spans_"))
     return keyed.join(spans, ["doc_", "text_"], "left").select("doc_id", "text", "spans_").mapInArrow(_removed(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import settled, stored, table
 
 BLANKS = r"[\x20\x09-\x0D]"
 VARIABLE = "<*>"
@@ -165,7 +165,7 @@ def _same_document(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
 def without_recurring_lines(docs: DataFrame, counts: bool = False, **options) -> DataFrame:
     """docs with recurring lines taken out of text; with counts, also n_lines_ and n_dropped_."""
     columns = docs.columns
-    drop = recurring_lines(docs, **options)
+    drop = settled(docs.sparkSession, lambda: recurring_lines(docs, **options), "dropped-lines")
     # The row travels as one struct, so no column of the table can clash with those of the join.
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row_"), F.col("text").alias("whole_"), *document_key(docs))
     joined = _same_document(rows, drop, "left")
