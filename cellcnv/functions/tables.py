@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame
 
 
 def stored(df: DataFrame, what: str = "table") -> DataFrame:
-    """Write a table under spark.checkpoint.dir and read it back; survives lost executors.
+    """Write a table under spark.checkpoint.dir, a folder that driver and executors share, and read it back; survives lost executors.
 
-    Only where the session names no such folder (as in local tests) one is made and set.
+    A local session without such a folder, whose executors are the driver itself, gets a temporary one.
     """
     spark = df.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", shared)
     path = f"{shared.rstrip('/')}/{what}-{uuid.uuid4().hex}"
