@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -61,6 +62,10 @@ def settled(spark: SparkSession, make: Callable[[], DataFrame], what: str = "tab
         for old in paths:
             place = spark._jvm.org.apache.hadoop.fs.Path(old)
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    # Spark removes a shuffle's files once the driver has collected the plan that made them.
+    del made
+    gc.collect()
+    spark._jvm.System.gc()
     outer = _ON_THE_WAY.get()
     if outer is not None:
         outer.append(path)

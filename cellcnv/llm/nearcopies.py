@@ -30,6 +30,8 @@ from .simhash import SEED, components, fingerprint, near_links
 
 SMALL, ROUNDS = 8, 4
 SAMPLE_PARTS = 2
+#: Rows (node, at_) that are broadcast at most: 8 MB.
+BROADCAST_ROWS = 500_000
 
 
 def shingle_set(text: str, shingle: int = 5) -> np.ndarray:
@@ -98,14 +100,19 @@ def verified_by(read: DataFrame, lowest: DataFrame):
             keep = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def checked(pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs.distinct(), "pairs")
         asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        sets = read.select("at_", "text_").join(lowest.join(asked, "node", "left_semi"), "at_").select("node", "text_").mapInArrow(whole_sets, "node long, set binary")
-        sets = stored(sets, "sets")
+        asked = stored(lowest.join(asked, "node", "left_semi"), "asked")
+        # Few nodes go to the texts; many meet them by a shuffle.
+        asked = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
+        sets = stored(read.select("at_", "text_").join(asked, "at_").select("node", "text_").mapInArrow(whole_sets, "node long, set binary"), "sets")
         left = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
         right = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
-        return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(compared, "a long, b long"), "links")
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(compared, "a long, b long")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return settled(read.sparkSession, lambda: checked(pairs), "links")
 
     return verified
 
@@ -165,8 +172,9 @@ def _first_rows(read: DataFrame, sample_rows: int) -> DataFrame:
     prints = stored(read.mapInArrow(prefixed, "at_ long, doc_ long, node long, fp long, n int, prefix array<long>"), "prefixes")
     lowest = stored(prints.groupBy("node").agg(F.min("at_").alias("at_")), "nodes")
     one = prints.join(lowest.select("at_"), "at_", "left_semi")
-    keys = one.select("node", "n", F.explode("prefix").alias("key"))
-    keys = stored(keys.join(keys.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi").select("key", "node", "n"), "keys")
+    every = one.select("node", "n", F.explode("prefix").alias("key"))
+    shared = every.groupBy("key").count().where("count > 1").select("key")
+    keys = settled(read.sparkSession, lambda: every.join(shared, "key", "left_semi").select("key", "node", "n"), "keys")
     nodes = stored(one.join(keys.select("node").distinct(), "node", "left_semi").select("node", "fp"), "nodes")
     verified = verified_by(read, lowest)
     links = similar_links(keys, verified, fingerprint_links(nodes, verified))
