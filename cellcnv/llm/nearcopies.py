@@ -13,7 +13,7 @@ of copies takes a number of comparisons in proportion to its size; the pairs lef
 Components of the links come from star contraction.
 
 Defined results: of each component the row with the smallest doc_id stays (null ids last); rows with equal id and
-equal text are copies too; texts without words are copies of each other; texts of up to five words are one
+equal text are one; texts without words are copies of each other; texts of up to five words are one
 shingle; an empty table gives an empty result; all columns are kept.
 """
 
@@ -30,7 +30,9 @@ from .simhash import SEED, components, fingerprint, near_links
 
 SMALL, ROUNDS = 8, 4
 SAMPLE_PARTS = 2
-#: Rows (node, at_) that are broadcast at most: 8 MB.
+#: What stands for a null doc_id.
+LAST = (1 << 63) - 1
+#: Rows (node, doc_, at_) that are broadcast at most: 12 MB.
 BROADCAST_ROWS = 500_000
 
 
@@ -106,7 +108,7 @@ def verified_by(read: DataFrame, lowest: DataFrame):
         asked = stored(lowest.join(asked, "node", "left_semi"), "asked")
         # Few nodes go to the texts; many meet them by a shuffle.
         asked = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
-        sets = stored(read.select("at_", "text_").join(asked, "at_").select("node", "text_").mapInArrow(whole_sets, "node long, set binary"), "sets")
+        sets = stored(read.select("doc_", "at_", "text_").join(asked, ["doc_", "at_"]).select("node", "text_").dropDuplicates(["node"]).mapInArrow(whole_sets, "node long, set binary"), "sets")
         left = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
         right = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(compared, "a long, b long")
@@ -157,7 +159,7 @@ def similar_links(keys: DataFrame, verified, links: DataFrame) -> DataFrame | No
 
 
 def _first_rows(read: DataFrame, sample_rows: int) -> DataFrame:
-    """at_ of the row that stays of each component."""
+    """doc_ and at_ of the row that stays of each component. read has a row for each doc_ and at_ (a hash of text_)."""
     frequent, counts = frequent_shingles(read, sample_rows)
 
     def prefixed(batches):
@@ -170,30 +172,29 @@ def _first_rows(read: DataFrame, sample_rows: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["at_", "doc_", "node", "fp", "n", "prefix"])
 
     prints = stored(read.mapInArrow(prefixed, "at_ long, doc_ long, node long, fp long, n int, prefix array<long>"), "prefixes")
-    lowest = stored(prints.groupBy("node").agg(F.min("at_").alias("at_")), "nodes")
-    one = prints.join(lowest.select("at_"), "at_", "left_semi")
+    low = F.min(F.struct("doc_", "at_")).alias("low")
+    lowest = stored(prints.groupBy("node").agg(low).select("node", "low.*"), "nodes")
+    one = prints.dropDuplicates(["node", "doc_", "at_"]).join(lowest, ["node", "doc_", "at_"], "left_semi")
     every = one.select("node", "n", F.explode("prefix").alias("key"))
     shared = every.groupBy("key").count().where("count > 1").select("key")
     keys = settled(read.sparkSession, lambda: every.join(shared, "key", "left_semi").select("key", "node", "n"), "keys")
     nodes = stored(one.join(keys.select("node").distinct(), "node", "left_semi").select("node", "fp"), "nodes")
     verified = verified_by(read, lowest)
     links = similar_links(keys, verified, fingerprint_links(nodes, verified))
-    rooted = prints.select("at_", "doc_", "node")
-    if links is not None:
-        rooted = rooted.join(stored(components(links), "roots"), "node", "left")
-    else:
-        rooted = rooted.withColumn("root", F.col("node"))
-    first = rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct(F.col("doc_").isNull().alias("none"), "doc_", "at_")).alias("low"))
-    return first.select(F.col("low.at_").alias("at_"))
+    if links is None:
+        return lowest.select("doc_", "at_")
+    rooted = lowest.join(stored(components(links), "roots"), "node", "left")
+    return rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(low).select("low.*")
 
 
 def one_of_near_copies(docs: DataFrame, sample_rows: int = 16_384) -> DataFrame:
     """One row of each component of similar texts."""
     columns = docs.columns
-    # The row travels as one struct, so no column of the table can clash with those made here; numbers are fixed by writing.
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row_"), F.monotonically_increasing_id().alias("at_"))
-    rows = stored(rows, "rows")
-    read = rows.select("at_", F.col("row_.doc_id").cast("long").alias("doc_"), F.col("row_.text").alias("text_"))
-    kept = settled(docs.sparkSession, lambda: _first_rows(read, sample_rows), "kept")
-    left = rows.join(kept, "at_", "left_semi")
+    # Null ids come last. A row is known by its id and its text's hash; rows with both equal are one from here on.
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_")
+    key = [doc, F.xxhash64("text").alias("at_")]
+    kept = settled(docs.sparkSession, lambda: _first_rows(docs.select(*key, F.col("text").alias("text_")), sample_rows), "kept")
+    # The row travels as one struct, so no column of the table can clash with those made here. Equal rows combine before they are shuffled.
+    rows = docs.select(*key, F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row_")).groupBy("doc_", "at_").agg(F.first("row_").alias("row_"))
+    left = rows.join(kept, ["doc_", "at_"], "left_semi")
     return left.select(*(F.col(f"row_.`{c}`").alias(c) for c in columns))

@@ -199,18 +199,20 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns. Statistics are taken once and stored beside the rows."""
-    columns = docs.columns
-
-    @F.pandas_udf(STATS.replace("doc_id long, ", ""))
-    def measured(text: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([statistics_of(t or "") for t in text], columns=[*BASE, *SHAPE])
-
-    # The row travels as one struct, so no column of the table can clash with those made here.
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row_"), F.col("doc_id").cast("long").alias("doc_id"), measured("text").alias("stats_"))
-    rows = stored(rows.select("row_", "doc_id", "stats_.*"), "rows")
-    kept = judged(rows, *fit(rows.drop("row_"), labels)).where("kept")
-    return kept.select(*(F.col(f"row_.`{c}`").alias(c) for c in columns))
+    """The rows of docs that the rules keep, with all their columns.
+
+    Statistics are taken a second time for the verdict, as a stored copy of the texts beside them would be larger than all else.
+    """
+    forest, threshold = fit(stored(rule_statistics(docs), "rule-stats"), labels)
+
+    @F.pandas_udf("boolean")
+    def good(text: pd.Series) -> pd.Series:
+        rows = [statistics_of(t or "") for t in text]
+        base, shape = np.array([r[: len(BASE)] for r in rows]).reshape(-1, len(BASE)), np.array([r[len(BASE) :] for r in rows], np.float64).reshape(-1, len(SHAPE))
+        ok = ~base_failed(base[:, 0], base[:, 4])
+        return pd.Series(ok & (np.round(forest.score(shape), 4) <= threshold) if forest else ok)
+
+    return docs.where(good("text"))
 
 
 def op5_quality_rules(spark, sf_dir):
