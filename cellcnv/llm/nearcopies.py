@@ -30,6 +30,7 @@ from .simhash import SEED, components, fingerprint, near_links
 
 SMALL, ROUNDS = 8, 4
 SAMPLE_PARTS = 2
+CELLS = 256
 #: What stands for a null doc_id.
 LAST = (1 << 63) - 1
 #: Rows (node, doc_, at_) that are broadcast at most: 12 MB.
@@ -55,6 +56,17 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 9 * common >= 4 * (len(a) + len(b))
 
 
+def sketch(found: np.ndarray) -> bytes:
+    """How many hashes of a set fall into each of CELLS cells."""
+    return np.bincount((found % np.uint64(CELLS)).astype(np.int64), minlength=CELLS).astype("<u4").tobytes()
+
+
+def may_be_similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets with these sketches (one a row) can be similar: they share at most the smaller count of each cell."""
+    common = np.minimum(a, b).sum(axis=1, dtype=np.int64)
+    return 9 * common >= 4 * (a.sum(axis=1, dtype=np.int64) + b.sum(axis=1, dtype=np.int64))
+
+
 def prefix(found: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The first n - ceil(0.8 n) + 1 shingles of a set, frequent ones last."""
     n = len(found)
@@ -91,19 +103,28 @@ def whole_sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingle_set(t or "").tobytes() for t in batch.column("text_").to_pylist()], pa.binary())], ["node", "set"])
 
 
-def verified_by(read: DataFrame, lowest: DataFrame):
+def verified_by(read: DataFrame, lowest: DataFrame, sketches: DataFrame):
     """A function that keeps the pairs (a, b) of nodes that are similar by their whole sets.
 
-    Sets are made of the texts of just the nodes that are asked for, as whole sets take more room than anything else.
+    Sketches (node, sketch) rule out most pairs first. Sets are made of the texts of just the nodes that are left, as
+    whole sets take more room than anything else.
     """
 
+    def possible(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, CELLS) for c in ("sketch_a", "sketch_b"))
+            yield batch.select(["a", "b"]).filter(pa.array(may_be_similar(a, b)))
+
     def compared(batches):
         for batch in batches:
             keep = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def checked(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs.distinct(), "pairs")
+        left = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"))
+        right = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"))
+        sketched = pairs.distinct().join(left, "a").join(right, "b").select("a", "b", "sketch_a", "sketch_b")
+        pairs = stored(sketched.mapInArrow(possible, "a long, b long"), "pairs")
         asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         asked = stored(lowest.join(asked, "node", "left_semi"), "asked")
         # Few nodes go to the texts; many meet them by a shuffle.
@@ -168,19 +189,20 @@ def _first_rows(read: DataFrame, sample_rows: int) -> DataFrame:
             node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
             first = pa.array([prefix(s, frequent, counts).view(np.int64) for s in sets], pa.list_(pa.int64()))
             prints = np.array([fingerprint(t or "", 5) for t in batch.column("text_").to_pylist()], np.uint64).view(np.int64)
-            columns = [batch.column("at_"), batch.column("doc_"), pa.array(node), pa.array(prints), pa.array([len(s) for s in sets], pa.int32()), first]
-            yield pa.RecordBatch.from_arrays(columns, ["at_", "doc_", "node", "fp", "n", "prefix"])
+            columns = [batch.column("at_"), batch.column("doc_"), pa.array(node), pa.array(prints), pa.array([len(s) for s in sets], pa.int32()), pa.array([sketch(s) for s in sets], pa.binary()), first]
+            yield pa.RecordBatch.from_arrays(columns, ["at_", "doc_", "node", "fp", "n", "sketch", "prefix"])
 
-    prints = stored(read.mapInArrow(prefixed, "at_ long, doc_ long, node long, fp long, n int, prefix array<long>"), "prefixes")
+    prints = stored(read.mapInArrow(prefixed, "at_ long, doc_ long, node long, fp long, n int, sketch binary, prefix array<long>"), "prefixes")
     low = F.min(F.struct("doc_", "at_")).alias("low")
     lowest = stored(prints.groupBy("node").agg(low).select("node", "low.*"), "nodes")
     one = prints.dropDuplicates(["node", "doc_", "at_"]).join(lowest, ["node", "doc_", "at_"], "left_semi")
+    one = stored(one, "one")
     every = one.select("node", "n", F.explode("prefix").alias("key"))
     shared = every.groupBy("key").count().where("count > 1").select("key")
     keys = settled(read.sparkSession, lambda: every.join(shared, "key", "left_semi").select("key", "node", "n"), "keys")
-    nodes = stored(one.join(keys.select("node").distinct(), "node", "left_semi").select("node", "fp"), "nodes")
-    verified = verified_by(read, lowest)
-    links = similar_links(keys, verified, fingerprint_links(nodes, verified))
+    nodes = stored(one.join(keys.select("node").distinct(), "node", "left_semi").select("node", "fp", "sketch"), "nodes")
+    verified = verified_by(read, lowest, nodes.select("node", "sketch"))
+    links = similar_links(keys, verified, fingerprint_links(nodes.select("node", "fp"), verified))
     if links is None:
         return lowest.select("doc_", "at_")
     rooted = lowest.join(stored(components(links), "roots"), "node", "left")

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 pytest.importorskip("public_tokenizers")
@@ -79,3 +80,15 @@ def test_stage_with_repeated_ids(spark):
     out = corpus_pipeline.simhash_near_dedup(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
     assert sorted(r["doc_id"] for r in out) == [1, 1] and {r["text"] for r in out} == {rows[0][1], rows[2][1]}
     assert corpus_pipeline.simhash_near_dedup(spark, spark.createDataFrame([], SCHEMA), "").count() == 0
+
+
+def test_sketches_rule_out_no_similar_pair():
+    rng = np.random.default_rng(9)
+    for n in (1, 20, 400, 5000):
+        for shared in (0.5, 0.88, 0.89, 0.9, 1.0):
+            common = rng.integers(0, 1 << 63, int(n * shared) + 1).astype(np.uint64)
+            a, b = (np.unique(np.concatenate([common, rng.integers(0, 1 << 63, n - int(n * shared)).astype(np.uint64)])) for _ in range(2))
+            sketches = [np.frombuffer(nearcopies.sketch(x), "<u4").reshape(1, -1) for x in (a, b)]
+            assert nearcopies.may_be_similar(*sketches)[0] or not nearcopies.similar(a, b)
+    few = [np.frombuffer(nearcopies.sketch(rng.integers(0, 1 << 63, 500).astype(np.uint64)), "<u4").reshape(1, -1) for _ in range(2)]
+    assert not nearcopies.may_be_similar(*few)[0]
