@@ -31,12 +31,12 @@ def table_of(spark, texts, ids=None):
     return spark.createDataFrame([(i, t, "en", "s", len(t or ""), 0.5, "z", 1) for i, t in zip(ids, texts)], SCHEMA)
 
 
-@pytest.fixture(scope="module")
+@pytest.fixture
 def docs(spark):
     return table_of(spark, TEXTS).persist()
 
 
-@pytest.fixture(scope="module")
+@pytest.fixture
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
