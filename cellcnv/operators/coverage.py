@@ -23,18 +23,18 @@ def filtered(reads: DataFrame, mapq: int = 40, layout: str = "paired") -> DataFr
     return reads.where(keep & (F.col("mapq") >= mapq))
 
 
-def with_chr_names(reads: DataFrame) -> DataFrame:
-    """Prefix chr to the chromosome names of cells in which no name has it."""
-    named = reads.groupBy("cell").agg(F.max(F.col("chrom").contains("chr")).alias("named_"))
-    plain = F.col("named_").isNotNull() & ~F.col("named_")
-    return reads.join(named, "cell").withColumn("chrom", F.when(plain, F.concat(F.lit("chr"), "chrom")).otherwise(F.col("chrom"))).drop("named_")
-
-
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint for a table that is counted to be small enough; else the table as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def with_chr_names(reads: DataFrame) -> DataFrame:
+    """Prefix chr to the chromosome names of cells in which no name has it; reads without a cell stay as they are."""
+    named = reads.groupBy("cell").agg(F.max(F.col("chrom").contains("chr")).alias("named_"))
+    plain = F.col("named_").isNotNull() & ~F.col("named_")
+    return reads.join(small(named), "cell", "left").withColumn("chrom", F.when(plain, F.concat(F.lit("chr"), "chrom")).otherwise(F.col("chrom"))).drop("named_")
+
+
 def unmasked(reads: DataFrame, mask: DataFrame, bucket: int = 100_000, max_width: int | None = None) -> DataFrame:
     """Reads that overlap no mask interval; a read covers [pos, pos + qwidth - 1].
 

@@ -135,6 +135,15 @@ def factor_rounds(by_bin: DataFrame, by_cell: DataFrame, normal: np.ndarray, k:
     return g, h
 
 
+def with_effect(rows: DataFrame, g: np.ndarray, h: np.ndarray, names: list[str]) -> DataFrame:
+    """Adds gh, the product of the bin's and the cell's factors. g and h have a row for each bin and each cell; the product is made in the tasks."""
+    spark = rows.sparkSession
+    of_bin = spark.createDataFrame([(i + 1, v.tolist()) for i, v in enumerate(g)], "bin_idx int, g_ array<double>")
+    of_cell = spark.createDataFrame([(c, v.tolist()) for c, v in zip(names, h)], "cell string, h_ array<double>")
+    product = F.aggregate(F.zip_with("g_", "h_", lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
+    return rows.join(F.broadcast(of_bin), "bin_idx").join(F.broadcast(of_cell), "cell").withColumn("gh", product).drop("g_", "h_")
+
+
 def normalise(
     depth: DataFrame, bins: DataFrame, cells: DataFrame, beta0: np.ndarray, ks: list[int], states: list[int], min_count: float = 20, by_clone: bool = False,
 ) -> dict[str, DataFrame]:
@@ -186,8 +195,7 @@ def normalise(
             flat = stored(firstpass.long_form(found, "curve", "alpha"), "curves")
             floor = low_quantile(flat, "curve")
             flat = flat.withColumn("curve", F.greatest("curve", F.lit(floor)))
-            effect = spark.createDataFrame(pd.DataFrame({"cell": np.repeat(names, len(gc)), "bin_idx": np.tile(np.arange(1, len(gc) + 1), n_cells).astype(np.int32), "gh": (h @ g.T).ravel()}))
-            rows = depth.join(F.broadcast(libs), "cell").join(flat, ["cell", "bin_idx"]).join(effect, ["cell", "bin_idx"])
+            rows = with_effect(depth.join(F.broadcast(libs), "cell").join(flat, ["cell", "bin_idx"]), g, h, names)
             rows = stored(rows, "rows")
             ratios = rows.join(F.broadcast(cells.where("is_normal").select("cell")), "cell", "left_semi").select("bin_idx", (F.col("count") / (F.col("curve") * F.col("lib_size") * F.exp("gh"))).alias("ratio"))
             new = firstpass.bin_bias(ratios).orderBy("bin_idx").toPandas()["beta"].to_numpy(float)
@@ -204,9 +212,8 @@ def normalise(
             if firstpass.should_stop(round_no, bias_change):
                 break
         based, beta, g, h = best
-        effect = spark.createDataFrame(pd.DataFrame({"cell": np.repeat(names, len(gc)), "bin_idx": np.tile(np.arange(1, len(gc) + 1), n_cells).astype(np.int32), "gh": (h @ g.T).ravel()}))
         yhat = F.greatest(F.rint(F.col("curve") * F.col("lib_size") * F.col("beta") * F.exp("gh")), F.lit(1.0))
-        fit = based.join(effect, ["cell", "bin_idx"]).select(F.lit(k).alias("k"), "cell", "bin_idx", "count", yhat.alias("yhat"), signif(F.col("curve")).alias("fgc"), "alpha")
+        fit = with_effect(based, g, h, names).select(F.lit(k).alias("k"), "cell", "bin_idx", "count", yhat.alias("yhat"), signif(F.col("curve")).alias("fgc"), "alpha")
         fits.append(fit)
         scores.append(model_scores(fit, k).select(F.lit(k).alias("k"), "aic", "bic", "rss"))
         betas.append(spark.createDataFrame([(k, i + 1, float(v)) for i, v in enumerate(beta)], "k int, bin_idx int, beta double"))

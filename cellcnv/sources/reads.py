@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.coverage import small
+
+#: Barcodes of a stream, which travel as one row.
+STREAM_BARCODES = 20_000
+
 # The chromosomes that mask tables are kept on.
 MASK_CHROMS = {
     "hg19": [f"chr{c}" for c in [*range(1, 23), "X", "Y"]],
@@ -42,22 +47,48 @@ def read_barcodes(spark: SparkSession, path: str) -> DataFrame:
     return table.select(F.col(f"`{table.columns[0]}`").alias("barcode")).where("barcode is not null").distinct()
 
 
-def demultiplex(lines: DataFrame, barcodes: DataFrame, line: str = "line") -> DataFrame:
-    """Lines with the barcode of their first listed CB tag; lines without one are dropped.
+def barcode_tags(line: str) -> Column:
+    """The barcodes that a line's tags name, in order.
 
-    Tags are the fields from the 12th on, in sorted order; a tag counts if one of its colon-separated tokens is
-    CB, and its last token is the barcode. The directory is the barcode without its last two characters. Works
-    on batches and, as the tags are searched inside the row and joined one by one from the first, on streams.
+    Tags are the fields from the 12th on, in sorted order; a tag counts if one of its colon-separated tokens is CB,
+    and its last token is the barcode.
     """
     fields = F.split(F.trim(F.col(line)), r"\s+")
     tags = F.array_sort(F.slice(fields, 12, F.greatest(F.lit(0), F.size(fields) - 11)))
     tokens = F.transform(tags, lambda t: F.split(t, ":"))
-    found = F.transform(F.filter(tokens, lambda t: F.array_contains(t, "CB")), lambda t: F.element_at(t, -1))
-    # One row with the whole list, which has as many entries as there are cells: membership is a row's own test.
+    return F.transform(F.filter(tokens, lambda t: F.array_contains(t, "CB")), lambda t: F.element_at(t, -1))
+
+
+def _with_directory(lines: DataFrame) -> DataFrame:
+    """The directory is the barcode without its last two characters."""
+    return lines.withColumn("barcode_dir", F.expr("substring(barcode, 1, length(barcode) - 2)"))
+
+
+def demultiplex(lines: DataFrame, barcodes: DataFrame, line: str = "line") -> DataFrame:
+    """Lines with the barcode of their first listed CB tag; lines without one are dropped.
+
+    A line with one tag, as nearly all are, meets the list by a hash join (broadcast after a count) and isn't moved
+    for it; of a line with several, every tag meets the list and the first that is listed stays.
+    """
+    columns = lines.columns
+    found = lines.withColumn("found_", barcode_tags(line)).where(F.size("found_") > 0)
+    listed = small(barcodes.select(F.col("barcode").alias("listed_")).distinct())
+    one = found.where(F.size("found_") == 1).withColumn("barcode", F.get("found_", F.lit(0)))
+    one = one.join(listed, F.col("barcode") == F.col("listed_"), "left_semi").select(*columns, "barcode")
+    several = found.where(F.size("found_") > 1).select(F.monotonically_increasing_id().alias("id_"), F.struct(*columns).alias("row_"), "found_")
+    several = several.select("id_", "row_", F.posexplode("found_").alias("at_", "listed_"))
+    first = several.join(listed, "listed_", "left_semi").groupBy("id_").agg(F.min_by(F.struct("row_", "listed_"), "at_").alias("first_"))
+    return _with_directory(one.unionByName(first.select("first_.row_.*", F.col("first_.listed_").alias("barcode"))))
+
+
+def demultiplex_rows(lines: DataFrame, barcodes: DataFrame, line: str = "line") -> DataFrame:
+    """As demultiplex, row by row without a grouping, for streams: the list, checked to be small, goes to every task as one row."""
+    if barcodes.limit(STREAM_BARCODES + 1).count() > STREAM_BARCODES:
+        raise ValueError(f"a stream takes at most {STREAM_BARCODES} barcodes")
     listed = barcodes.agg(F.collect_set("barcode").alias("listed_"))
     first = F.get(F.filter("found_", lambda b: F.array_contains("listed_", b)), F.lit(0))
-    out = lines.withColumn("found_", found).crossJoin(F.broadcast(listed)).withColumn("barcode", first)
-    return out.where("barcode is not null").drop("found_", "listed_").withColumn("barcode_dir", F.expr("substring(barcode, 1, length(barcode) - 2)"))
+    out = lines.withColumn("found_", barcode_tags(line)).crossJoin(F.broadcast(listed)).withColumn("barcode", first)
+    return _with_directory(out.where("barcode is not null").drop("found_", "listed_"))
 
 
 def demux_summary(lines: DataFrame, kept: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Demultiplexing of a stream of SAM lines: the batch operator, unchanged, between a stream's source and sink."""
+"""Demultiplexing of a stream of SAM lines: the row form of the operator between a stream's source and sink."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.reads import demultiplex
+from ..sources.reads import demultiplex_rows
 
 
 def read_lines(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
@@ -18,6 +18,6 @@ def read_lines(spark: SparkSession, folder: str, max_files: int | None = None) -
 
 def demultiplex_stream(lines: DataFrame, barcodes: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Write kept lines to a directory per barcode. The barcode list is static; no state is kept between batches."""
-    kept = demultiplex(lines, barcodes).select("barcode_dir", "barcode", "line")
+    kept = demultiplex_rows(lines, barcodes).select("barcode_dir", "barcode", "line")
     writer = kept.writeStream.format("text").partitionBy("barcode_dir", "barcode").option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if once else writer).start(path)

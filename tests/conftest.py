@@ -1,3 +1,4 @@
+import functools
 import sys
 import tempfile
 from pathlib import Path
@@ -8,8 +9,9 @@ ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 
 
-@pytest.fixture(scope="session")
-def spark():
+@functools.cache
+def local_session():
+    """One session for all tests; it ends with the process."""
     from pyspark.sql import SparkSession
 
     from cellcnv.session import ship_package
@@ -22,5 +24,9 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     ship_package(session)
-    yield session
-    session.stop()
+    return session
+
+
+@pytest.fixture
+def spark():
+    return local_session()

@@ -117,3 +117,27 @@ def test_ploidy_grid_against_numpy(spark):
     assert level[-1] == 0
     for x in (1.5, 2.0, 6.0):
         assert errors["c3", x] == pytest.approx(((level * x - np.rint(level * x)) ** 2).sum())
+
+
+def test_factor_effect_is_the_product(spark):
+    rng = np.random.default_rng(1)
+    g, h, names = rng.normal(size=(4, 2)), rng.normal(size=(3, 2)), ["a", "b", "c"]
+    rows = spark.createDataFrame([(c, b + 1) for c in names for b in range(4)], "cell string, bin_idx int")
+    for r in latent.with_effect(rows, g, h, names).collect():
+        assert r["gh"] == pytest.approx(g[r["bin_idx"] - 1] @ h[names.index(r["cell"])])
+
+
+def test_names_of_reads_without_a_cell(spark):
+    reads = spark.createDataFrame([("a", "1"), ("b", "chr2"), (None, "3"), ("a", None)], "cell string, chrom string")
+    assert sorted(map(str, coverage.with_chr_names(reads).collect())) == sorted(map(str, spark.createDataFrame([("a", "chr1"), ("b", "chr2"), (None, "3"), ("a", None)], "cell string, chrom string").collect()))
+
+
+def test_barcode_list_meets_lines_by_hash(spark):
+    lines = spark.createDataFrame([("\t".join(["x"] * 11 + ["CB:Z:AA-1", "CB:Z:BB-1"]),), ("\t".join(["x"] * 11 + ["CB:Z:BB-1"]),), ("\t".join(["x"] * 11 + ["CB:Z:BB-1"]),)], "line string")
+    barcodes = spark.range(1_000_000).select(F.concat(F.lit("B"), F.col("id").cast("string")).alias("barcode")).unionByName(spark.createDataFrame([("BB-1",)], "barcode string"))
+    found = source.demultiplex(lines, barcodes)
+    assert [r["barcode_dir"] for r in found.collect()] == ["BB"] * 3
+    both = spark.createDataFrame([("\t".join(["x"] * 11 + ["CB:Z:BB-1", "CB:Z:B77", "CB:Z:AA-1"]),)] * 2, "line string")
+    assert [r["barcode"] for r in source.demultiplex(both, barcodes).collect()] == ["B77"] * 2
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
