@@ -126,8 +126,8 @@ def recurring_lines(docs: DataFrame, min_words: int = 3, depth: int = 3, similar
 
     # Leaves with several masked lines: fetch the text of each line once, from the first document that has it.
     shared = exact.where("leaf_ is not null").groupBy("leaf_").count().where("count > 1").select("leaf_")
-    several = exact.join(shared, "leaf_", "left_semi").select("h1_", "h2_", "leaf_", "first_.*")
-    wanted = several.groupBy("doc_", "text_").agg(F.collect_list(F.struct("line_", "h1_", "h2_", "leaf_")).alias("want_"))
+    crowded = exact.join(shared, "leaf_", "left_semi").select("h1_", "h2_", "leaf_", "first_.*")
+    wanted = crowded.groupBy("doc_", "text_").agg(F.collect_list(F.struct("line_", "h1_", "h2_", "leaf_")).alias("want_"))
     own = docs.select(*document_key(docs), F.col("text").alias("whole_"))
     hit = _same_document(own, wanted, "inner").select(F.split("whole_", "\n", -1).alias("all_"), "want_")
     hit = hit.select("all_", F.explode("want_").alias("w_")).select("w_.h1_", "w_.h2_", "w_.leaf_", masked(F.element_at("all_", F.col("w_.line_") + 1)).alias("m_"))
