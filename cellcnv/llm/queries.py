@@ -12,7 +12,8 @@ from .search import op3_search
 from .simhash import op6_simhash
 from .suffixes import op4_suffix_dedup
 from .templates import OP10_SQL, op10_line_dedup
+from .variants import op13_spelling_variants
 from .warc import op2_warc
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_warc, op3_search, op4_suffix_dedup, op5_quality_rules, op6_simhash, op7_pii, op8_byte_bpe, op9_packing, op10_line_dedup, op12_hard_negatives)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_warc, op3_search, op4_suffix_dedup, op5_quality_rules, op6_simhash, op7_pii, op8_byte_bpe, op9_packing, op10_line_dedup, op12_hard_negatives, op13_spelling_variants)}
 ORACLE_SQL = {"op10_line_dedup": OP10_SQL, "op12_hard_negatives": OP12_SQL}
