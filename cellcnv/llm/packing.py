@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import re
 import string
 import unicodedata
 import zlib
@@ -150,8 +151,10 @@ def token_starts(data: np.ndarray, text_starts: np.ndarray) -> tuple[np.ndarray,
 class WordIds:
     """Ids of tokens, learnt once each: all ids in one array, with where each token's begin and how many they are."""
 
-    def __init__(self, tokenizer, end_id: int):
+    def __init__(self, tokenizer, end_id: int, added: list[str]):
         self.tokenizer, self.end_id = tokenizer, end_id
+        #: Texts that hold an added token, in capitals or not, go through the whole tokenizer.
+        self.added = "|".join(map(re.escape, added))
         self.letters = dict(enumerate(byte_letters()))
         self.forget()
 
@@ -201,6 +204,19 @@ class WordIds:
 
     def stream(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by the end id, and where each text's ids end."""
+        odd = pc.match_substring_regex(texts, self.added, ignore_case=True) if self.added else None
+        if odd is None or not pc.any(odd).as_py():
+            return self._stream(texts)
+        ids, ends = self._stream(pc.if_else(odd, "", texts))
+        places = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        found, found_ends = PlainIds(self.tokenizer, self.end_id).stream(texts.filter(odd))
+        parts, done, more = [], 0, np.zeros(len(texts), np.int64)
+        for k, own in zip(places, np.split(found, found_ends[:-1])):
+            parts += [ids[done : ends[k] - 1], own]
+            done, more[k] = ends[k], len(own) - 1
+        return np.concatenate([*parts, ids[done:]]), ends + np.cumsum(more)
+
+    def _stream(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         ends = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)
         offset = texts.offset
         bounds = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * offset).astype(np.int64)
@@ -240,12 +256,11 @@ def ids_by(tokenizer_path: str, end_id: int):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
-    tokenizer.encode_special_tokens = True
     with open(tokenizer_path, encoding="utf-8") as f:
         rules = json.load(f)
     model = {k: rules["model"].get(k) for k in MODEL_RULES}
     known = rules["normalizer"] == NORMALIZER and rules["pre_tokenizer"] == PRE_TOKENIZER and model == MODEL_RULES and not rules["post_processor"]
-    return (WordIds if known else PlainIds)(tokenizer, end_id)
+    return WordIds(tokenizer, end_id, [t["content"] for t in rules["added_tokens"]]) if known else PlainIds(tokenizer, end_id)
 
 
 def text_chunks(batch: pa.RecordBatch):

@@ -17,6 +17,13 @@ HARD = [
 ]
 
 
+def fresh():
+    """A tokenizer whose switches are as the library sets them."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(P.path("word_bpe_49k.json"))
+
+
 def test_ids_equal_the_library():
     ids_of = packing.ids_by(P.path("word_bpe_49k.json"), 2)
     assert isinstance(ids_of, packing.WordIds)
@@ -26,18 +33,29 @@ def test_ids_equal_the_library():
     for texts in (HARD, [""], drawn, documents, ["word " * 200_000 + "é"]):
         ids, ends = ids_of.stream(pa.array(texts, pa.string()))
         begins = [0, *ends.tolist()[:-1]]
-        for a, b, found in zip(begins, ends.tolist(), ids_of.tokenizer.encode_batch(texts, add_special_tokens=False)):
+        for a, b, found in zip(begins, ends.tolist(), fresh().encode_batch(texts, add_special_tokens=False)):
             assert ids[a:b].tolist() == [*found.ids, 2]
         plain, same = packing.PlainIds(ids_of.tokenizer, 2).stream(pa.array(texts[:50], pa.string()))
         assert same.tolist() == ends[:50].tolist() and (plain == ids[: same[-1]]).all()
 
 
+def test_strings_of_added_tokens_become_those_tokens():
+    ids_of, plain = packing.ids_by(P.path("word_bpe_49k.json"), 2), fresh()
+    rng, parts = random.Random(3), ["<|startoftext|>", "<|endoftext|>", "<|ENDOFTEXT|>", "<|end", "oftext|>", " ", "hello", "wor", "é", "'s", "\n"]
+    texts = [*parts, "hello <|endoftext|> world", "in<|endoftext|>side", "<|startoftext|><|endoftext|>", "no such string", ""]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randrange(9))) for _ in range(400)]
+    assert len(plain.encode("hello <|endoftext|> world", add_special_tokens=False).ids) == 3
+    for some in (texts, texts[5:90], ["<|endoftext|>"]):
+        ids, ends = ids_of.stream(pa.array(some, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip([0, *ends.tolist()[:-1]], ends.tolist())] == [[*plain.encode(t, add_special_tokens=False).ids, 2] for t in some]
+
+
 def test_slices_and_forgetting(monkeypatch):
     monkeypatch.setattr(packing, "WORD_CACHE", 20)
     ids_of = packing.ids_by(P.path("word_bpe_49k.json"), 2)
     for _ in range(2):
         ids, ends = ids_of.stream(pa.array(HARD, pa.string()).slice(3, 6))
-        assert ids.tolist() == [i for t in HARD[3:9] for i in [*ids_of.tokenizer.encode(t, add_special_tokens=False).ids, 2]] and ends[-1] == len(ids)
+        assert ids.tolist() == [i for t in HARD[3:9] for i in [*fresh().encode(t, add_special_tokens=False).ids, 2]] and ends[-1] == len(ids)
 
 
 def test_null_and_repeated_ids_are_dealt_to_many_groups(spark):
