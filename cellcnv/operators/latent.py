@@ -6,9 +6,11 @@ they are. Only they, scalars and the bin bias come back to the driver.
 
 from __future__ import annotations
 
+from base64 import b64decode, b64encode
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import poisson
@@ -19,6 +21,8 @@ from . import em, firstpass, qc
 MOST_ROUNDS, MOST_INNER = 10, 50
 FACTOR_CHANGE, SETTLED_FROM, AMONG = 1e-5, 10, 3
 G_LIMIT, G_TAIL = 30.0, 0.005
+#: Of the randomised iteration: vectors beside the k wanted, passes at most, relative size of what may be left.
+SPARE_VECTORS, MOST_PASSES, SETTLED_VECTORS = 8, 40, 1e-11
 
 
 def check_factors(ks: list[int], n_normal: int) -> None:
@@ -40,11 +44,9 @@ def best_k(scores: DataFrame) -> DataFrame:
     return scores.agg(F.max_by("k", F.struct("bic", -F.col("k"))).alias("k"))
 
 
-def right_vectors(gram: np.ndarray, k: int) -> np.ndarray:
-    """Top right singular vectors from a Gram matrix; the largest entry of each is positive."""
-    _, vectors = np.linalg.eigh(gram)
-    top = vectors[:, ::-1][:, :k]
-    return top * np.sign(top[np.abs(top).argmax(axis=0), np.arange(k)])
+def signed(vectors: np.ndarray) -> np.ndarray:
+    """Columns turned so that the largest entry of each is positive."""
+    return vectors * np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(vectors.shape[1])])
 
 
 def bin_major(rows: DataFrame, *values: str) -> DataFrame:
@@ -53,44 +55,55 @@ def bin_major(rows: DataFrame, *values: str) -> DataFrame:
     return out.select("bin_idx", *(F.col(f"rows_.{v}").alias(v) for v in values))
 
 
-def first_factors(by_bin: DataFrame, k: int) -> np.ndarray:
-    """h from log counts over expectation, centred per bin: partial Gram matrices are summed over partitions.
+def _log_rest(batch: pd.DataFrame) -> np.ndarray:
+    """Log counts over expectation, bins x cells, centred per bin."""
+    rest = np.log(np.maximum(np.stack(batch["count"].to_numpy()).astype(float), 1)) - np.stack(batch["base"].to_numpy())
+    return rest - rest.mean(axis=1, keepdims=True)
 
-    The matrix is cells x cells, for up to some thousand cells.
-    """
 
-    def gram(batches):
-        total = None
+def gram_times(by_bin: DataFrame, block: np.ndarray) -> np.ndarray:
+    """X'X times a block of vectors over cells, X being the log rest of all bins: tasks multiply their bins, Spark sums."""
+    width = block.shape[1]
+
+    def run(batches):
+        total = np.zeros(block.shape)
         for b in batches:
-            y, base = np.stack(b["count"].to_numpy()).astype(float), np.stack(b["base"].to_numpy())
-            left = np.log(np.maximum(y, 1)) - base
-            left -= left.mean(axis=1, keepdims=True)
-            total = left.T @ left if total is None else total + left.T @ left
-        if total is not None:
-            yield pd.DataFrame({"at": np.arange(len(total)), "values": list(total)})
+            rest = _log_rest(b)
+            total += rest.T @ (rest @ block)
+        yield pd.DataFrame({"at": np.arange(len(total)), "values": list(total)})
 
-    rows = by_bin.mapInPandas(gram, "at int, values array<double>")
-    sums = rows.select("at", F.posexplode("values").alias("to", "v")).groupBy("at", "to").agg(F.sum("v").alias("v")).toPandas()
-    size = int(sums["at"].max()) + 1
-    out = np.zeros((size, size))
-    out[sums["at"], sums["to"]] = sums["v"]
-    return right_vectors(out, k)
+    parts = by_bin.mapInPandas(run, "at int, values array<double>")
+    sums = parts.groupBy("at").agg(F.array(*(F.sum(F.col("values")[j]) for j in range(width))).alias("values"))
+    return np.stack(sums.orderBy("at").toPandas()["values"].to_numpy())
 
 
-def bin_factors(by_bin: DataFrame, h: np.ndarray, normal: np.ndarray) -> np.ndarray:
-    """g: each bin's counts in normal cells on their h, offset by the log expectation."""
-    x = h[normal]
+def first_factors(by_bin: DataFrame, k: int, seed: int = 1) -> np.ndarray:
+    """h from log counts over expectation: the top k right singular vectors of bins x cells, by randomised block iteration.
 
-    def run(batches):
-        for b in batches:
-            y, base = (np.stack(b[c].to_numpy()).astype(float)[:, normal] for c in ("count", "base"))
-            g, ok = poisson.regress(y, x, base)
-            if not ok.all():
-                g[~ok] = poisson.least_squares(y[~ok], x, base[~ok])
-            yield pd.DataFrame({"bin_idx": b["bin_idx"], "g": list(np.nan_to_num(g, nan=0.0, posinf=0.0, neginf=0.0))})
-
-    found = by_bin.mapInPandas(run, "bin_idx int, g array<double>").toPandas().sort_values("bin_idx")
-    return limited(np.stack(found["g"].to_numpy()))
+    A block of k + SPARE_VECTORS random vectors goes through the bins again and again; what each pass adds is kept as
+    a basis (a block Krylov space), and the best vectors within it are taken once they change no more. Nothing of
+    cells x cells is made: the driver holds a few vectors over cells for each pass.
+    """
+    cells = by_bin.select(F.size("count")).first()[0]
+    block = np.linalg.qr(np.random.default_rng(seed).normal(size=(cells, min(cells, k + SPARE_VECTORS))))[0]
+    basis, images = block, np.zeros((cells, 0))
+    for _ in range(MOST_PASSES):
+        image = gram_times(by_bin, block)
+        images = np.hstack([images, image])
+        small = basis.T @ images
+        values, inner = np.linalg.eigh((small + small.T) / 2)
+        values, inner = values[::-1][:k], inner[:, ::-1][:, :k]
+        found = basis @ inner
+        if basis.shape[1] == cells or np.linalg.norm(images @ inner - found * values) <= SETTLED_VECTORS * max(values[0], 1e-300):
+            break
+        for _ in range(2):  # twice, as rounding leaves a part of the basis in it
+            image = image - basis @ (basis.T @ image)
+        left, size, _ = np.linalg.svd(image, full_matrices=False)
+        block = left[:, size > SETTLED_VECTORS * max(values[0], 1e-300)][:, : cells - basis.shape[1]]
+        if not block.shape[1]:
+            break
+        basis = np.hstack([basis, block])
+    return signed(found)
 
 
 def limited(g: np.ndarray) -> np.ndarray:
@@ -105,34 +118,83 @@ def limited(g: np.ndarray) -> np.ndarray:
     return g
 
 
-def cell_factors(by_cell: DataFrame, g: np.ndarray) -> np.ndarray:
-    """Each cell's counts over all bins on g; rows in the order of cells."""
+def bin_factors(y: np.ndarray, base: np.ndarray, h: np.ndarray, normal: np.ndarray) -> np.ndarray:
+    """g of some bins: counts in normal cells on their h, offset by the log expectation; by least squares where that fails."""
+    y, base, x = y[:, normal], base[:, normal], h[normal]
+    g, ok = poisson.regress(y, x, base)
+    if not ok.all():
+        g[~ok] = poisson.least_squares(y[~ok], x, base[~ok])
+    return np.nan_to_num(g, nan=0.0, posinf=0.0, neginf=0.0)
+
+
+def cell_factors(y: np.ndarray, base: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Coefficients of some cells: counts over all bins on g."""
+    return np.nan_to_num(poisson.regress(y, g, base)[0])
+
+
+def product_vectors(g: np.ndarray, fitted: np.ndarray) -> np.ndarray:
+    """Right singular vectors of the product of g (centred over bins) and the cells' coefficients: of rank k, so by k x k algebra."""
+    _, size, right = np.linalg.svd(g - g.mean(axis=0), full_matrices=False)
+    return signed(np.linalg.svd(fitted @ (right.T * size), full_matrices=False)[0][:, : g.shape[1]])
+
+
+def settled(changes: list[float]) -> bool:
+    """Whether h changes no more, or, late, changes as little as in the best few rounds."""
+    last, done = changes[-1], len(changes)
+    return last < FACTOR_CHANGE or (done > SETTLED_FROM and sorted(changes + [np.inf] * (MOST_INNER - done)).index(last) < AMONG)
+
+
+def factor_rounds(by_bin: DataFrame, by_cell: DataFrame, normal: np.ndarray, k: int, tasks: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """g (by bin number) and h (by cell, in order) in turns until h settles, all in one barrier stage.
+
+    Each task keeps its bins and its cells. In a round it fits g of its bins, the tasks exchange g, it fits its cells'
+    coefficients, and the tasks exchange those; the first task takes the new h from them and tells the others whether
+    to go on. Only g and h, a few numbers a bin and a cell, are exchanged. If a task is lost the stage runs again from
+    the stored rows. `tasks` have to run at the same time: the session's default parallelism unless given.
+    """
+    h0 = first_factors(by_bin, k)
+    tasks = tasks or by_bin.sparkSession.sparkContext.defaultParallelism
+    order = by_cell.select("cell", (F.row_number().over(Window.orderBy("cell")) - 1).alias("at"))
+    of_bins = by_bin.select(F.lit(True).alias("is_bin"), (F.col("bin_idx") - 1).cast("int").alias("at"), "count", "base")
+    of_cells = by_cell.join(F.broadcast(order), "cell").select(F.lit(False).alias("is_bin"), "at", "count", "base")
+    rows = of_bins.unionByName(of_cells).repartition(tasks, "is_bin", "at")
 
     def run(batches):
-        for b in batches:
-            y, base = (np.stack(b[c].to_numpy()).astype(float) for c in ("count", "base"))
-            h, _ = poisson.regress(y, g, base)
-            yield pd.DataFrame({"cell": b["cell"], "h": list(np.nan_to_num(h))})
-
-    found = by_cell.mapInPandas(run, "cell string, h array<double>").toPandas().sort_values("cell")
-    return np.stack(found["h"].to_numpy())
-
-
-def factor_rounds(by_bin: DataFrame, by_cell: DataFrame, normal: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """g and h in turns until h settles. Products g h' have rank k, so their singular vectors come from k x k algebra."""
-    h, changes = first_factors(by_bin, k), []
-    for inner in range(1, MOST_INNER + 1):
-        g = bin_factors(by_bin, h, normal)
-        fitted = cell_factors(by_cell, g)
-        centred = g - g.mean(axis=0)
-        root = np.linalg.svd(centred, full_matrices=False)
-        basis, _, _ = np.linalg.svd(fitted @ (root[2].T * root[1]), full_matrices=False)
-        new = basis[:, :k] * np.sign(basis[np.abs(basis[:, :k]).argmax(axis=0), np.arange(k)])
-        changes.append(float(np.mean((new - h) ** 2)))
-        h = new
-        if changes[-1] < FACTOR_CHANGE or (inner > SETTLED_FROM and sorted(changes + [np.inf] * (MOST_INNER - inner)).index(changes[-1]) < AMONG):
-            break
-    return g, h
+        from pyspark import BarrierTaskContext
+
+        context = BarrierTaskContext.get()
+        batches = list(batches)
+        mine = {}
+        for is_bin in (True, False):
+            some = [b[b["is_bin"] == is_bin] for b in batches]
+            at = np.concatenate([np.zeros(0, np.int64), *(b["at"].to_numpy(np.int64) for b in some)])
+            y, base = (np.array([v for b in some for v in b[c]], float) for c in ("count", "base"))
+            mine[is_bin] = at, y, base
+
+        def exchanged(at: np.ndarray, values: np.ndarray) -> np.ndarray:
+            parts = [b64decode(x) for x in context.allGather(b64encode(np.column_stack([at, values]).tobytes()).decode())]
+            every = np.concatenate([np.frombuffer(x).reshape(-1, k + 1) for x in parts])
+            return every[np.argsort(every[:, 0], kind="stable"), 1:]
+
+        h, changes, going = h0, [], True
+        while going:
+            at, y, base = mine[True]
+            g = limited(exchanged(at, bin_factors(y, base, h, normal) if len(at) else np.zeros((0, k))))
+            at, y, base = mine[False]
+            fitted = exchanged(at, cell_factors(y, base, g) if len(at) else np.zeros((0, k)))
+            said = ""
+            if context.partitionId() == 0:
+                new = product_vectors(g, fitted)
+                changes.append(float(np.mean((new - h) ** 2)))
+                said = b64encode(bytes([settled(changes) or len(changes) == MOST_INNER]) + np.ascontiguousarray(new).tobytes()).decode()
+            told = b64decode(context.allGather(said)[0])
+            going, h = not told[0], np.frombuffer(told[1:]).reshape(-1, k)
+        if context.partitionId() == 0:
+            for is_bin, values in ((True, g), (False, h)):
+                yield pd.DataFrame({"is_bin": is_bin, "at": np.arange(len(values)), "values": list(values)})
+
+    found = rows.mapInPandas(run, "is_bin boolean, at int, values array<double>", barrier=True).toPandas().sort_values("at")
+    return tuple(np.stack(found[found["is_bin"] == is_bin]["values"].to_numpy()) for is_bin in (True, False))
 
 
 def with_effect(rows: DataFrame, g: np.ndarray, h: np.ndarray, names: list[str]) -> DataFrame:
