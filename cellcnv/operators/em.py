@@ -2,14 +2,14 @@
 
 Rows are packed per cell: count, ratio, offset and alpha as arrays in bin order. A cell is one task's small
 matter. A clone may hold most cells, so its rounds are Spark jobs: cells map to log densities, which are summed
-per bin over cells; only the clone's states (bins x T) come back and go out again.
+per bin over cells; the clone's states (bins x T) are a table that each round replaces.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import em
@@ -94,96 +94,147 @@ def normal_clones(cells: DataFrame) -> DataFrame:
     return mixed.crossJoin(F.broadcast(total)).where("all_ = 1 and n_ = total_").select("clone")
 
 
-def _summed(rows: DataFrame, *key: str) -> dict:
-    """Sums of arrays per key and place; comes back as one array per key, of the genome's size."""
-    places = rows.select(*key, F.posexplode("values").alias("at_", "v_")).groupBy(*key, "at_").agg(F.sum("v_").alias("v_"))
-    out: dict = {}
-    for name, part in places.toPandas().groupby(list(key), sort=True):
-        out[name] = part.sort_values("at_")["v_"].to_numpy(float)
-    return out
+#: Rows of states (one a clone, each of a genome's bins) that are broadcast at most; more meet the cells by a shuffle.
+BROADCAST_CLONES = 64
+#: Sums of (clone, number of states) that a task holds before it passes them on.
+MOST_SUMS = 256
+
+
+def _softmax(logs: Column) -> Column:
+    shifted = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
+    return F.transform(shifted, lambda x: x / F.aggregate(shifted, F.lit(0.0), lambda total, y: total + y))
+
+
+def _states_of_clones(states: DataFrame, base: DataFrame) -> DataFrame:
+    """One row per clone: kept bins, and for each number of states z and the z before as flat arrays in bin order."""
+    flat = lambda c: F.flatten(F.transform("rows_", lambda r: r[c])).alias(c)
+    rows = states.groupBy("clone", "t").agg(F.array_sort(F.collect_list(F.struct("at", "z", "before"))).alias("rows_"))
+    fits = rows.select("clone", F.struct("t", flat("z"), flat("before")).alias("fit_")).groupBy("clone").agg(F.collect_list("fit_").alias("fits"))
+    keep = base.groupBy("clone").agg(F.array_sort(F.collect_list(F.struct("at", "keep"))).alias("keep_")).select("clone", F.col("keep_.keep").alias("keep"))
+    packed = stored(keep.join(fits, "clone", "left"), "states")
+    return F.broadcast(packed) if packed.count() <= BROADCAST_CLONES else packed
+
+
+class _CellFit:
+    """One cell in one of its clone's fits: its curve follows from the states before the last expectation step."""
+
+    def __init__(self, row, smoother: Loess, gc: np.ndarray):
+        self.counts, self.ratio, self.offset = _arrays(row, "count", "ratio", "offset")
+        self.keep, self.smoother, self.gc = np.asarray(row.keep, bool), smoother, gc
+        self.fits = {f["t"]: self._unpacked(f) for f in (row.fits if row.fits is not None else ())}
+        self.factorials = log_factorials(self.counts)
+
+    @staticmethod
+    def _unpacked(f) -> tuple[np.ndarray, np.ndarray | None]:
+        z, before = (None if f[c] is None else np.asarray(f[c], float).reshape(-1, f["t"]) for c in ("z", "before"))
+        return z, before
+
+    def last_curve(self, t: int) -> np.ndarray:
+        """The curve of the last maximisation step; before any, the smooth from the kept bins."""
+        z, before = self.fits.get(t, (None, None))
+        return em.curve(self.ratio, self.smoother, before) if before is not None else em.start_curve(self.ratio, self.gc, self.keep, z)
 
 
 def fit_clones(cells: DataFrame, gc: np.ndarray, states: list[int], min_count: float = 20) -> DataFrame:
-    """cell, curve, alpha with states shared by all cells of a clone. cells: as for fit_cells, and clone."""
+    """cell, curve, alpha with states shared by all cells of a clone. cells: as for fit_cells, and clone.
+
+    The states are a table (clone, t, at, z). In each round the cells map to log densities, which tasks sum over their
+    cells and Spark over tasks; the new states, their changes and which (clone, t) go on are columns of that table's
+    aggregates. Only the number of those that go on comes to the driver.
+    """
     smoother, n = Loess(gc), len(gc)
     degrees = smoother.degrees()
-    normal = {r["clone"] for r in normal_clones(cells).collect()}
-    others = stored(cells.where(~F.col("clone").isin(list(normal))) if normal else cells, "clones")
+    normal = normal_clones(cells)
+    others = stored(cells.join(normal, "clone", "left_anti"), "clones")
 
     def outliers(batches):
         for b in batches:
-            out = []
+            for clone, part in b.groupby("clone"):
+                bad = sum(em.outlier_bins(np.asarray(r, float), np.asarray(c, float), smoother, min_count).astype(int) for r, c in zip(part["ratio"], part["count"]))
+                yield pd.DataFrame({"clone": clone, "at": np.arange(n), "bad": bad})
+
+    kept = others.select("clone", "count", "ratio").mapInPandas(outliers, "clone string, at int, bad long").groupBy("clone", "at").agg((F.sum("bad") == 0).alias("keep"))
+    middle = others.select("clone", F.posexplode("alpha").alias("at", "a_")).groupBy("clone", "at").agg(F.median("a_").alias("alpha"))
+    base = stored(kept.join(middle, ["clone", "at"]), "kept")
+    several = [t for t in states if t > 1]
+    start = base.select("clone", "at", "alpha", F.explode(F.array(*map(F.lit, several)).cast("array<int>")).alias("t"))
+    state = F.least(F.col("t"), F.greatest(F.lit(1), F.rint("alpha").cast("int")))
+    one_hot = F.transform(F.sequence(F.lit(1), F.col("t")), lambda s: (s == state).cast("double"))
+    going = stored(start.select("clone", "t", "at", one_hot.alias("z"), F.lit(None).cast("array<double>").alias("before")), "states")
+    done, rounds, width = going.limit(0), 0, max([1, *several])
+    share = lambda z: F.slice(F.array(*(F.avg(F.get(z, F.lit(j))) for j in range(width))), 1, F.col("t"))
+
+    def expect(batches):
+        sums: dict = {}
+
+        def passed_on():
+            for (clone, t), (logs, change, seen) in sums.items():
+                once = np.arange(n) == 0
+                yield pd.DataFrame({"clone": clone, "t": t, "at": np.arange(n), "logs": list(logs), "change": once * change, "cells": once * seen})
+            sums.clear()
+
+        for b in batches:
             for row in b.itertuples(index=False):
-                counts, ratio = _arrays(row, "count", "ratio")
-                out.append((row.clone, em.outlier_bins(ratio, counts, smoother, min_count).astype(float).tolist()))
-            yield pd.DataFrame(out, columns=["clone", "values"])
-
-    keep = {c: v == 0 for (c,), v in _summed(others.select("clone", "count", "ratio").mapInPandas(outliers, "clone string, values array<double>"), "clone").items()}
-    middle = others.select("clone", F.posexplode("alpha").alias("at_", "a_")).groupBy("clone", "at_").agg(F.median("a_").alias("a_")).toPandas()
-    alpha = {c: part.sort_values("at_")["a_"].to_numpy(float) for c, part in middle.groupby("clone")}
-    state = {(c, t): em.start_states(np.maximum(1, np.rint(a)), t) if t > 1 else np.ones((n, 1)) for c, a in alpha.items() for t in states}
-    previous: dict = {k: None for k in state}
-    rounds, active = 0, [k for k in state if k[1] > 1]
-
-    def curve_of(ratio, key, z):
-        return em.curve(ratio, smoother, z) if z is not None else em.start_curve(ratio, gc, keep[key[0]], state_start[key] if key[1] > 1 else None)
-
-    state_start = dict(state)
-    while active:
-        now, old, going = dict(state), dict(previous), set(active)
-
-        def expect(batches):
-            for b in batches:
-                out = []
-                for row in b.itertuples(index=False):
-                    counts, ratio, offset = _arrays(row, "count", "ratio", "offset")
-                    factorials = log_factorials(counts)
-                    for key in sorted(k for k in going if k[0] == row.clone):
-                        f = em.curve(ratio, smoother, now[key])
-                        change = float(np.mean((f - curve_of(ratio, key, old[key])) ** 2))
-                        logs = em.state_log_densities(counts, factorials, offset * f, key[1])
-                        out.append((*key, [*logs.ravel().tolist(), change, 1.0]))
-                yield pd.DataFrame(out, columns=["clone", "t", "values"])
-
-        sums = _summed(others.select("clone", "count", "ratio", "offset").mapInPandas(expect, "clone string, t int, values array<double>"), "clone", "t")
+                one = _CellFit(row, smoother, gc)
+                for t, (z, _) in one.fits.items():
+                    f = em.curve(one.ratio, smoother, z)
+                    change = float(np.mean((f - one.last_curve(t)) ** 2))
+                    logs = em.state_log_densities(one.counts, one.factorials, one.offset * f, t)
+                    before = sums.get((row.clone, t), (0.0, 0.0, 0))
+                    sums[row.clone, t] = before[0] + logs, before[1] + change, before[2] + 1
+                if len(sums) > MOST_SUMS:
+                    yield from passed_on()
+        yield from passed_on()
+
+    while not going.isEmpty():
+        wide = others.select("clone", "count", "ratio", "offset").join(_states_of_clones(going, base), "clone").where("fits IS NOT NULL")
+        parts = wide.mapInPandas(expect, "clone string, t int, at int, logs array<double>, change double, cells long")
+        logs = F.slice(F.array(*(F.sum(F.get("logs", F.lit(j))) for j in range(width))), 1, F.col("t")).alias("logs")
+        sums = parts.groupBy("clone", "t", "at").agg(logs, F.sum("change").alias("change"), F.sum("cells").alias("cells"))
+        shares = going.groupBy("clone", "t").agg(share("z").alias("share"))
+        old = sums.join(going, ["clone", "t", "at"]).join(shares, ["clone", "t"])
+        new = old.withColumn("new", _softmax(F.zip_with("logs", "share", lambda x, p: x + F.ln(F.when(p == 0, F.lit(1e-100)).otherwise(p)))))
+        moved = F.aggregate(F.zip_with("new", "z", lambda x, y: F.pow(x - y, F.lit(2.0))), F.lit(0.0), lambda total, x: total + x)
+        new = stored(new.select("clone", "t", "at", F.col("new").alias("z"), F.col("z").alias("before"), moved.alias("moved"), "change", "cells"), "round")
         rounds += 1
-        for key in list(active):
-            values = sums[key]
-            z = em.responsibilities(values[:-2].reshape(n, key[1]), state[key].mean(axis=0))
-            state_change = float(np.mean((z - state[key]) ** 2))
-            previous[key], state[key] = state[key], z
-            if not em.goes_on(rounds, values[-2] / values[-1], state_change):
-                active.remove(key)
+        changed = new.groupBy("clone", "t").agg((F.sum("moved") / (F.count("*") * F.first("t"))).alias("state_"), (F.sum("change") / F.sum("cells")).alias("curve_"))
+        on = F.lit(rounds < em.MOST_ROUNDS) & (F.lit(rounds < em.LEAST_ROUNDS) | (F.col("curve_") > em.CURVE_CHANGE) | (F.col("state_") > em.STATE_CHANGE))
+        changed = stored(changed.select("clone", "t", on.alias("on_")), "going")
+        new = new.select("clone", "t", "at", "z", "before").join(changed, ["clone", "t"])
+        done = done.unionByName(new.where("NOT on_").drop("on_"))
+        going = stored(new.where("on_").drop("on_"), "states")
 
-    final, last = dict(state), dict(previous)
+    found = stored(done, "fits")
 
     def scored(batches):
         for b in batches:
             out = []
             for row in b.itertuples(index=False):
-                counts, ratio, offset = _arrays(row, "count", "ratio", "offset")
-                factorials, use = log_factorials(counts), keep[row.clone]
-                for t in states:
-                    key = (row.clone, t)
-                    mean = offset * curve_of(ratio, key, last[key]) * (em.copies(final[key]) if t > 1 else 1.0)
-                    loglik = float(log_density(counts, mean, factorials)[use].sum())
-                    out.append((*key, loglik, float(em.score(loglik, n, degrees, t))))
-            yield pd.DataFrame(out, columns=["clone", "t", "loglik", "bic"])
-
-    totals = others.mapInPandas(scored, "clone string, t int, loglik double, bic double").groupBy("clone", "t").agg(F.sum("bic").alias("bic")).toPandas()
-    best = {c: states[int(np.argmax([part.set_index("t").loc[t, "bic"] for t in states]))] for c, part in totals.groupby("clone")}
+                one = _CellFit(row, smoother, gc)
+                for place, t in enumerate(states):
+                    mean = one.offset * one.last_curve(t) * (em.copies(one.fits[t][0]) if t > 1 else 1.0)
+                    loglik = float(log_density(one.counts, mean, one.factorials)[one.keep].sum())
+                    out.append((row.clone, place, loglik, float(em.score(loglik, n, degrees, t))))
+            yield pd.DataFrame(out, columns=["clone", "place", "loglik", "bic"])
+
+    everything = _states_of_clones(found, base)
+    scores = others.select("clone", "count", "ratio", "offset").join(everything, "clone").mapInPandas(scored, "clone string, place int, loglik double, bic double")
+    best = scores.groupBy("clone", "place").agg(F.sum("bic").alias("bic")).groupBy("clone").agg(F.max_by("place", F.struct("bic", -F.col("place"))).alias("best"))
 
     def chosen(batches):
         for b in batches:
             out = []
             for row in b.itertuples(index=False):
-                (ratio,) = _arrays(row, "ratio")
-                if row.clone in normal:
+                if row.best < 0:
+                    (ratio,) = _arrays(row, "ratio")
                     out.append((row.cell, smoother.fit(ratio).tolist(), [2.0] * n))
-                else:
-                    key = (row.clone, best[row.clone])
-                    copy = np.full(n, 2.0) if best[row.clone] == states[0] else final[key].argmax(axis=1) + 1.0
-                    out.append((row.cell, curve_of(ratio, key, last[key]).tolist(), copy.tolist()))
+                    continue
+                one, t = _CellFit(row, smoother, gc), states[row.best]
+                copy = np.full(n, 2.0) if row.best == 0 else one.fits[t][0].argmax(axis=1) + 1.0
+                out.append((row.cell, one.last_curve(t).tolist(), copy.tolist()))
             yield pd.DataFrame(out, columns=["cell", "curve", "alpha"])
 
-    return cells.select("cell", "clone", "ratio").mapInPandas(chosen, CURVES)
+    best = stored(best, "best")
+    best = F.broadcast(best) if best.count() <= BROADCAST_CLONES else best
+    wide = cells.select("cell", "clone", "count", "ratio", "offset").join(best, "clone", "left").join(everything, "clone", "left")
+    return wide.withColumn("best", F.coalesce("best", F.lit(-1))).mapInPandas(chosen, CURVES)
