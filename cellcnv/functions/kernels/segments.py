@@ -6,7 +6,8 @@ import math
 
 import numpy as np
 
-KAPPA1, KAPPA2 = 3 / 2, 2.27
+#: Of each border: the difference of the score's two published constants.
+BORDER_COST = 3 / 2 - 2.27
 #: Windows that stay must be longer than this many bins past their first, with a statistic over LEAST_Z.
 LEAST_LENGTH, LEAST_Z = 1, 10.0
 #: Ranges whose longest window is no longer aren't searched again.
@@ -20,33 +21,21 @@ def likelihood_part(y: np.ndarray, lam: np.ndarray) -> np.ndarray:
     return (1 - c / 2) * lam + np.log((c + 1e-4) / 2.0001) * y
 
 
-def window_sums(y: np.ndarray, lam: np.ndarray, block: int, n_blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and last bin (from 0) and summed statistic of all windows whose first bin is in one block of bins."""
-    n = len(y)
-    sy, sl = (np.vstack([np.zeros(v.shape[1]), np.cumsum(v, axis=0)]) for v in (y, lam))
-    firsts, lasts, sums = [], [], []
-    for i in range(block, n - 1, n_blocks):
+def clip(y: np.ndarray, lam: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Cells x bins with low expectations raised to the floor; counts too, on all such bins of a cell if one of them is low."""
+    low = lam < floor
+    any_low = (low & (y < floor)).any(axis=1, keepdims=True)
+    return np.where(low & any_low, floor, y), np.where(low, floor, lam)
+
+
+def window_sums(y: np.ndarray, lam: np.ndarray, part: int = 0, parts: int = 1):
+    """For each first bin (from 0) of one part of them: that bin, the last bins and the statistic of its windows, summed over cells."""
+    n = y.shape[1]
+    sy, sl = (np.vstack([np.zeros(len(v)), np.cumsum(v.T, axis=0)]) for v in (y, lam))
+    for i in range(part, n - 1, parts):
         j = np.arange(i + 1, n)
         z = likelihood_part(sy[j + 1] - sy[i], sl[j + 1] - sl[i]) + likelihood_part(sy[i], sl[i]) + likelihood_part(sy[-1] - sy[j + 1], sl[-1] - sl[j + 1])
-        firsts.append(np.full(len(j), i))
-        lasts.append(j)
-        sums.append(z.sum(axis=1))
-    if not firsts:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-    return np.concatenate(firsts), np.concatenate(lasts), np.concatenate(sums)
-
-
-def non_overlapping(i: np.ndarray, j: np.ndarray, z: np.ndarray) -> list[list[float]]:
-    """Windows by falling statistic, without those that overlap one taken before."""
-    order = np.lexsort((j, i, -z))
-    i, j, z = i[order], j[order], z[order]
-    out = []
-    while len(i):
-        a, b = i[0], j[0]
-        out.append([int(a), int(b), float(z[0])])
-        clear = (i > b) | (j < a)
-        i, j, z = i[clear], j[clear], z[clear]
-    return out
+        yield i, j, z.sum(axis=1)
 
 
 def holds_more(windows: list[list[float]], start: int, end: int) -> bool:
@@ -60,35 +49,34 @@ def holds_more(windows: list[list[float]], start: int, end: int) -> bool:
     return not (whole or all_equal or max(lengths) <= SHORT or all_but_one)
 
 
-def reach_borders(windows: list[list[float]], start: int, end: int, positive: set[tuple[int, int]]) -> None:
-    """Extend the outermost window over a flank with a positive statistic or of one bin; else the flank becomes a row."""
-    low, high = min(w[0] for w in windows), max(w[1] for w in windows)
-    flank = (start, low - 1)
-    if start < low:
-        if flank[0] < flank[1] and flank not in positive:
-            windows.insert(0, [start, low - 1, 0.0])
-        else:
-            for w in windows:
-                w[0] = start if w[0] == low else w[0]
-    flank = (high + 1, end)
-    if end > high:
-        if flank[0] < flank[1] and flank not in positive:
-            windows.append([high + 1, end, 0.0])
-        else:
-            for w in windows:
-                w[1] = end if w[1] == high else w[1]
+def reach_border(windows: list[list[float]], border: int, side: int, positive: bool) -> list[list[float]]:
+    """The windows so that they reach one end of the range: side 0 its start, side 1 its end.
+
+    A flank of one bin, or with a positive statistic, goes to the outermost window. Any other becomes a row of its
+    own: first in the list before the start, last in it behind the end.
+    """
+    inwards = 1 - 2 * side
+    outermost = min(windows, key=lambda w: inwards * w[side])
+    missing = inwards * (outermost[side] - border)
+    if missing == 1 or missing and positive:
+        outermost[side] = border
+    elif missing:
+        flank = [*sorted((border, outermost[side] - inwards)), 0.0]
+        return [*windows, flank] if side else [flank, *windows]
+    return windows
 
 
 def close_single_gaps(windows: list[list[float]]) -> None:
     """A gap of one bin goes to the neighbour that stands later in the list."""
-    for r, w in enumerate(windows):
-        for s in range(r + 1, len(windows)):
-            if windows[s][1] == w[0] - 2:
-                windows[s][1] = w[0] - 1
-    for r, w in enumerate(windows):
-        for s in range(r + 1, len(windows)):
-            if windows[s][0] == w[1] + 2:
-                windows[s][0] = w[1] + 1
+    ending = {w[1]: place for place, w in enumerate(windows)}
+    for place, right in enumerate(windows):
+        before = ending.get(right[0] - 2)
+        if before is not None:
+            gap = right[0] - 1
+            if before > place:
+                windows[before][1] = gap
+            else:
+                right[0] = gap
 
 
 def tile(pairs: list[tuple[int, int]], start: int, end: int) -> list[tuple[int, int]]:
@@ -104,18 +92,25 @@ def tile(pairs: list[tuple[int, int]], start: int, end: int) -> list[tuple[int,
     return out
 
 
-def choose(i: np.ndarray, j: np.ndarray, z: np.ndarray, start: int, end: int) -> tuple[list[tuple[int, int]], int]:
-    """Segments that tile start..end, from the windows with a positive statistic, and whether to search inside."""
+def strong(i: np.ndarray, j: np.ndarray, z: np.ndarray) -> np.ndarray:
+    return (j - i > LEAST_LENGTH) & (z > LEAST_Z)
+
+
+def repaired(windows: list[list[float]], start: int, end: int, before: bool, after: bool) -> tuple[list[tuple[int, int]], int]:
+    """Segments that tile start..end, and whether to search inside them.
+
+    windows: the strong ones of those chosen, by falling statistic. before, after: whether the flanks outside all
+    windows have a positive statistic.
+    """
     if end - start < 2:
         return [(start, end)], 0
-    taken = non_overlapping(i, j, z)
-    taken = [[a, b, round(v, 3)] for a, b, v in taken if b - a > LEAST_LENGTH and v > LEAST_Z]
-    nested = int(holds_more(taken, start, end))
-    if not taken:
+    nested = int(holds_more(windows, start, end))
+    if not windows:
         return [(start, end)], nested
-    reach_borders(taken, start, end, set(zip(i.tolist(), j.tolist())))
-    close_single_gaps(taken)
-    return tile([(a, b) for a, b, _ in taken], start, end), nested
+    windows = reach_border([list(w) for w in windows], start, 0, before)
+    windows = reach_border(windows, end, 1, after)
+    close_single_gaps(windows)
+    return tile([(a, b) for a, b, _ in windows], start, end), nested
 
 
 def cell_shares(y: np.ndarray, yhat: np.ndarray, ranked: list[tuple[int, int]]) -> list[tuple[int, int, float, float, float, int]]:
@@ -155,13 +150,19 @@ def cell_shares(y: np.ndarray, yhat: np.ndarray, ranked: list[tuple[int, int]])
 
 
 def modified_bic(loglik: float, carriers: float, jump: float, inner: int, cells: int, bins: int) -> float:
-    """The score; 0 without an inner border. The binomial coefficient goes by lgamma, so it can't overflow."""
+    """The modified BIC for breakpoints that cells share, after its published form; 0 without an inner border.
+
+    From the log likelihood ratio come off: what fitting a level to each carrier costs, the number of ways to place
+    the borders, the size of the jumps, a constant for each border, and the entropy of who carries which border.
+    """
     if inner <= 0:
         return 0.0
     if carriers > 0 and loglik <= 0:
         return math.nan
-    share = carriers / (cells * inner)
-    term2 = -carriers / 2 * math.log(2 * loglik / carriers) if carriers else 0.0
-    term3 = -(math.lgamma(bins + 1) - math.lgamma(inner + 1) - math.lgamma(bins - inner + 1))
-    term7 = carriers * math.log(share) + (cells * inner - carriers) * math.log(1 - share) if 0 < share < 1 else 0.0
-    return round(loglik + term2 + term3 - carriers / 2 - math.log(max(jump, 1.0)) - inner * (KAPPA1 - KAPPA2) + term7, 3)
+    levels = carriers / 2 * (1 + math.log(2 * loglik / carriers)) if carriers else 0.0
+    # By lgamma, so that the binomial coefficient can't overflow.
+    placements = math.lgamma(bins + 1) - math.lgamma(inner + 1) - math.lgamma(bins - inner + 1)
+    possible = cells * inner
+    share = carriers / possible
+    entropy = -(carriers * math.log(share) + (possible - carriers) * math.log(1 - share)) if 0 < share < 1 else 0.0
+    return round(loglik - levels - placements - math.log(max(jump, 1.0)) - inner * BORDER_COST - entropy, 3)

@@ -7,6 +7,9 @@ segment without a statistic (one bin) is dropped alone.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import Any
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +19,8 @@ from ..functions.kernels import segments as kernel
 from ..functions.tables import stored
 
 FLOOR = 10.0
+#: Windows that a task hands on at once.
+WINDOWS_AT_ONCE = 200_000
 
 
 def with_positions(fit: DataFrame, bins: DataFrame) -> DataFrame:
@@ -60,43 +65,106 @@ def scan(prefix: DataFrame, *key: str) -> DataFrame:
     return w.groupBy("chrom", *key, "i", "j").agg(F.sum(value).alias("z"))
 
 
-def scan_blocks(prefix: DataFrame, *key: str, n_blocks: int = 16, cells_per_task: int = 256) -> DataFrame:
-    """The same table for many bins: tasks are blocks of first bins and of cells, and only sums leave a task."""
-    cell_block = F.pmod(F.xxhash64("cell"), F.lit(max(1, -(-prefix.select("cell").distinct().count() // cells_per_task))))
-    rows = prefix.withColumn("cells_", cell_block).withColumn("block_", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    names = ["chrom", *key]
-
-    def summed(group: pd.DataFrame) -> pd.DataFrame:
-        y, lam = (group.pivot_table(index="pos", columns="cell", values=v, sort=True) for v in ("y", "lambda"))
-        i, j, z = kernel.window_sums(y.to_numpy(), lam.to_numpy(), int(group["block_"].iloc[0]), n_blocks)
-        pos = y.index.to_numpy()
-        out = pd.DataFrame({"i": pos[i], "j": pos[j], "z": z})
-        for n in names:
-            out[n] = group[n].iloc[0]
-        return out[[*names, "i", "j", "z"]]
+def packed_cells(placed: DataFrame) -> DataFrame:
+    """One row per chromosome and cell: counts and expectations as arrays in the order of bins."""
+    rows = placed.groupBy("chrom", "cell").agg(F.array_sort(F.collect_list(F.struct("pos", "count", "yhat"))).alias("rows_"))
+    return rows.select("chrom", "cell", F.col("rows_.count").cast("array<double>").alias("y"), F.col("rows_.yhat").cast("array<double>").alias("lambda"))
 
-    kinds = dict(prefix.dtypes)
-    schema = ", ".join(f"{n} {kinds[n]}" for n in names) + ", i long, j long, z double"
-    return rows.groupBy(*names, "cells_", "block_").applyInPandas(summed, schema).groupBy(*names, "i", "j").agg(F.sum("z").alias("z"))
 
+def scan_packed(packed: DataFrame, ranges: DataFrame, cells_per_task: int = 256, bins_per_task: int = 1000) -> DataFrame:
+    """chrom, seg, i, j, z for every window inside each range (chrom, st, ed); seg is the range's first bin.
 
-def picked_segments(z: DataFrame, ends: DataFrame, *key: str) -> DataFrame:
-    """The greedy choice of windows, repaired at the borders and filled up to tile each range.
-
-    z: windows with z > 0; ends: chrom, (key,) start, end of each range. Adds is_nested for the range.
+    A task has some cells of a chromosome and cuts the windows of all its ranges from their packed rows, so a row is
+    there once for all ranges, and only sums over cells leave the task. A chromosome of more than bins_per_task bins
+    has several tasks for its first bins.
     """
-    names = ["chrom", *key]
-
-    def picked(windows: pd.DataFrame, span: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for row in span.itertuples(index=False):
-            found, nested = kernel.choose(windows["i"].to_numpy(), windows["j"].to_numpy(), windows["z"].to_numpy(), int(row.start), int(row.end))
-            out += [tuple(getattr(row, n) for n in names) + (int(a), int(b), nested) for a, b in found]
-        return pd.DataFrame(out, columns=[*names, "st", "ed", "is_nested"])
+    blocks = max(1, -(-packed.select("cell").distinct().count() // cells_per_task))
+    # As many ranges as bins at most.
+    of_chrom = ranges.groupBy("chrom").agg(F.collect_list(F.struct(F.col("st").cast("long").alias("st"), F.col("ed").cast("long").alias("ed"))).alias("ranges"))
+    parts = F.ceil(F.size("y") / bins_per_task).cast("int")
+    rows = packed.join(F.broadcast(of_chrom), "chrom").withColumn("cells_", F.pmod(F.xxhash64("cell"), F.lit(blocks)))
+    rows = rows.withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+    def summed(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        some = pd.concat(batches)
+        y, lam = (np.stack(some[c].to_numpy()).astype(float) for c in ("y", "lambda"))
+        found, size = [], 0
+        for r in some["ranges"].iloc[0]:
+            clipped_ = kernel.clip(y[:, r["st"] - 1 : r["ed"]], lam[:, r["st"] - 1 : r["ed"]], FLOOR)
+            for i, j, z in kernel.window_sums(*clipped_, key[1], int(some["parts"].iloc[0])):
+                found.append(pd.DataFrame({"chrom": key[0], "seg": r["st"], "i": r["st"] + i, "j": r["st"] + j, "z": z}))
+                size += len(j)
+                if size > WINDOWS_AT_ONCE:
+                    yield pd.concat(found)
+                    found, size = [], 0
+        if found:
+            yield pd.concat(found)
+
+    schema = "chrom string, seg long, i long, j long, z double"
+    return rows.groupBy("chrom", "part", "cells_").applyInPandas(summed, schema).groupBy("chrom", "seg", "i", "j").agg(F.sum("z").alias("z"))
+
+
+def non_overlapping(windows: DataFrame) -> DataFrame:
+    """Of windows (chrom, seg, i, j, z) those that a choice by falling z takes, each time leaving out what overlaps one taken before.
+
+    The choice goes in rounds: a window that beats all windows it overlaps is taken, and those it overlaps go. For each
+    bin the best window over it is found: of windows with the same first bin only those matter that beat all longer
+    ones, and each is the best of its first bin from behind the next shorter of them up to its own end. A window is
+    taken if it is the best over every one of its bins. Ties go to the smaller first, then last, bin.
+    """
+    along = ["chrom", "seg"]
+    left, parts = windows, []
+    while True:
+        first = Window.partitionBy(*along, "i").orderBy(F.desc("j"))
+        longer = first.rowsBetween(Window.unboundedPreceding, -1)
+        rows = left.withColumn("key", F.struct("z", -F.col("i"), -F.col("j"))).withColumn("over_", F.max("key").over(longer))
+        steps = rows.where("over_ IS NULL OR key > over_").withColumn("from_", F.coalesce(F.lead("j").over(first) + 1, "i"))
+        over = steps.select(*along, "key", "i", "j", "z", F.explode(F.sequence("from_", "j")).alias("bin"))
+        best = over.groupBy(*along, "bin").agg(F.max(F.struct("key", "i", "j", "z")).alias("w")).select(*along, "bin", "w.i", "w.j", "w.z")
+        best = stored(best, "best")
+        if best.isEmpty():
+            break
+        whole = Window.partitionBy(*along, "i", "j")
+        best = best.withColumn("taken", F.count("*").over(whole) == F.col("j") - F.col("i") + 1)
+        parts.append(best.where("taken").select(*along, "i", "j", "z").distinct())
+        # Bins of taken windows part the others; what reaches over one of them goes. One row a bin.
+        gaps = stored(best.select(*along, "bin", "taken", F.sum(F.col("taken").cast("int")).over(Window.partitionBy(*along).orderBy("bin")).alias("gap")).where("NOT taken"), "gaps")
+        ends = [F.broadcast(gaps.select(*along, F.col("bin").alias(x), F.col("gap").alias(f"gap_{x}"))) for x in ("i", "j")]
+        left = stored(left.join(ends[0], [*along, "i"]).join(ends[1], [*along, "j"]).where("gap_i = gap_j").select(*along, "i", "j", "z"), "windows")
+    out = windows.limit(0)
+    for part in parts:
+        out = out.unionByName(part)
+    return out
+
+
+def picked_segments(z: DataFrame, ranges: DataFrame) -> DataFrame:
+    """chrom, seg, st, ed, is_nested: the windows chosen by falling statistic, repaired at the borders and filled up to tile each range.
+
+    z: windows chrom, seg, i, j, z; ranges: chrom, st, ed. seg is the first bin of a window's range.
+    """
+    along = ["chrom", "seg"]
+    positive = stored(z.where("z > 0").select(*along, "i", "j", "z"), "windows")
+    taken = stored(non_overlapping(positive), "taken")
+    strong = taken.where(f"j - i > {kernel.LEAST_LENGTH} AND z > {kernel.LEAST_Z}")
+    spans = ranges.select("chrom", F.col("st").cast("long").alias("seg"), F.col("ed").cast("long").alias("end"))
+    outer = strong.groupBy(*along).agg(F.min("i").alias("low"), F.max("j").alias("high"), F.collect_list(F.struct("i", "j", "z")).alias("windows"))
+    spans = spans.join(outer, along, "left")
+    # Whether the flanks outside all windows have a positive statistic themselves.
+    for name, flank in (("before", (F.col("seg"), F.col("low") - 1)), ("after", (F.col("high") + 1, F.col("end")))):
+        found = positive.join(F.broadcast(spans.select(*along, flank[0].alias("i"), flank[1].alias("j"))), [*along, "i", "j"], "left_semi").select(*along, F.lit(True).alias(name))
+        spans = spans.join(found, along, "left")
+
+    def tiled_ranges(batches):
+        for b in batches:
+            out = []
+            for row in b.itertuples(index=False):
+                windows = sorted((-w["z"], int(w["i"]), int(w["j"])) for w in (row.windows if row.windows is not None else ()))
+                windows = [[i, j, round(-less, 3)] for less, i, j in windows]
+                found, nested = kernel.repaired(windows, int(row.seg), int(row.end), row.before is True, row.after is True)
+                out += [(row.chrom, row.seg, int(x), int(y), nested) for x, y in found]
+            yield pd.DataFrame(out, columns=["chrom", "seg", "st", "ed", "is_nested"])
 
-    kinds = dict(ends.dtypes)
-    schema = ", ".join(f"{n} {kinds[n]}" for n in names) + ", st long, ed long, is_nested int"
-    return z.where("z > 0").select(*names, "i", "j", "z").groupBy(*names).cogroup(ends.groupBy(*names)).applyInPandas(picked, schema)
+    return spans.select(*along, "end", "windows", "before", "after").mapInPandas(tiled_ranges, "chrom string, seg long, st long, ed long, is_nested int")
 
 
 def ranked_segments(z: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -105,20 +173,16 @@ def ranked_segments(z: DataFrame, chosen: DataFrame) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("chrom").orderBy(F.desc("z"), "st")))
 
 
-def nested_search(fit: DataFrame, first: DataFrame, rounds: int) -> DataFrame:
+def nested_search(packed: DataFrame, first: DataFrame, rounds: int) -> DataFrame:
     """Re-scan inside each segment, up to `rounds` times; nested ones are replaced by what is found in them."""
     chosen = first.select("chrom", "st", "ed")
     for _ in range(rounds):
-        inside = fit.join(F.broadcast(chosen), "chrom").where("pos between st and ed").withColumn("seg", F.col("st"))
-        z = scan(prefix_sums(clipped(inside, "seg"), "seg"), "seg")
-        ranges = chosen.select("chrom", F.col("st").alias("seg"), F.col("st").alias("start"), F.col("ed").alias("end"))
-        found = stored(picked_segments(z, ranges, "seg"), "nested")
+        found = stored(picked_segments(scan_packed(packed, chosen), chosen), "nested")
         nested = found.where("is_nested = 1")
-        if not nested.limit(1).count():
+        if nested.isEmpty():
             break
         split = nested.select("chrom", F.col("seg").alias("st")).distinct()
-        chosen = chosen.join(F.broadcast(split), ["chrom", "st"], "left_anti").unionByName(nested.select("chrom", "st", "ed"))
-        chosen = stored(chosen, "chosen")
+        chosen = stored(chosen.join(F.broadcast(split), ["chrom", "st"], "left_anti").unionByName(nested.select("chrom", "st", "ed")), "chosen")
     return chosen
 
 
@@ -170,20 +234,19 @@ def tiled(segments: DataFrame, sizes: DataFrame) -> DataFrame:
     return segments.select("chrom", "st", "ed").unionByName(gaps).unionByName(ends)
 
 
-def segment_genome(fit: DataFrame, bins: DataFrame, mode: str = "integer", max_ns: int = 0, blocks: bool | None = None) -> dict[str, DataFrame]:
+def segment_genome(fit: DataFrame, bins: DataFrame, mode: str = "integer", max_ns: int = 0) -> dict[str, DataFrame]:
     """The whole of it, for all chromosomes: segments (global bin numbers), calls and profile. fit: cell, bin_idx, count, yhat."""
     from . import calls
 
     placed = stored(with_positions(fit, bins), "placed")
     sizes = placed.groupBy("chrom").agg(F.max("pos").alias("bins"), F.min("bin_idx").alias("first"))
     sizes = stored(sizes, "sizes")
-    many = blocks if blocks is not None else (sizes.agg(F.max("bins")).first()[0] or 0) > 150
-    prefix = prefix_sums(clipped(placed))
-    z = stored(scan_blocks(prefix) if many else scan(prefix), "scan")
-    ranges = sizes.select("chrom", F.lit(1).cast("long").alias("start"), F.col("bins").cast("long").alias("end"))
+    packed = stored(packed_cells(placed), "packed")
+    ranges = sizes.select("chrom", F.lit(1).cast("long").alias("st"), F.col("bins").cast("long").alias("ed"))
+    z = stored(scan_packed(packed, ranges), "scan")
     chosen = stored(picked_segments(z, ranges).select("chrom", "st", "ed"), "chosen")
     if max_ns:
-        chosen = nested_search(placed, chosen, max_ns)
+        chosen = nested_search(packed, chosen, max_ns)
     ranked = stored(ranked_segments(z, chosen), "ranked")
     segments = stored(pooled(ranked, model_scores(placed, ranked), sizes), "segments")
     numbers = calls.copy_numbers(placed, segments, mode)

@@ -242,7 +242,9 @@ def scan_statistic(w):
 
 @query(CLIP + "select chrom, i, j, round_even(z, 3) z from z")
 def scan_statistic_blocks(w):
-    return _windows(segment.scan_blocks(_prefix(w), n_blocks=4))
+    placed = segment.with_positions(w.expected(), w.bins())
+    ranges = placed.groupBy("chrom").agg(F.min("pos").alias("st"), F.max("pos").alias("ed"))
+    return _windows(segment.scan_packed(segment.packed_cells(placed), ranges, cells_per_task=4, bins_per_task=8))
 
 
 @query(CLIP + "select chrom, i, j, round_even(z, 3) z from z where z > 10 and j - i > 1")
@@ -345,8 +347,7 @@ def demultiplexed(w):
 
 @query(DEMUX + "select count(*) total, count(k) kept, round_even(count(k) / count(*), 6) fraction from chosen")
 def demux_summary(w):
-    lines = sam_lines(w)
-    return reads_source.demux_summary(lines, reads_source.demultiplex(lines, listed_barcodes(w))).select("total", "kept", *six("fraction"))
+    return reads_source.demux_summary(reads_source.with_barcode(sam_lines(w), listed_barcodes(w))).select("total", "kept", *six("fraction"))
 
 
 @query("select chrom, count(*) n, sum(pos) sum_pos, sum(mapq) sum_mapq, sum(qwidth) sum_qwidth, sum(flag) sum_flag from reads where pos is not null group by chrom")

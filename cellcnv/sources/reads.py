@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators.coverage import small
 
-#: Barcodes of a stream, which travel as one row.
-STREAM_BARCODES = 20_000
+#: Barcode tags that a line may have; the format allows each tag once.
+MOST_TAGS = 4
 
 # The chromosomes that mask tables are kept on.
 MASK_CHROMS = {
@@ -47,8 +47,8 @@ def read_barcodes(spark: SparkSession, path: str) -> DataFrame:
     return table.select(F.col(f"`{table.columns[0]}`").alias("barcode")).where("barcode is not null").distinct()
 
 
-def barcode_tags(line: str) -> Column:
-    """The barcodes that a line's tags name, in order.
+def barcode_tags(line: str, most: int = MOST_TAGS) -> Column:
+    """The barcodes that a line's tags name, in order; more than `most` of them are an error.
 
     Tags are the fields from the 12th on, in sorted order; a tag counts if one of its colon-separated tokens is CB,
     and its last token is the barcode.
@@ -59,41 +59,38 @@ def barcode_tags(line: str) -> Column:
     return F.transform(F.filter(tokens, lambda t: F.array_contains(t, "CB")), lambda t: F.element_at(t, -1))
 
 
-def _with_directory(lines: DataFrame) -> DataFrame:
-    """The directory is the barcode without its last two characters."""
-    return lines.withColumn("barcode_dir", F.expr("substring(barcode, 1, length(barcode) - 2)"))
+def with_barcode(lines: DataFrame, barcodes: DataFrame, line: str = "line", most_tags: int = MOST_TAGS) -> DataFrame:
+    """All lines with the barcode of their first listed CB tag, null where there is none. Lines may be a stream.
 
-
-def demultiplex(lines: DataFrame, barcodes: DataFrame, line: str = "line") -> DataFrame:
-    """Lines with the barcode of their first listed CB tag; lines without one are dropped.
-
-    A line with one tag, as nearly all are, meets the list by a hash join (broadcast after a count) and isn't moved
-    for it; of a line with several, every tag meets the list and the first that is listed stays.
+    The tags are made once, behind a generator, as the optimiser would copy their expression to each use. The first
+    tag of every line meets the list, and of the lines still without a barcode the second, and so on: joins by hash
+    and without a grouping, so the operator keeps no state. The list is broadcast if it is counted to be small enough.
+    A longer one takes a shuffle for each place of a tag, in which lines that need no look-up are spread by their text.
+    More than most_tags CB tags in a line are an error, so that none is left out silently.
     """
-    columns = lines.columns
-    found = lines.withColumn("found_", barcode_tags(line)).where(F.size("found_") > 0)
-    listed = small(barcodes.select(F.col("barcode").alias("listed_")).distinct())
-    one = found.where(F.size("found_") == 1).withColumn("barcode", F.get("found_", F.lit(0)))
-    one = one.join(listed, F.col("barcode") == F.col("listed_"), "left_semi").select(*columns, "barcode")
-    several = found.where(F.size("found_") > 1).select(F.monotonically_increasing_id().alias("id_"), F.struct(*columns).alias("row_"), "found_")
-    several = several.select("id_", "row_", F.posexplode("found_").alias("at_", "listed_"))
-    first = several.join(listed, "listed_", "left_semi").groupBy("id_").agg(F.min_by(F.struct("row_", "listed_"), "at_").alias("first_"))
-    return _with_directory(one.unionByName(first.select("first_.row_.*", F.col("first_.listed_").alias("barcode"))))
-
-
-def demultiplex_rows(lines: DataFrame, barcodes: DataFrame, line: str = "line") -> DataFrame:
-    """As demultiplex, row by row without a grouping, for streams: the list, checked to be small, goes to every task as one row."""
-    if barcodes.limit(STREAM_BARCODES + 1).count() > STREAM_BARCODES:
-        raise ValueError(f"a stream takes at most {STREAM_BARCODES} barcodes")
-    listed = barcodes.agg(F.collect_set("barcode").alias("listed_"))
-    first = F.get(F.filter("found_", lambda b: F.array_contains("listed_", b)), F.lit(0))
-    out = lines.withColumn("found_", barcode_tags(line)).crossJoin(F.broadcast(listed)).withColumn("barcode", first)
-    return _with_directory(out.where("barcode is not null").drop("found_", "listed_"))
-
-
-def demux_summary(lines: DataFrame, kept: DataFrame) -> DataFrame:
-    """total, kept and their ratio."""
-    return lines.agg(F.count("*").alias("total")).crossJoin(kept.agg(F.count("*").alias("kept"))).withColumn("fraction", F.try_divide("kept", "total"))
+    listed = small(barcodes.select(F.col("barcode").alias("listed_")).where("listed_ IS NOT NULL").distinct())
+    out = lines.withColumn("found_", F.explode(F.array(barcode_tags(line))))
+    many = F.raise_error(F.lit(f"a line has more than {most_tags} CB tags"))
+    out = out.withColumn("barcode", F.when(F.size("found_") > most_tags, many).cast("string"))
+    for place in range(most_tags):
+        tag = F.when(F.col("barcode").isNull(), F.get("found_", F.lit(place)))
+        # No barcode holds a character 0.
+        asked = F.coalesce(tag, F.concat(F.lit("\0"), F.xxhash64(line).cast("string")))
+        out = out.withColumn("asked_", asked).join(listed, F.col("asked_") == F.col("listed_"), "left")
+        out = out.withColumn("barcode", F.coalesce("barcode", "listed_")).drop("asked_", "listed_")
+    return out.drop("found_")
+
+
+def demultiplex(lines: DataFrame, barcodes: DataFrame, line: str = "line", most_tags: int = MOST_TAGS) -> DataFrame:
+    """Lines with the barcode of their first listed CB tag and its directory, the barcode without its last two characters; lines without one are dropped."""
+    kept = with_barcode(lines, barcodes, line, most_tags).where("barcode IS NOT NULL")
+    return kept.withColumn("barcode_dir", F.expr("substring(barcode, 1, length(barcode) - 2)"))
+
+
+def demux_summary(marked: DataFrame) -> DataFrame:
+    """total, kept and their ratio, from all lines with their barcode or null, in one pass."""
+    counted = marked.agg(F.count("*").alias("total"), F.count("barcode").alias("kept"))
+    return counted.withColumn("fraction", F.try_divide("kept", "total"))
 
 
 def write_demultiplexed(kept: DataFrame, path: str, salts: int = 8, max_records: int = 5_000_000, line: str = "line") -> None:

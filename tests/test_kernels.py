@@ -66,18 +66,32 @@ def test_segmentation_finds_a_planted_arc():
 
 def test_window_sums_against_brute_force():
     rng = np.random.default_rng(7)
-    y, lam = rng.poisson(50, (12, 3)).astype(float), rng.uniform(40, 60, (12, 3))
-    i, j, z = (np.concatenate(v) for v in zip(*(segments.window_sums(y, lam, b, 3) for b in range(3))))
-    found = dict(zip(zip(i.tolist(), j.tolist()), z))
+    y, lam = rng.poisson(50, (3, 12)).astype(float), rng.uniform(40, 60, (3, 12))
+    found = {(i, int(b)): v for part in range(3) for i, j, z in segments.window_sums(y, lam, part, 3) for b, v in zip(j, z)}
     assert len(found) == 66
     for (a, b), value in found.items():
         parts = [slice(0, a), slice(a, b + 1), slice(b + 1, 12)]
-        assert value == pytest.approx(sum(segments.likelihood_part(y[p].sum(0), lam[p].sum(0)).sum() for p in parts))
-
-
-def test_choice_of_windows():
-    tiles, nested = segments.choose(np.array([3, 3, 10]), np.array([8, 9, 15]), np.array([50.0, 60.0, 20.0]), 1, 20)
-    assert tiles == [(1, 2), (3, 9), (10, 15), (16, 20)] and nested == 1
-    assert segments.choose(np.zeros(0, int), np.zeros(0, int), np.zeros(0), 1, 20) == ([(1, 20)], 0)
-    # A flank of one bin joins its neighbour; a gap of one bin goes to the later row.
-    assert segments.choose(np.array([2, 11]), np.array([9, 20]), np.array([50.0, 40.0]), 1, 20)[0] == [(1, 9), (10, 20)]
+        assert value == pytest.approx(sum(segments.likelihood_part(y[:, p].sum(1), lam[:, p].sum(1)).sum() for p in parts))
+
+
+@pytest.mark.parametrize(
+    ("windows", "before", "after", "want"),
+    [
+        ([], True, True, ([(1, 20)], 0)),
+        ([[3, 9, 60.0], [10, 15, 20.0]], False, False, ([(1, 2), (3, 9), (10, 15), (16, 20)], 1)),
+        ([[3, 9, 60.0], [10, 15, 20.0]], True, False, ([(1, 9), (10, 15), (16, 20)], 1)),
+        ([[3, 9, 60.0], [10, 15, 20.0]], False, True, ([(1, 2), (3, 9), (10, 20)], 1)),
+        ([[2, 9, 50.0], [11, 20, 40.0]], False, False, ([(1, 9), (10, 20)], 1)),  # a flank of one bin; the gap of one bin goes to the later row
+        ([[11, 20, 50.0], [2, 9, 40.0]], False, False, ([(1, 10), (11, 20)], 1)),
+        ([[8, 12, 50.0]], False, False, ([(1, 7), (8, 12), (13, 20)], 0)),  # no window longer than five bins past its first: not searched again
+        ([[1, 20, 50.0]], False, False, ([(1, 20)], 0)),  # the whole range
+        ([[1, 19, 50.0]], False, False, ([(1, 20)], 0)),  # all but one bin
+        ([[1, 7, 9.0], [9, 15, 9.0], [17, 20, 9.0]], False, False, ([(1, 7), (8, 15), (16, 20)], 0)),  # equal statistics
+    ],
+)
+def test_borders_are_repaired(windows, before, after, want):
+    assert segments.repaired(windows, 1, 20, before, after) == want
+
+
+def test_a_range_of_two_bins_is_one_segment():
+    assert segments.repaired([[4, 5, 50.0]], 4, 5, False, False) == ([(4, 5)], 0)

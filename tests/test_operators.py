@@ -66,7 +66,7 @@ def test_demultiplexing_batch_and_stream(spark, tmp_path):
     lines = spark.createDataFrame([(s,) for s in SAM], "line string")
     kept = source.demultiplex(lines, barcodes)
     assert sorted((r["barcode_dir"], r["barcode"]) for r in kept.collect()) == [("AAA", "AAA-1"), ("BBB", "BBB-1")]
-    assert tuple(source.demux_summary(lines, kept).first()) == (4, 2, 0.5)
+    assert tuple(source.demux_summary(source.with_barcode(lines, barcodes)).first()) == (4, 2, 0.5)
     parsed = source.parse_sam(lines).collect()
     assert parsed[2]["chrom"] is None and parsed[2]["pos"] is None and parsed[2]["qwidth"] == 5
     (tmp_path / "in").mkdir()
@@ -87,10 +87,9 @@ def planted(spark):
 
 def test_planted_gain_is_called(spark):
     fit, tiles, truth = planted(spark)
-    for blocks in (False, True):
-        out = segment.segment_genome(fit, tiles, blocks=blocks)
-        found = sorted((r["st_bin"], r["ed_bin"]) for r in out["segments"].collect())
-        assert [b for a, e in found for b in range(a, e + 1)] == list(range(1, 41)) and {1, 21, 31} <= {a for a, _ in found}
+    out = segment.segment_genome(fit, tiles)
+    found = sorted((r["st_bin"], r["ed_bin"]) for r in out["segments"].collect())
+    assert [b for a, e in found for b in range(a, e + 1)] == list(range(1, 41)) and {1, 21, 31} <= {a for a, _ in found}
     profile = out["profile"].collect()
     assert len(profile) == 240 and all(truth[int(r["cell"][1:]), r["bin_idx"]] == r["icn"] for r in profile)
     assert {(r["sample_name"], r["cnv_no"]) for r in out["calls"].collect()} == {("c3", 3.0), ("c4", 3.0), ("c5", 3.0)}
