@@ -64,6 +64,56 @@ def test_segmentation_finds_a_planted_arc():
     assert cbs.segment(np.zeros(40)) == [0]
 
 
+def test_best_arc_is_the_largest_of_all():
+    rng = np.random.default_rng(12)
+    for n, width in ((12, 3), (25, 5), (10, 5)):
+        x = rng.normal(size=n)
+        found = {}
+        for i in range(n):
+            for j in range(i + width, n + 1):
+                if n - (j - i) >= width and (i == 0 or i >= width) and (j == n or n - j >= width):
+                    inside, outside = x[i:j], np.concatenate([x[:i], x[j:]])
+                    found[i, j] = ((x - x.mean()) ** 2).sum() - ((inside - inside.mean()) ** 2).sum() - ((outside - outside.mean()) ** 2).sum()
+        value, i, j = cbs.best_arc(x, width)
+        assert value == pytest.approx(max(found.values())) and found[i, j] == pytest.approx(value)
+
+
+def test_a_breakpoint_near_the_border_of_significance_is_found_with_every_seed():
+    rng, p = np.random.default_rng(1), 1.0
+    while not 0.004 < p < 0.006:
+        x = np.concatenate([rng.normal(0, 1, 20), rng.normal(1.3, 1, 20)])
+        largest = cbs.best_arc(x, 5)[0]
+        over = np.zeros(20_000)
+        sums = cbs.running(rng.permuted(np.broadcast_to(x, (20_000, 40)), axis=1))
+        for length in range(5, 36):
+            over = np.maximum(over, cbs.arcs(sums, length, 5)[1].max(axis=1))
+        p = (over >= largest).mean()
+    assert all(len(cbs.segment(x, seed=seed)) > 1 for seed in range(50))
+
+
+def test_false_breakpoints_are_as_rare_as_asked():
+    rng = np.random.default_rng(2)
+    for n, series in ((30, 300), (260, 100)):
+        found = sum(len(cbs.segment(rng.normal(size=n), alpha=0.05, permutations=1000, seed=k)) > 1 for k in range(series))
+        assert 0.01 * series <= found <= 0.1 * series
+
+
+def test_tail_probability_agrees_with_simulation():
+    rng, n, shortest = np.random.default_rng(3), 220, 26
+    sums, largest = cbs.running(rng.normal(size=(3000, n))), np.zeros(3000)
+    for length in range(shortest, n - shortest + 1):
+        largest = np.maximum(largest, cbs.arcs(sums, length, 1)[1].max(axis=1))
+    for share in (0.9, 0.97, 0.99):
+        assert cbs.tail_probability(float(np.sqrt(np.quantile(largest, share))), n, shortest) == pytest.approx(1 - share, rel=0.35)
+
+
+def test_long_series_are_segmented():
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(0, 0.2, 300), rng.normal(0.5, 0.2, 12), rng.normal(0, 0.2, 200), rng.normal(-0.3, 0.2, 300)])
+    found = cbs.segment(x)
+    assert len(found) == 4 and np.abs(np.array(found) - [0, 300, 312, 512]).max() <= 3
+
+
 def test_window_sums_against_brute_force():
     rng = np.random.default_rng(7)
     y, lam = rng.poisson(50, (3, 12)).astype(float), rng.uniform(40, 60, (3, 12))
