@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import settled, stored, table
@@ -42,6 +42,8 @@ PIECE_ROWS, PIECE_CHARS = 8192, 1 << 25
 BUCKET_CHARS, BUCKETS = 1 << 24, 64
 CELLS = 32
 SMALL = 8
+#: Where sets meet.
+KEY = ["bucket", "gram"]
 #: What stands for a null doc_id.
 LAST = (1 << 63) - 1
 #: Rows (node, doc_, at_) that are broadcast at most: 12 MB.
@@ -251,30 +253,49 @@ def _compared(pairs: DataFrame, read: DataFrame, nodes: DataFrame, words_each: i
 
 
 def _meetings(keys: DataFrame, labels: DataFrame | None, pivots: int) -> DataFrame:
-    """The keys at which sets of different labels meet, each with the number of sets and `pivots` of them at most."""
-    key = ["bucket", "gram"]
+    """The keys at which sets of different labels may be similar, each with the number of sets and `pivots` of them at most.
+
+    With r n-grams from the place of meeting on, two sets pass the filter of position if 9 r - 4 n, the room of one, is
+    at least 4 times the size of the other, both ways. So a set goes if its room is too small for the smallest set of
+    another label, or no other label has room for it; and only sets with room for their own size need to be pivots, as
+    the smaller one of any such pair has. A key without pivots is done with.
+    """
     named = keys.withColumn("label", F.col("node")) if labels is None else keys.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    member = F.struct("node", "n", "at", "label")
-    slots = named.groupBy(*key, F.pmod(F.xxhash64("node"), F.lit(pivots)).alias("slot")).agg(F.count("*").alias("m"), F.min(member).alias("p"), F.min("label").alias("low"), F.max("label").alias("high"))
-    met = slots.groupBy(*key).agg(F.sum("m").alias("m"), F.collect_list("p").alias("p"), F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
-    return named.join(met.select(*key, "m", "p"), key)
+    named = named.withColumn("room", 9 * (F.col("n") - F.col("at")) - 4 * F.col("n"))
+    of_label = named.groupBy(*KEY, "label").agg(F.count("*").alias("m"), F.min("n").alias("low"), F.max("room").alias("high"))
+    ends = of_label.groupBy(*KEY).agg(F.count("*").alias("labels"), F.sum("m").alias("sets"), F.min(F.struct("low", "label")).alias("least"), F.max(F.struct("high", "label")).alias("most")).where("labels > 1")
+    # The smallest size and the largest room, and those of all other labels than the one that has them.
+    second = of_label.select(*KEY, "label", "low", "high").join(ends, KEY).groupBy(*KEY).agg(
+        F.first("sets").alias("m"), F.first("least").alias("least"), F.first("most").alias("most"),
+        F.min(F.when(F.col("label") != F.col("least.label"), F.col("low"))).alias("low"), F.max(F.when(F.col("label") != F.col("most.label"), F.col("high"))).alias("high"),
+    )
+    low = F.when(F.col("label") == F.col("least.label"), F.col("low")).otherwise(F.col("least.low"))
+    high = F.when(F.col("label") == F.col("most.label"), F.col("high")).otherwise(F.col("most.high"))
+    alive = named.join(second, KEY).where((F.col("room") >= 4 * low) & (high >= 4 * F.col("n"))).select(*KEY, "node", "n", "at", "label", "room", "m")
+    alive = stored(alive, "meetings")
+    # The smallest sets come first: what all of a group share is most likely to be most of one of them.
+    slots = alive.where("room >= 4 * n").groupBy(*KEY, F.pmod(F.xxhash64("node"), F.lit(pivots)).alias("slot")).agg(F.min(F.struct("n", "node", "at", "label")).alias("p"))
+    return alive.drop("room").join(slots.groupBy(*KEY).agg(F.collect_list("p").alias("p")), KEY)
 
 
 def _pairs_met(met: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
     """Pairs a < b with their places of meeting that pass the filters of length and position, and the keys that go on."""
     few, many = met.where(F.col("m") <= small), met.where(F.col("m") > small)
-    other = few.select("bucket", "gram", F.struct("node", "n", "at", "label").alias("q"))
+    other = few.select(*KEY, F.struct("n", "node", "at", "label").alias("q"))
+
+    def fits(q: Column) -> Column:
+        rest = F.least(F.col("n") - F.col("at"), q["n"] - q["at"])
+        lengths = 5 * F.least(F.col("n"), q["n"]) >= 4 * F.greatest(F.col("n"), q["n"])
+        return (F.col("label") != q["label"]) & lengths & overlap_may_do(rest, F.col("n"), q["n"])
+
+    both = few.join(other, KEY).where((F.col("node") < F.col("q.node")) & fits(F.col("q"))).select("node", "n", "at", "label", "q")
     # In a large group all meet its pivots; a pivot is done with after that.
-    both = few.join(other, ["bucket", "gram"]).where(F.col("node") < F.col("q.node")).select("node", "n", "at", "label", "q")
-    both = both.unionByName(many.select("node", "n", "at", "label", F.explode("p").alias("q")).where(F.col("node") != F.col("q.node")))
-    rest = F.least(F.col("n") - F.col("at"), F.col("q.n") - F.col("q.at"))
-    fits = (5 * F.least("n", "q.n") >= 4 * F.greatest("n", "q.n")) & overlap_may_do(rest, F.col("n"), F.col("q.n"))
-    both = both.where((F.col("label") != F.col("q.label")) & fits)
+    both = both.unionByName(many.select("node", "n", "at", "label", F.explode(F.filter("p", fits)).alias("q")).where(F.col("node") != F.col("q.node")))
     first = F.col("node") < F.col("q.node")
     ends = [F.struct(F.col("node"), F.col("at")), F.col("q")]
     pairs = both.select(*(F.when(first, x[f]).otherwise(y[f]).alias(f"{name}{side}") for side, (x, y) in (("a", ends), ("b", ends[::-1])) for f, name in (("node", ""), ("at", "at_"))))
     pairs = pairs.groupBy("a", "b").agg(F.min(F.struct("at_a", "at_b")).alias("at")).select("a", "b", "at.*")
-    on = many.where(~F.exists("p", lambda p: p["node"] == F.col("node"))).select("bucket", "gram", "node", "n", "at")
+    on = many.where(~F.exists("p", lambda p: p["node"] == F.col("node"))).select(*KEY, "node", "n", "at")
     return pairs, on
 
 
@@ -283,8 +304,8 @@ def _links(read: DataFrame, sets: DataFrame, words_each: int, small: int) -> Dat
     spark = read.sparkSession
     nodes = stored(sets.where(F.size("keys") > 0).select("node", "n", "cells", "marks", F.col("texts")[0].alias("text"), "keys"), "nodes")
     every = nodes.select("node", "n", F.explode("keys").alias("k")).select("k.bucket", "k.gram", "node", "n", "k.at")
-    shared = every.groupBy("bucket", "gram").count().where("count > 1").select("bucket", "gram")
-    keys = settled(spark, lambda: every.join(shared, ["bucket", "gram"], "left_semi"), "keys")
+    shared = every.groupBy(*KEY).count().where("count > 1").select(*KEY)
+    keys = settled(spark, lambda: every.join(shared, KEY, "left_semi"), "keys")
     labels = links = refused = None
     pivots = 1
     while True:
