@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import stored
+
 #: Mask lists of up to this many rows are broadcast; longer ones are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 
@@ -18,9 +20,12 @@ def single_end(flag: Column) -> Column:
     return flag.bitwiseAND(0x1 | 0x400 | 0x4 | 0x200) == 0
 
 
+def usable(mapq: int = 40, layout: str = "paired") -> Column:
+    return (paired_end(F.col("flag")) if layout == "paired" else single_end(F.col("flag"))) & (F.col("mapq") >= mapq)
+
+
 def filtered(reads: DataFrame, mapq: int = 40, layout: str = "paired") -> DataFrame:
-    keep = paired_end(F.col("flag")) if layout == "paired" else single_end(F.col("flag"))
-    return reads.where(keep & (F.col("mapq") >= mapq))
+    return reads.where(usable(mapq, layout))
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -28,9 +33,13 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def with_chr_names(reads: DataFrame) -> DataFrame:
-    """Prefix chr to the chromosome names of cells in which no name has it; reads without a cell stay as they are."""
-    named = reads.groupBy("cell").agg(F.max(F.col("chrom").contains("chr")).alias("named_"))
+def with_chr_names(reads: DataFrame, named: DataFrame | None = None) -> DataFrame:
+    """Prefix chr to the chromosome names of cells in which no name has it; reads without a cell stay as they are.
+
+    named: cell and named_, whether a name has it, where that is known already.
+    """
+    if named is None:
+        named = stored(reads.groupBy("cell").agg(F.max(F.col("chrom").contains("chr")).alias("named_")), "names")
     plain = F.col("named_").isNotNull() & ~F.col("named_")
     return reads.join(small(named), "cell", "left").withColumn("chrom", F.when(plain, F.concat(F.lit("chr"), "chrom")).otherwise(F.col("chrom"))).drop("named_")
 
@@ -65,7 +74,14 @@ def dense(cells: DataFrame, bins: DataFrame, sparse: DataFrame) -> DataFrame:
 
 
 def coverage(reads: DataFrame, bins: DataFrame, width, mask: DataFrame | None = None, mapq: int = 40, layout: str = "paired") -> DataFrame:
-    """Dense depth of every cell that has reads at all."""
-    kept = with_chr_names(filtered(reads, mapq, layout))
-    kept = unmasked(kept, mask) if mask is not None else kept
-    return dense(reads, bins, counts(kept, bins, width))
+    """Dense depth of every cell that has reads at all.
+
+    One aggregate over the reads gives the cells, how they name chromosomes and the widest read; a second pass counts.
+    """
+    keep = usable(mapq, layout)
+    facts = reads.groupBy("cell").agg(F.max(F.when(keep, F.col("chrom").contains("chr"))).alias("named_"), F.max(F.when(keep, F.col("qwidth"))).alias("widest_"))
+    facts = stored(facts, "cells")
+    kept = with_chr_names(reads.where(keep), facts.select("cell", "named_"))
+    if mask is not None:
+        kept = unmasked(kept, mask, max_width=facts.agg(F.max("widest_")).first()[0] or 1)
+    return dense(facts, bins, counts(kept, bins, width))

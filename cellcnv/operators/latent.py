@@ -44,6 +44,11 @@ def best_k(scores: DataFrame) -> DataFrame:
     return scores.agg(F.max_by("k", F.struct("bic", -F.col("k"))).alias("k"))
 
 
+def best_fit(normalised: dict[str, DataFrame]) -> DataFrame:
+    """The fit of the K that the scores choose, out of what normalise returns."""
+    return normalised["fit"].join(F.broadcast(best_k(normalised["scores"])), "k")
+
+
 def signed(vectors: np.ndarray) -> np.ndarray:
     """Columns turned so that the largest entry of each is positive."""
     return vectors * np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(vectors.shape[1])])

@@ -371,7 +371,8 @@ def three_digits(w):
 
 @query("""select cell, bin_idx, round_even(greatest(v, (select quantile_cont(v, 0.005) from (select "count" / yhat + bin_idx * 1e-6 v from fit))), 6) v from (select cell, bin_idx, "count" / yhat + bin_idx * 1e-6 v from fit)""")
 def floored_by_quantile(w):
-    rows = w.expected().select("cell", F.col("bin_idx").cast("long").alias("bin_idx"), (F.col("count") / F.col("yhat") + F.col("bin_idx") * 1e-6).alias("v")).persist()
+    rows = w.expected().select("cell", F.col("bin_idx").cast("long").alias("bin_idx"), (F.col("count") / F.col("yhat") + F.col("bin_idx") * 1e-6).alias("v"))
+    rows = stored(rows, "ratios")
     return rows.select("cell", "bin_idx", F.bround(F.greatest("v", F.lit(low_quantile(rows, "v"))), 6).alias("v"))
 
 
@@ -436,19 +437,36 @@ def estimated_ploidy(w):
     return _cells(w, depth, normal, fit, bins)
 
 
-@query()
-def em_diagnostics(w):
-    """Scores by cell and number of copy states."""
+def _em_ready(w):
+    """Cells packed for the copy states of the first pass, GC and bins."""
     from ..operators import em, firstpass
 
     depth, bins, normal, fit = _controlled(w)
     cells = _cells(w, depth, normal, fit, bins)
     packed = firstpass.packed(fit.withColumn("offset", F.col("lib_size") * F.col("beta")).withColumn("ratio", F.col("count") / (F.col("lib_size") * F.col("beta"))), "count", "ratio", "offset")
     gc = firstpass.gc_of(bins)
-    ready = em.initial_alpha(packed.join(F.broadcast(cells.select("cell", "is_normal", "ploidy")), "cell"), gc)
+    return em.initial_alpha(packed.join(F.broadcast(cells.select("cell", "is_normal", "ploidy")), "cell"), gc), gc, bins
+
+
+@query()
+def em_diagnostics(w):
+    """Scores by cell and number of copy states."""
+    from ..operators import em
+
+    ready, gc, _ = _em_ready(w)
     return em.diagnostics(ready, gc, [1, 2, 3, 4, 5], 1).select("cell", "t", "loglik", "bic", "best")
 
 
+@query()
+def em_curves(w):
+    """What the diagnostic plots draw: GC, ratio, fitted curve and state of each bin, by cell and number of copy states."""
+    from ..operators import em
+
+    ready, gc, bins = _em_ready(w)
+    ready = stored(ready, "ready")
+    return em.curve_points(em.diagnostics(ready, gc, [1, 2, 3], 1), ready, bins)
+
+
 @query()
 def normalised(w):
     """Fit with one latent factor and copy states."""
@@ -467,9 +485,11 @@ def factor_scores(w):
 
 @query()
 def copy_number_calls(w):
-    """The whole chain: reads to shared segments and integer copy numbers."""
-    out, bins = _normalised(w, [1], [1, 2, 3, 4, 5])
-    return segment.segment_genome(out["fit"].select("cell", "bin_idx", "count", "yhat"), bins)["calls"]
+    """The whole chain: reads to shared segments and integer copy numbers, with the number of factors that the scores choose."""
+    from ..operators import latent
+
+    out, bins = _normalised(w, [1, 2], [1, 2, 3, 4, 5])
+    return segment.segment_genome(latent.best_fit(out).select("cell", "bin_idx", "count", "yhat"), bins)["calls"]
 
 
 @query()
