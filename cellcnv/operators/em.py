@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.kernels import em
 from ..functions.kernels.loess import Loess
 from ..functions.kernels.poisson import log_density, log_factorials
-from ..functions.tables import stored
+from ..functions.tables import passing, stored
 
 CURVES = "cell string, curve array<double>, alpha array<double>"
 DIAGNOSTICS = "cell string, t int, loglik double, bic double, best boolean, curve array<double>, state array<int>, share array<double>"
@@ -142,6 +142,11 @@ def fit_clones(cells: DataFrame, gc: np.ndarray, states: list[int], min_count: f
     cells and Spark over tasks; the new states, their changes and which (clone, t) go on are columns of that table's
     aggregates. Only the number of those that go on comes to the driver.
     """
+    with passing(cells.sparkSession) as kept:
+        return kept(_fit_clones(cells, gc, states, min_count), "clone-fits")
+
+
+def _fit_clones(cells: DataFrame, gc: np.ndarray, states: list[int], min_count: float) -> DataFrame:
     smoother, n = Loess(gc), len(gc)
     degrees = smoother.degrees()
     normal = normal_clones(cells)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.kernels.loess import positive
 from ..functions.kernels.spline import SmoothingSpline
 from ..functions.numeric import low_quantile, signif
-from ..functions.tables import stored
+from ..functions.tables import passing, stored
 from . import qc
 
 MOST_ROUNDS = 10
@@ -67,6 +67,11 @@ def normalise_first(depth: DataFrame, bins: DataFrame, normal_cells: DataFrame)
     The bins must be numbered 1.. without gaps. The round with the smallest change of the curves wins; a round
     whose curves change more than the best so far ends the search and is left out.
     """
+    with passing(depth.sparkSession) as kept:
+        return kept(_first_pass(depth, bins, normal_cells), "first-pass")
+
+
+def _first_pass(depth: DataFrame, bins: DataFrame, normal_cells: DataFrame) -> DataFrame:
     gc = gc_of(bins)
     spline, beta = SmoothingSpline(gc), np.ones(len(gc))
     depth = stored(depth.select("cell", "bin_idx", "count"), "depth")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import poisson
 from ..functions.numeric import low_quantile, signif
-from ..functions.tables import stored
+from ..functions.tables import passing, stored
 from . import em, firstpass, qc
 
 MOST_ROUNDS, MOST_INNER = 10, 50
@@ -219,6 +219,11 @@ def normalise(
     cells: cell, is_normal, ploidy, and clone with by_clone. beta0 is the bin bias of the first pass. The restarts
     of the copy states begin from the same initial alpha in every round. states should begin with 1.
     """
+    with passing(depth.sparkSession) as kept:
+        return _normalise(depth, bins, cells, beta0, ks, states, min_count, by_clone, kept)
+
+
+def _normalise(depth, bins, cells, beta0, ks, states, min_count, by_clone, kept) -> dict[str, DataFrame]:
     spark = depth.sparkSession
     info = cells.select("cell", "is_normal", "ploidy", *(["clone"] if by_clone else [])).orderBy("cell").toPandas()
     normal = np.flatnonzero(info["is_normal"].to_numpy(bool))
@@ -258,29 +263,30 @@ def normalise(
         beta, g, h = beta0, np.zeros((len(gc), k)), np.zeros((n_cells, k))
         before, best, least = None, None, np.inf
         for round_no in range(1, MOST_ROUNDS + 1):
-            found = start if round_no == 1 else curves(with_ratio(again, beta, g, h))
-            flat = stored(firstpass.long_form(found, "curve", "alpha"), "curves")
-            floor = low_quantile(flat, "curve")
-            flat = flat.withColumn("curve", F.greatest("curve", F.lit(floor)))
-            rows = with_effect(depth.join(F.broadcast(libs), "cell").join(flat, ["cell", "bin_idx"]), g, h, names)
-            rows = stored(rows, "rows")
-            ratios = rows.join(F.broadcast(cells.where("is_normal").select("cell")), "cell", "left_semi").select("bin_idx", (F.col("count") / (F.col("curve") * F.col("lib_size") * F.exp("gh"))).alias("ratio"))
-            new = firstpass.bin_bias(ratios).orderBy("bin_idx").toPandas()["beta"].to_numpy(float)
-            bias_change = float(np.mean((new - beta) ** 2))
-            change = flat.agg(F.avg(F.pow("curve", F.lit(2)))).first()[0] if before is None else flat.join(before, ["cell", "bin_idx"]).agg(F.avg(F.pow(F.col("curve") - F.col("old_"), 2))).first()[0]
-            if change > least:
-                break
-            least, beta, before = change, new, flat.select("cell", "bin_idx", F.col("curve").alias("old_"))
-            values = spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(beta)], "bin_idx int, beta double")
-            based = rows.join(F.broadcast(values), "bin_idx").withColumn("base", F.ln(F.col("lib_size") * F.col("curve") * F.col("beta") * F.col("alpha") / 2))
-            based = stored(based, "based")
-            g, h = factor_rounds(stored(bin_major(based, "count", "base"), "by-bin"), stored(firstpass.packed(based, "count", "base"), "by-cell"), normal, k)
-            best = (based.drop("gh"), beta, g, h)
+            with passing(spark) as held:
+                found = start if round_no == 1 else curves(with_ratio(again, beta, g, h))
+                flat = stored(firstpass.long_form(found, "curve", "alpha"), "raw-curves")
+                flat = held(flat.withColumn("curve", F.greatest("curve", F.lit(low_quantile(flat, "curve")))), "curves")
+                rows = with_effect(depth.join(F.broadcast(libs), "cell").join(flat, ["cell", "bin_idx"]), g, h, names)
+                rows = stored(rows, "rows")
+                ratios = rows.join(F.broadcast(cells.where("is_normal").select("cell")), "cell", "left_semi").select("bin_idx", (F.col("count") / (F.col("curve") * F.col("lib_size") * F.exp("gh"))).alias("ratio"))
+                new = firstpass.bin_bias(ratios).orderBy("bin_idx").toPandas()["beta"].to_numpy(float)
+                bias_change = float(np.mean((new - beta) ** 2))
+                change = flat.agg(F.avg(F.pow("curve", F.lit(2)))).first()[0] if before is None else flat.join(before, ["cell", "bin_idx"]).agg(F.avg(F.pow(F.col("curve") - F.col("old_"), 2))).first()[0]
+                if change > least:
+                    break
+                least, beta, before = change, new, flat.select("cell", "bin_idx", F.col("curve").alias("old_"))
+                values = spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(beta)], "bin_idx int, beta double")
+                based = rows.join(F.broadcast(values), "bin_idx").withColumn("base", F.ln(F.col("lib_size") * F.col("curve") * F.col("beta") * F.col("alpha") / 2))
+                based = held(based, "based")
+                g, h = factor_rounds(stored(bin_major(based, "count", "base"), "by-bin"), stored(firstpass.packed(based, "count", "base"), "by-cell"), normal, k)
+                best = (based.drop("gh"), beta, g, h)
             if firstpass.should_stop(round_no, bias_change):
                 break
         based, beta, g, h = best
         yhat = F.greatest(F.rint(F.col("curve") * F.col("lib_size") * F.col("beta") * F.exp("gh")), F.lit(1.0))
         fit = with_effect(based, g, h, names).select(F.lit(k).alias("k"), "cell", "bin_idx", "count", yhat.alias("yhat"), signif(F.col("curve")).alias("fgc"), "alpha")
+        fit = kept(fit, "fit")
         fits.append(fit)
         scores.append(model_scores(fit, k).select(F.lit(k).alias("k"), "aic", "bic", "rss"))
         betas.append(spark.createDataFrame([(k, i + 1, float(v)) for i, v in enumerate(beta)], "k int, bin_idx int, beta double"))

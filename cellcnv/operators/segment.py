@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import segments as kernel
-from ..functions.tables import stored
+from ..functions.tables import passing, stored
 
 FLOOR = 10.0
 #: Windows that a task hands on at once.
@@ -238,17 +238,17 @@ def segment_genome(fit: DataFrame, bins: DataFrame, mode: str = "integer", max_n
     """The whole of it, for all chromosomes: segments (global bin numbers), calls and profile. fit: cell, bin_idx, count, yhat."""
     from . import calls
 
-    placed = stored(with_positions(fit, bins), "placed")
-    sizes = placed.groupBy("chrom").agg(F.max("pos").alias("bins"), F.min("bin_idx").alias("first"))
-    sizes = stored(sizes, "sizes")
-    packed = stored(packed_cells(placed), "packed")
-    ranges = sizes.select("chrom", F.lit(1).cast("long").alias("st"), F.col("bins").cast("long").alias("ed"))
-    z = stored(scan_packed(packed, ranges), "scan")
-    chosen = stored(picked_segments(z, ranges).select("chrom", "st", "ed"), "chosen")
-    if max_ns:
-        chosen = nested_search(packed, chosen, max_ns)
-    ranked = stored(ranked_segments(z, chosen), "ranked")
-    segments = stored(pooled(ranked, model_scores(placed, ranked), sizes), "segments")
+    with passing(fit.sparkSession) as kept:
+        placed = kept(with_positions(fit, bins), "placed")
+        sizes = kept(placed.groupBy("chrom").agg(F.max("pos").alias("bins"), F.min("bin_idx").alias("first")), "sizes")
+        packed = stored(packed_cells(placed), "packed")
+        ranges = sizes.select("chrom", F.lit(1).cast("long").alias("st"), F.col("bins").cast("long").alias("ed"))
+        z = stored(scan_packed(packed, ranges), "scan")
+        chosen = stored(picked_segments(z, ranges).select("chrom", "st", "ed"), "chosen")
+        if max_ns:
+            chosen = nested_search(packed, chosen, max_ns)
+        ranked = stored(ranked_segments(z, chosen), "ranked")
+        segments = kept(pooled(ranked, model_scores(placed, ranked), sizes), "segments")
     numbers = calls.copy_numbers(placed, segments, mode)
     shifted = segments.join(F.broadcast(sizes), "chrom").select("chrom", (F.col("st") + F.col("first") - 1).alias("st_bin"), (F.col("ed") + F.col("first") - 1).alias("ed_bin"))
     return {"segments": shifted, "calls": calls.call_table(numbers, sizes), "profile": calls.profile(placed, numbers)}
