@@ -347,3 +347,28 @@ def similar_texts(docs: DataFrame, words_each: int = 5, small: int = SMALL) -> D
 
 def op11_ngram_jaccard(spark, sf_dir):
     return similar_texts(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents
+), sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end s from words
+), sized as (
+  select doc_id, cast(len(s) as bigint) n from sets
+), grams as (
+  select doc_id, unnest(s) g from sets
+), shared as (
+  select doc_id, g from grams where g in (select g from grams group by g having count(*) > 1)
+), common as (
+  select a.doc_id a, b.doc_id b, count(*) c from shared a join shared b on a.g = b.g and a.doc_id < b.doc_id group by all
+), links as (
+  select a, b from common join sized x on x.doc_id = a join sized y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)
+), edges as (
+  select a, b from links union all select b, a from links
+), reached as (
+  select a, b from edges union select r.a, e.b from reached r join edges e on r.b = e.a
+)
+select doc_id, n n_shingles, least(doc_id, coalesce(low, doc_id)) component_id from sized left join (select a, min(b) low from reached group by a) on a = doc_id
+"""

@@ -349,3 +349,16 @@ def op2_warc(spark, sf_dir):
         F.when(F.col("record_type") == "revisit", F.col("payload_bytes")).otherwise(F.octet_length("payload").cast("long")).alias("payload_bytes"),
         "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"),
     )
+
+
+OP2_SQL = r"""
+with p as (
+  select page_id, coalesce(html, '') html, upper(sha1(coalesce(html, ''))) h, max(page_id) over (partition by coalesce(html, '')) first from pages
+), fives as (
+  select *, list_transform(range(0, 8), lambda i: cast('0x' || substr(h, cast(5 * i + 1 as bigint), 5) as integer)) parts from p
+)
+select page_id, cast(strlen(html) as bigint) payload_bytes,
+  array_to_string(list_transform(parts, lambda x: array_to_string(list_transform([32768, 1024, 32, 1], lambda d: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', x // d % 32 + 1, 1)), '')), '') payload_digest,
+  case when page_id = first then 'response' else 'revisit' end record_type, case when page_id <> first then first end refers_to
+from fives
+"""
