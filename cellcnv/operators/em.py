@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import em
@@ -94,7 +94,7 @@ def normal_clones(cells: DataFrame) -> DataFrame:
     return mixed.crossJoin(F.broadcast(total)).where("all_ = 1 and n_ = total_").select("clone")
 
 
-#: Rows of states (one a clone, each of a genome's bins) that are broadcast at most; more meet the cells by a shuffle.
+#: Clones whose states are broadcast at most (a row each, of a genome's bins); those of more meet the cells by a shuffle.
 BROADCAST_CLONES = 64
 #: Sums of (clone, number of states) that a task holds before it passes them on.
 MOST_SUMS = 256
@@ -105,14 +105,11 @@ def _softmax(logs: Column) -> Column:
     return F.transform(shifted, lambda x: x / F.aggregate(shifted, F.lit(0.0), lambda total, y: total + y))
 
 
-def _states_of_clones(states: DataFrame, base: DataFrame) -> DataFrame:
-    """One row per clone: kept bins, and for each number of states z and the z before as flat arrays in bin order."""
+def _packed_states(states: DataFrame) -> DataFrame:
+    """One row per clone: for each number of states z and the z before as flat arrays in bin order."""
     flat = lambda c: F.flatten(F.transform("rows_", lambda r: r[c])).alias(c)
     rows = states.groupBy("clone", "t").agg(F.array_sort(F.collect_list(F.struct("at", "z", "before"))).alias("rows_"))
-    fits = rows.select("clone", F.struct("t", flat("z"), flat("before")).alias("fit_")).groupBy("clone").agg(F.collect_list("fit_").alias("fits"))
-    keep = base.groupBy("clone").agg(F.array_sort(F.collect_list(F.struct("at", "keep"))).alias("keep_")).select("clone", F.col("keep_.keep").alias("keep"))
-    packed = stored(keep.join(fits, "clone", "left"), "states")
-    return F.broadcast(packed) if packed.count() <= BROADCAST_CLONES else packed
+    return rows.select("clone", F.struct("t", flat("z"), flat("before")).alias("fit_")).groupBy("clone").agg(F.collect_list("fit_").alias("fits"))
 
 
 class _CellFit:
@@ -139,8 +136,8 @@ def fit_clones(cells: DataFrame, gc: np.ndarray, states: list[int], min_count: f
     """cell, curve, alpha with states shared by all cells of a clone. cells: as for fit_cells, and clone.
 
     The states are a table (clone, t, at, z). In each round the cells map to log densities, which tasks sum over their
-    cells and Spark over tasks; the new states, their changes and which (clone, t) go on are columns of that table's
-    aggregates. Only the number of those that go on comes to the driver.
+    cells and Spark over tasks; one job writes the new states with what decides whether their (clone, t) goes on. Only
+    the number of those that go on comes to the driver, observed as the table is written.
     """
     with passing(cells.sparkSession) as kept:
         return kept(_fit_clones(cells, gc, states, min_count), "clone-fits")
@@ -161,13 +158,18 @@ def _fit_clones(cells: DataFrame, gc: np.ndarray, states: list[int], min_count:
     kept = others.select("clone", "count", "ratio").mapInPandas(outliers, "clone string, at int, bad long").groupBy("clone", "at").agg((F.sum("bad") == 0).alias("keep"))
     middle = others.select("clone", F.posexplode("alpha").alias("at", "a_")).groupBy("clone", "at").agg(F.median("a_").alias("alpha"))
     base = stored(kept.join(middle, ["clone", "at"]), "kept")
+    keep = base.groupBy("clone").agg(F.array_sort(F.collect_list(F.struct("at", "keep"))).alias("keep_")).select("clone", F.col("keep_.keep").alias("keep"))
+    keep = stored(keep, "keep")
+    sized = F.broadcast if keep.count() <= BROADCAST_CLONES else lambda df: df
     several = [t for t in states if t > 1]
     start = base.select("clone", "at", "alpha", F.explode(F.array(*map(F.lit, several)).cast("array<int>")).alias("t"))
     state = F.least(F.col("t"), F.greatest(F.lit(1), F.rint("alpha").cast("int")))
     one_hot = F.transform(F.sequence(F.lit(1), F.col("t")), lambda s: (s == state).cast("double"))
-    going = stored(start.select("clone", "t", "at", one_hot.alias("z"), F.lit(None).cast("array<double>").alias("before")), "states")
-    done, rounds, width = going.limit(0), 0, max([1, *several])
-    share = lambda z: F.slice(F.array(*(F.avg(F.get(z, F.lit(j))) for j in range(width))), 1, F.col("t"))
+    of_fit, width = Window.partitionBy("clone", "t"), max([1, *several])
+    share = F.slice(F.array(*(F.avg(F.get("z", F.lit(j))).over(of_fit) for j in range(width))), 1, F.col("t")).alias("share")
+    begun = start.select("clone", "t", "at", one_hot.alias("z"), F.lit(None).cast("array<double>").alias("before"))
+    going = stored(begun.select("*", share), "states")
+    parts_done, rounds, active = [], 0, bool(several) and not going.isEmpty()
 
     def expect(batches):
         sums: dict = {}
@@ -191,24 +193,28 @@ def _fit_clones(cells: DataFrame, gc: np.ndarray, states: list[int], min_count:
                     yield from passed_on()
         yield from passed_on()
 
-    while not going.isEmpty():
-        wide = others.select("clone", "count", "ratio", "offset").join(_states_of_clones(going, base), "clone").where("fits IS NOT NULL")
+    while active:
+        wide = others.select("clone", "count", "ratio", "offset").join(sized(_packed_states(going).join(keep, "clone")), "clone")
         parts = wide.mapInPandas(expect, "clone string, t int, at int, logs array<double>, change double, cells long")
         logs = F.slice(F.array(*(F.sum(F.get("logs", F.lit(j))) for j in range(width))), 1, F.col("t")).alias("logs")
         sums = parts.groupBy("clone", "t", "at").agg(logs, F.sum("change").alias("change"), F.sum("cells").alias("cells"))
-        shares = going.groupBy("clone", "t").agg(share("z").alias("share"))
-        old = sums.join(going, ["clone", "t", "at"]).join(shares, ["clone", "t"])
-        new = old.withColumn("new", _softmax(F.zip_with("logs", "share", lambda x, p: x + F.ln(F.when(p == 0, F.lit(1e-100)).otherwise(p)))))
+        new = sums.join(going, ["clone", "t", "at"])
+        new = new.withColumn("new", _softmax(F.zip_with("logs", "share", lambda x, p: x + F.ln(F.when(p == 0, F.lit(1e-100)).otherwise(p)))))
         moved = F.aggregate(F.zip_with("new", "z", lambda x, y: F.pow(x - y, F.lit(2.0))), F.lit(0.0), lambda total, x: total + x)
-        new = stored(new.select("clone", "t", "at", F.col("new").alias("z"), F.col("z").alias("before"), moved.alias("moved"), "change", "cells"), "round")
+        new = new.select("clone", "t", "at", F.col("new").alias("z"), F.col("z").alias("before"), moved.alias("moved"), "change", "cells")
         rounds += 1
-        changed = new.groupBy("clone", "t").agg((F.sum("moved") / (F.count("*") * F.first("t"))).alias("state_"), (F.sum("change") / F.sum("cells")).alias("curve_"))
-        on = F.lit(rounds < em.MOST_ROUNDS) & (F.lit(rounds < em.LEAST_ROUNDS) | (F.col("curve_") > em.CURVE_CHANGE) | (F.col("state_") > em.STATE_CHANGE))
-        changed = stored(changed.select("clone", "t", on.alias("on_")), "going")
-        new = new.select("clone", "t", "at", "z", "before").join(changed, ["clone", "t"])
-        done = done.unionByName(new.where("NOT on_").drop("on_"))
-        going = stored(new.where("on_").drop("on_"), "states")
-
+        state_change = F.sum("moved").over(of_fit) / (F.count("*").over(of_fit) * F.col("t"))
+        curve_change = F.sum("change").over(of_fit) / F.sum("cells").over(of_fit)
+        on = F.lit(rounds < em.MOST_ROUNDS) & (F.lit(rounds < em.LEAST_ROUNDS) | (curve_change > em.CURVE_CHANGE) | (state_change > em.STATE_CHANGE))
+        left = Observation()
+        new = new.select("clone", "t", "at", "z", "before", share, on.alias("on_")).observe(left, F.count_if("on_").alias("rows"))
+        new = stored(new, "round")
+        parts_done.append(new.where("NOT on_"))
+        going, active = new.where("on_").drop("on_"), left.get["rows"] > 0
+
+    done = begun.limit(0)
+    for part in parts_done:
+        done = done.unionByName(part.drop("on_", "share"))
     found = stored(done, "fits")
 
     def scored(batches):
@@ -222,7 +228,7 @@ def _fit_clones(cells: DataFrame, gc: np.ndarray, states: list[int], min_count:
                     out.append((row.clone, place, loglik, float(em.score(loglik, n, degrees, t))))
             yield pd.DataFrame(out, columns=["clone", "place", "loglik", "bic"])
 
-    everything = _states_of_clones(found, base)
+    everything = sized(stored(keep.join(_packed_states(found), "clone", "left"), "packed"))
     scores = others.select("clone", "count", "ratio", "offset").join(everything, "clone").mapInPandas(scored, "clone string, place int, loglik double, bic double")
     best = scores.groupBy("clone", "place").agg(F.sum("bic").alias("bic")).groupBy("clone").agg(F.max_by("place", F.struct("bic", -F.col("place"))).alias("best"))
 
@@ -239,7 +245,5 @@ def _fit_clones(cells: DataFrame, gc: np.ndarray, states: list[int], min_count:
                 out.append((row.cell, one.last_curve(t).tolist(), copy.tolist()))
             yield pd.DataFrame(out, columns=["cell", "curve", "alpha"])
 
-    best = stored(best, "best")
-    best = F.broadcast(best) if best.count() <= BROADCAST_CLONES else best
-    wide = cells.select("cell", "clone", "count", "ratio", "offset").join(best, "clone", "left").join(everything, "clone", "left")
+    wide = cells.select("cell", "clone", "count", "ratio", "offset").join(sized(stored(best, "best")), "clone", "left").join(everything, "clone", "left")
     return wide.withColumn("best", F.coalesce("best", F.lit(-1))).mapInPandas(chosen, CURVES)
