@@ -27,15 +27,14 @@ def low_quantile(df: DataFrame, column: str, p: float = 0.005) -> float:
 
     An approximate quantile above p cuts the table; what lies below it is counted and ranked exactly.
     """
-    n = df.where(F.col(column).isNotNull()).count()
+    n, cut = df.agg(F.count(column), F.percentile_approx(column, min(1.0, p + 0.01), 1000)).first()
     if n == 0:
         raise ValueError(f"no values in {column}")
     at = p * (n - 1)
-    cut = df.agg(F.percentile_approx(column, min(1.0, p + 0.01), 1000)).first()[0]
     tail = df.where(F.col(column) <= cut)
     least = tail.count()
     if least < at + 2:
-        tail, least = df, n
+        tail, least = df.where(F.col(column).isNotNull()), n
     # The order statistics around `at` are found in the tail by an exact percentile of the tail's own ranks.
     share = 0.0 if least == 1 else at / (least - 1)
     return float(tail.agg(F.percentile(column, F.lit(min(1.0, share)))).first()[0])

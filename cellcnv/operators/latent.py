@@ -10,7 +10,7 @@ from base64 import b64decode, b64encode
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import poisson
@@ -149,16 +149,22 @@ def settled(changes: list[float]) -> bool:
     return last < FACTOR_CHANGE or (done > SETTLED_FROM and sorted(changes + [np.inf] * (MOST_INNER - done)).index(last) < AMONG)
 
 
+def task_slots(spark: SparkSession) -> int:
+    """How many tasks the application can run at the same time."""
+    context = spark.sparkContext._jsc.sc()
+    return max(1, context.maxNumConcurrentTasks(context.resourceProfileManager().defaultResourceProfile()))
+
+
 def factor_rounds(by_bin: DataFrame, by_cell: DataFrame, normal: np.ndarray, k: int, tasks: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """g (by bin number) and h (by cell, in order) in turns until h settles, all in one barrier stage.
 
     Each task keeps its bins and its cells. In a round it fits g of its bins, the tasks exchange g, it fits its cells'
     coefficients, and the tasks exchange those; the first task takes the new h from them and tells the others whether
     to go on. Only g and h, a few numbers a bin and a cell, are exchanged. If a task is lost the stage runs again from
-    the stored rows. `tasks` have to run at the same time: the session's default parallelism unless given.
+    the stored rows. `tasks` have to run at the same time: as many as the application has slots for unless given.
     """
     h0 = first_factors(by_bin, k)
-    tasks = tasks or by_bin.sparkSession.sparkContext.defaultParallelism
+    tasks = tasks or task_slots(by_bin.sparkSession)
     order = by_cell.select("cell", (F.row_number().over(Window.orderBy("cell")) - 1).alias("at"))
     of_bins = by_bin.select(F.lit(True).alias("is_bin"), (F.col("bin_idx") - 1).cast("int").alias("at"), "count", "base")
     of_cells = by_cell.join(F.broadcast(order), "cell").select(F.lit(False).alias("is_bin"), "at", "count", "base")
