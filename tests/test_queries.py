@@ -9,7 +9,7 @@ import __spark_entry__
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = ["genome_bins", "bin_gc", "unmasked_reads", "gini_coefficients", "library_sizes", "ploidy_errors", "scan_statistic", "bin_profile", "demultiplexed", "parsed_sam"]
+CHECKED = ["genome_bins", "bin_gc", "unmasked_reads", "gini_coefficients", "library_sizes", "ploidy_errors", "scan_statistic", "bin_profile", "demultiplexed", "parsed_sam", "demux_summary", "scan_statistic_blocks", "cell_distances", "depth", "floored_by_quantile", "qc_bins"]
 
 
 def plain(value):
