@@ -299,14 +299,30 @@ def _pairs_met(met: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
     return pairs, on
 
 
-def _links(read: DataFrame, sets: DataFrame, words_each: int, small: int) -> DataFrame | None:
-    """Links between nodes that connect all similar sets; None if there are none. sets has one row for each distinct set."""
+def set_links(read: DataFrame, sets: DataFrame, words_each: int, small: int, first=None) -> DataFrame | None:
+    """Links between nodes that connect all similar sets; None if there are none. sets has one row for each distinct set.
+
+    first(nodes) may give pairs (a, b, at_a, at_b) that are compared before all others.
+    """
     spark = read.sparkSession
     nodes = stored(sets.where(F.size("keys") > 0).select("node", "n", "cells", "marks", F.col("texts")[0].alias("text"), "keys"), "nodes")
     every = nodes.select("node", "n", F.explode("keys").alias("k")).select("k.bucket", "k.gram", "node", "n", "k.at")
     shared = every.groupBy(*KEY).count().where("count > 1").select(*KEY)
     keys = settled(spark, lambda: every.join(shared, KEY, "left_semi"), "keys")
     labels = links = refused = None
+
+    def compare(pairs):
+        nonlocal labels, links, refused
+        found = settled(spark, lambda: _compared(pairs(), read, nodes, words_each), "compared")
+        more = found.where("similar").select("a", "b")
+        links = more if links is None else links.unionByName(more)
+        no = found.where("NOT similar").select("a", "b")
+        refused = no if refused is None else refused.unionByName(no)
+        if not more.isEmpty():
+            labels = settled(spark, lambda: components(links).select("node", F.col("root").alias("label")), "labels")
+
+    if first is not None:
+        compare(lambda: first(nodes))
     pivots = 1
     while True:
         met = stored(_meetings(keys, labels, pivots), "meetings")
@@ -315,13 +331,7 @@ def _links(read: DataFrame, sets: DataFrame, words_each: int, small: int) -> Dat
         pairs, keys = _pairs_met(met, small)
         if refused is not None:
             pairs = pairs.join(refused, ["a", "b"], "left_anti")
-        found = settled(spark, lambda: _compared(pairs, read, nodes, words_each), "compared")  # noqa: B023
-        more = found.where("similar").select("a", "b")
-        links = more if links is None else links.unionByName(more)
-        no = found.where("NOT similar").select("a", "b")
-        refused = no if refused is None else refused.unionByName(no)
-        if not more.isEmpty():
-            labels = settled(spark, lambda: components(links).select("node", F.col("root").alias("label")), "labels")  # noqa: B023
+        compare(lambda: pairs)  # noqa: B023
         pivots *= 4
 
 
@@ -331,7 +341,7 @@ def similar_texts(docs: DataFrame, words_each: int = 5, small: int = SMALL) -> D
     sets = stored(sets_of(read, words_each), "pieces")
     # Pieces hold a set once; the first piece with it stands for all.
     lowest = stored(sets.where("n > 0").groupBy("digest").agg(F.min("node").alias("node")), "sets")
-    links = _links(read, sets.join(lowest.select("node"), "node", "left_semi"), words_each, small)
+    links = set_links(read, sets.join(lowest.select("node"), "node", "left_semi"), words_each, small)
     if links is None:
         rooted = lowest.withColumn("root", F.col("node"))
     else:

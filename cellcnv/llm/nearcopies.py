@@ -3,219 +3,71 @@
 First the vantage-point trees of `simhash` link texts whose fingerprints (of five-word shingles) differ in two bits at
 most; their whole sets of shingles are compared, and what is connected by then needs no further comparison. Pairs with
 an index of 0.8 are up to 11 of 64 bits apart and more, and at such a radius a vantage-point tree sends every
-fingerprint to nearly every shard, so fingerprints alone can't promise all pairs. The rest comes from the sets:
-
-A text is the set of 64-bit hashes of its shingles. All sets are put in one order, shingles that are frequent in a
-sample last; two sets with a Jaccard index of at least 0.8 then share one of the first n - ceil(0.8 n) + 1 shingles of
-each (prefix filter), whatever the order is. Texts that meet at such a shingle are compared by their whole sets. Where many meet at
-one, they are compared with one of them first and pairs that are connected by then are left out, so a large group
-of copies takes a number of comparisons in proportion to its size; the pairs left after some rounds are all compared.
-Components of the links come from star contraction.
+fingerprint to nearly every shard, so fingerprints alone can't promise all pairs. The rest comes from the sets, by the
+prefix join of `jaccard`: counts over all texts put rare shingles first, texts meet at the shingles of their prefixes,
+and where many meet at one they are compared with a few of them, in rounds (1, then 4, then 16 ...), from which pairs
+that are connected by then are left out. Components of the links come from star contraction.
 
 Defined results: of each component the row with the smallest doc_id stays (null ids last); rows with equal id and
 equal text are one; texts without words are copies of each other; texts of up to five words are one
-shingle; an empty table gives an empty result; all columns are kept.
+shingle; an empty table gives an empty result; all columns are kept. As in `jaccard`, the scan of docs has to give the
+same rows in the same order when a task is repeated.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settled, stored
-from .simhash import SEED, components, fingerprint, near_links
-
-SMALL, ROUNDS = 8, 4
-SAMPLE_PARTS = 2
-CELLS = 256
-#: What stands for a null doc_id.
-LAST = (1 << 63) - 1
-#: Rows (node, doc_, at_) that are broadcast at most: 12 MB.
-BROADCAST_ROWS = 500_000
-
-
-def shingle_set(text: str, shingle: int = 5) -> np.ndarray:
-    """The distinct hashes of a text's shingles, sorted."""
-    words = text.encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(words) <= shingle:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = [0, *(ends[:-shingle] + 1).tolist()]
-    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())], np.uint64))
-
-
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether the Jaccard index is at least 0.8, in whole numbers."""
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return 9 * common >= 4 * (len(a) + len(b))
-
-
-def sketch(found: np.ndarray) -> bytes:
-    """How many hashes of a set fall into each of CELLS cells."""
-    return np.bincount((found % np.uint64(CELLS)).astype(np.int64), minlength=CELLS).astype("<u4").tobytes()
-
-
-def may_be_similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether sets with these sketches (one a row) can be similar: they share at most the smaller count of each cell."""
-    common = np.minimum(a, b).sum(axis=1, dtype=np.int64)
-    return 9 * common >= 4 * (a.sum(axis=1, dtype=np.int64) + b.sum(axis=1, dtype=np.int64))
-
-
-def prefix(found: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first n - ceil(0.8 n) + 1 shingles of a set, frequent ones last."""
-    n = len(found)
-    take = n + (-4 * n // 5) + 1 if n else 0
-    rank = np.zeros(n, np.int64)
-    if n and len(frequent):
-        at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
-        rank = np.where(frequent[at] == found, counts[at], 0)
-    return found[np.lexsort((found, rank))[:take]]
-
-
-def frequent_shingles(rows: DataFrame, sample_rows: int, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of three sampled texts or more, sorted, and their counts. They only set the order, never what is found."""
-    share = max(1, rows.count() // sample_rows)
-
-    def run(batches):
-        sets = [shingle_set(t) for batch in batches for t in batch.column("text").to_pylist()]
-        keys, counts = np.unique(np.concatenate(sets or [np.zeros(0, np.uint64)]), return_counts=True)
-        often = counts > 1
-        yield pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(counts[often])], ["key", "n"])
-
-    sample = rows.select(F.coalesce("text_", F.lit("")).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).distinct()
-    # What a part of the sample has once only is left out before the shuffle.
-    counted = sample.repartition(SAMPLE_PARTS).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("count")).where("count > 2")
-    top = counted.orderBy(F.desc("count"), "key").limit(most).toPandas()
-    keys, counts = top["key"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int64)
-    order = np.argsort(keys)
-    return keys[order], counts[order]
+from .jaccard import LAST, SMALL, set_links, sets_of
+from .simhash import components, fingerprint, near_links
 
+WORDS = 5
 
-def whole_sets(batches):
-    """node and set of each node and text_."""
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingle_set(t or "").tobytes() for t in batch.column("text_").to_pylist()], pa.binary())], ["node", "set"])
 
+def close_prints(read: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b, at_a, at_b) of nodes that connect all fingerprints within two bits.
 
-def verified_by(read: DataFrame, lowest: DataFrame, sketches: DataFrame):
-    """A function that keeps the pairs (a, b) of nodes that are similar by their whole sets.
-
-    Sketches (node, sketch) rule out most pairs first. Sets are made of the texts of just the nodes that are left, as
-    whole sets take more room than anything else.
+    Places are those before the first n-gram that a node shares with any other, so all of them count behind it.
     """
 
-    def possible(batches):
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, CELLS) for c in ("sketch_a", "sketch_b"))
-            yield batch.select(["a", "b"]).filter(pa.array(may_be_similar(a, b)))
-
-    def compared(batches):
+    def run(batches):
         for batch in batches:
-            keep = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist())]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        left = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"))
-        right = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"))
-        sketched = pairs.distinct().join(left, "a").join(right, "b").select("a", "b", "sketch_a", "sketch_b")
-        pairs = stored(sketched.mapInArrow(possible, "a long, b long"), "pairs")
-        asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        asked = stored(lowest.join(asked, "node", "left_semi"), "asked")
-        # Few nodes go to the texts; many meet them by a shuffle.
-        asked = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
-        sets = stored(read.select("doc_", "at_", "text_").join(asked, ["doc_", "at_"]).select("node", "text_").dropDuplicates(["node"]).mapInArrow(whole_sets, "node long, set binary"), "sets")
-        left = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
-        right = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(compared, "a long, b long")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        return settled(read.sparkSession, lambda: checked(pairs), "links")
+            found = np.array([fingerprint(t or "", WORDS) for t in batch.column("text_").to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_"), batch.column("at_"), pa.array(found.view(np.int64), pa.int64())], ["doc_", "at_", "fp"])
 
-    return verified
-
-
-def fingerprint_links(nodes: DataFrame, verified) -> DataFrame:
-    """Links between nodes (node, fp) with close fingerprints whose whole sets are similar."""
-    low = stored(nodes.groupBy("fp").agg(F.min("node").alias("low")), "fingerprints")
-    same = nodes.join(low, "fp").where("node != low").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    prints = read.mapInArrow(run, "doc_ long, at_ long, fp long").dropDuplicates(["doc_", "at_"])
+    named = stored(nodes.select("node", "text.*", (F.col("keys")[0]["at"] - 1).alias("at")).join(prints, ["doc_", "at_"]).select("node", "at", "fp"), "fingerprints")
+    low = stored(named.groupBy("fp").agg(F.min(F.struct("node", "at")).alias("low")), "lowest")
+    pairs = named.join(low, "fp").where("node != low.node").select("low", F.struct("node", "at").alias("high"))
     near = near_links(low.select("fp"))
-    for side in ("a", "b"):
-        near = near.join(low.select(F.col("fp").alias(side), F.col("low").alias(f"node_{side}")), side)
-    pairs = same.unionByName(near.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
-    return verified(pairs)
-
-
-def similar_links(keys: DataFrame, verified, links: DataFrame) -> DataFrame | None:
-    """Links that connect all similar pairs among the nodes that meet at a key (key, node, n), some of which are known; None if there are none."""
-    labels = None if links.isEmpty() else stored(components(links).select("node", F.col("root").alias("label")), "labels")
-    for k in range(ROUNDS):
-        named = keys.withColumn("label", F.col("node")) if labels is None else keys.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        whole = named.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("node", "n", "label")).alias("p"), F.min("label").alias("low"), F.max("label").alias("high"))
-        named = stored(named.join(whole.where("low < high").select("key", "m", "p"), "key"), "meetings")
-        last = k == ROUNDS - 1
-        few = named if last else named.where(F.col("m") <= SMALL)
-        other = few.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-        near = lambda x, y: (5 * F.least(x, y) >= 4 * F.greatest(x, y))
-        pairs = few.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("label") != F.col("label_b")) & near("n", "n_b")).select(F.col("node").alias("a"), "b")
-        if not last:
-            many = named.where(F.col("m") > SMALL)
-            star = many.where((F.col("node") != F.col("p.node")) & (F.col("label") != F.col("p.label")) & near("n", "p.n"))
-            pairs = pairs.unionByName(star.select(F.col("p.node").alias("a"), F.col("node").alias("b")))
-        links = links.unionByName(verified(pairs))
-        if last:
-            break
-        # What stood in the middle has met all others of its key.
-        keys = many.where(F.col("node") != F.col("p.node")).select("key", "node", "n")
-        if keys.isEmpty():
-            break
-        if not links.isEmpty():
-            labels = stored(components(links).select("node", F.col("root").alias("label")), "labels")
-    return None if links.isEmpty() else links
+    for side, name in (("a", "low"), ("b", "high")):
+        near = near.join(low.select(F.col("fp").alias(side), F.col("low").alias(f"{name}_")), side)
+    pairs = pairs.unionByName(near.select(F.least("low_", "high_").alias("low"), F.greatest("low_", "high_").alias("high")))
+    return pairs.select(F.col("low.node").alias("a"), F.col("high.node").alias("b"), F.col("low.at").alias("at_a"), F.col("high.at").alias("at_b"))
 
 
-def _first_rows(read: DataFrame, sample_rows: int) -> DataFrame:
+def _first_rows(read: DataFrame, small: int) -> DataFrame:
     """doc_ and at_ of the row that stays of each component. read has a row for each doc_ and at_ (a hash of text_)."""
-    frequent, counts = frequent_shingles(read, sample_rows)
-
-    def prefixed(batches):
-        for batch in batches:
-            sets = [shingle_set(t or "") for t in batch.column("text_").to_pylist()]
-            node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            first = pa.array([prefix(s, frequent, counts).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            prints = np.array([fingerprint(t or "", 5) for t in batch.column("text_").to_pylist()], np.uint64).view(np.int64)
-            columns = [batch.column("at_"), batch.column("doc_"), pa.array(node), pa.array(prints), pa.array([len(s) for s in sets], pa.int32()), pa.array([sketch(s) for s in sets], pa.binary()), first]
-            yield pa.RecordBatch.from_arrays(columns, ["at_", "doc_", "node", "fp", "n", "sketch", "prefix"])
-
-    prints = stored(read.mapInArrow(prefixed, "at_ long, doc_ long, node long, fp long, n int, sketch binary, prefix array<long>"), "prefixes")
-    low = F.min(F.struct("doc_", "at_")).alias("low")
-    lowest = stored(prints.groupBy("node").agg(low).select("node", "low.*"), "nodes")
-    one = prints.dropDuplicates(["node", "doc_", "at_"]).join(lowest, ["node", "doc_", "at_"], "left_semi")
-    one = stored(one, "one")
-    every = one.select("node", "n", F.explode("prefix").alias("key"))
-    shared = every.groupBy("key").count().where("count > 1").select("key")
-    keys = settled(read.sparkSession, lambda: every.join(shared, "key", "left_semi").select("key", "node", "n"), "keys")
-    nodes = stored(one.join(keys.select("node").distinct(), "node", "left_semi").select("node", "fp", "sketch"), "nodes")
-    verified = verified_by(read, lowest, nodes.select("node", "sketch"))
-    links = similar_links(keys, verified, fingerprint_links(nodes.select("node", "fp"), verified))
-    if links is None:
-        return lowest.select("doc_", "at_")
-    rooted = lowest.join(stored(components(links), "roots"), "node", "left")
-    return rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(low).select("low.*")
+    sets = stored(sets_of(read, WORDS), "pieces")
+    # Pieces hold a set once; the first piece with it stands for all.
+    lowest = stored(sets.groupBy("digest").agg(F.min("node").alias("node")), "sets")
+    links = set_links(read, sets.join(lowest.select("node"), "node", "left_semi"), WORDS, small, lambda nodes: close_prints(read, nodes))
+    rooted = lowest.join(stored(components(links), "roots"), "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
+    first = sets.groupBy("digest").agg(F.min(F.array_min("texts")).alias("low"))
+    return first.join(rooted, "digest").groupBy("root").agg(F.min("low").alias("low")).select("low.*")
 
 
-def one_of_near_copies(docs: DataFrame, sample_rows: int = 16_384) -> DataFrame:
+def one_of_near_copies(docs: DataFrame, small: int = SMALL) -> DataFrame:
     """One row of each component of similar texts."""
     columns = docs.columns
     # Null ids come last. A row is known by its id and its text's hash; rows with both equal are one from here on.
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_")
     key = [doc, F.xxhash64("text").alias("at_")]
-    kept = settled(docs.sparkSession, lambda: _first_rows(docs.select(*key, F.col("text").alias("text_")), sample_rows), "kept")
+    kept = settled(docs.sparkSession, lambda: _first_rows(docs.select(*key, F.col("text").alias("text_")), small), "kept")
     # The row travels as one struct, so no column of the table can clash with those made here. Equal rows combine before they are shuffled.
     rows = docs.select(*key, F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row_")).groupBy("doc_", "at_").agg(F.first("row_").alias("row_"))
     left = rows.join(kept, ["doc_", "at_"], "left_semi")
