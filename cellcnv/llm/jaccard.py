@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -38,7 +39,7 @@ from .common import settled, stored, table
 from .simhash import components
 
 #: Texts and code points of a piece; code points to a bucket, buckets at least.
-PIECE_ROWS, PIECE_CHARS = 8192, 1 << 25
+PIECE_ROWS, PIECE_CHARS = 8192, 1 << 23
 BUCKET_CHARS, BUCKETS = 1 << 24, 64
 CELLS = 32
 SMALL = 8
@@ -75,16 +76,16 @@ def overlap_may_do(most, n, m):
 
 
 def _pieces(batches):
+    """Slices of PIECE_ROWS rows and PIECE_CHARS code points at most, but for single rows with more."""
     for batch in batches:
-        text = batch.column("text_").to_pylist()
-        start = chars = 0
-        for k, t in enumerate(text):
-            if k - start == PIECE_ROWS or k > start and chars + len(t or "") > PIECE_CHARS:
-                yield batch.slice(start, k - start), text[start:k]
-                start, chars = k, 0
-            chars += len(t or "")
-        if text:
-            yield batch.slice(start), text[start:]
+        size = pc.fill_null(pc.utf8_length(batch.column("text_")), 0).to_numpy()
+        ends = np.cumsum(np.append(0, size), dtype=np.int64)
+        start = 0
+        while start < len(batch):
+            stop = int(np.searchsorted(ends, ends[start] + PIECE_CHARS, side="right")) - 1
+            stop = max(start + 1, min(start + PIECE_ROWS, stop))
+            yield batch.slice(start, stop - start)
+            start = stop
 
 
 def _dealt(buckets: int, words_each: int):
@@ -92,26 +93,30 @@ def _dealt(buckets: int, words_each: int):
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        for number, (batch, text) in enumerate(_pieces(batches)):
+        for number, batch in enumerate(_pieces(batches)):
             place: dict[bytes, int] = {}
             sets, own = [], []
-            for t in text:
+            for t in batch.column("text_").to_pylist():
                 found = shingle_hashes(t or "", words_each)
                 digest = xxhash.xxh3_128_digest(found.tobytes())
                 if digest not in place:
                     place[digest] = len(sets)
                     sets.append(found)
                 own.append(place[digest])
+            sizes = [len(s) for s in sets]
             grams = np.concatenate(sets)
-            owner = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
+            del sets
+            owner = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
             order = np.argsort(grams)
             grams, owner = grams[order], owner[order]
-            bucket = ((grams >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
-            cut = np.searchsorted(bucket, np.arange(buckets + 1))
+            del order
+            bucket = (grams >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)
+            cut = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+            del bucket
             some = np.flatnonzero(np.diff(cut))
             low = grams.view(np.uint16).reshape(-1, 4)[:, :3] if len(grams) else np.zeros((0, 3), np.uint16)
             piece = part << 32 | number
-            head = {"docs": batch.column("doc_").to_pylist(), "texts": batch.column("at_").to_pylist(), "own": own, "digests": list(place), "n": [len(s) for s in sets]}
+            head = {"docs": batch.column("doc_").to_pylist(), "texts": batch.column("at_").to_pylist(), "own": own, "digests": list(place), "n": sizes}
             yield pa.RecordBatch.from_pydict(
                 {
                     "bucket": pa.array([*some.tolist(), piece * 7919 % buckets], pa.int32()),
@@ -141,16 +146,23 @@ def _grams(column) -> list[np.ndarray]:
 def _shared(group: pa.Table) -> pa.Table:
     """Of a bucket's rows only the n-grams of two sets or more, with the number of sets."""
     rows = _grams(group.column("grams"))
-    _, place, count = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
-    count = count[place]
     cut = np.cumsum([0, *map(len, rows)])
+    grams = np.concatenate(rows)
+    del rows
+    order = np.argsort(grams)
+    held = grams[order]
+    runs = np.diff(np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1], [True]]))) if len(held) else np.zeros(0, np.int64)
+    del held
+    count = np.empty(len(grams), np.uint32)
+    count[order] = np.repeat(runs.astype(np.uint32), runs)
+    del order
     out: dict[str, list] = {"grams": [], "owners": [], "counts": []}
     for k, (owner, head) in enumerate(zip(group.column("owners").to_pylist(), group.column("head").is_valid().to_pylist())):
         counts = count[cut[k] : cut[k + 1]]
         keep = counts > 1
-        out["grams"].append(None if head else rows[k][keep].tobytes())
+        out["grams"].append(None if head else grams[cut[k] : cut[k + 1]][keep].tobytes())
         out["owners"].append(None if head else np.frombuffer(owner, np.uint16)[keep].tobytes())
-        out["counts"].append(None if head else counts[keep].astype(np.uint32).tobytes())
+        out["counts"].append(None if head else counts[keep].tobytes())
     made = pa.table({"bucket": group.column("bucket"), "piece": group.column("piece"), **{k: pa.array(v, pa.binary()) for k, v in out.items()}, "head": group.column("head").cast(HEAD)})
     return made.filter(pa.array([bool(c) or c is None for c in out["counts"]]))
 
