@@ -9,7 +9,7 @@ A WAND cursor stops only at a pivot: a document at which the bounds of the lists
 threshold. Here that test runs over whole columns instead of one cursor step at a time. Lists are read in groups from
 the largest bound down; after each group the threshold rises to the k-th best score so far, and the documents that are
 still possible pivots are those whose score so far and the block maxima of the unread lists reach it. Blocks without
-one are skipped in every further list. A part of the corpus is searched first, and its k-th best scores are what all
+one are skipped in every further list; in a long list cursors go to the possible pivots alone. A part of the corpus is searched first, and its k-th best scores are what all
 other shards start from. Queries stream from a table in the shared folder.
 
 A query is the set of distinct words of a whole text. Ranks go by score rounded to 6 digits, then doc_id.
@@ -36,6 +36,8 @@ BLOCK = 128
 #: Parts of a query's postings after which the threshold is raised, and documents that are scored at once when no more are left.
 SHARES = np.array([0.2, 0.35, 0.5, 0.7])
 FEW = 16
+#: A list with one in LONG documents of a shard or more also stands as a column of impacts; the longest COLUMNS do at most, others are read block by block.
+LONG, COLUMNS = 4, 512
 #: One row in so many is searched first, for a threshold to begin with.
 AHEAD = 8
 #: What stands for a null doc_id in a shard.
@@ -154,6 +156,20 @@ class ShardIndex:
         self.term_entries = np.searchsorted(term[entry], np.arange(len(self.names) + 1))
         self.term_max = np.maximum.reduceat(self.entry_max, self.term_entries[:-1]) if len(entry) else np.zeros(0, np.float32)
         self.n_blocks = -(-len(ids) // BLOCK)
+        # Long lists also stand as columns, in which a cursor gets to any document at once.
+        sizes = np.diff(self.entry_start[self.term_entries])
+        long = np.flatnonzero(sizes * LONG >= max(1, len(ids)))
+        long = long[np.argsort(-sizes[long], kind="stable")[:COLUMNS]]
+        self.sizes = sizes[long]
+        self.column = np.full(len(self.names), -1, np.int32)
+        self.column[long] = np.arange(len(long))
+        self.columns = np.zeros((len(long), len(ids)), np.float32)
+        self.column_max = np.zeros((len(long), self.n_blocks), np.float32)
+        for k, t in enumerate(long):
+            some = slice(self.term_entries[t], self.term_entries[t + 1])
+            self.column_max[k, self.entry_block[some]] = self.entry_max[some]
+            some = slice(self.entry_start[some.start], self.entry_start[some.stop])
+            self.columns[k, self.doc[some]] = self.impact[some]
         self.block_of = np.arange(len(ids)) // BLOCK
         self.weight = np.zeros(len(self.names))
         self.read = self.listed = 0  # postings of the queries' lists that were read, and all of them
@@ -186,11 +202,17 @@ class ShardIndex:
         first, last = self.term_entries[t], self.term_entries[t + 1]
         length = np.cumsum(self.entry_start[last] - self.entry_start[first])
         group = np.searchsorted(length[-1] * SHARES, length, side="left")
-        entries, n = ranges(first, last), last - first
         # Scores so far are in single precision, so bounds get a margin; what is returned comes from whole scores.
-        weight, of_group = np.repeat(w.astype(np.float32), n), np.repeat(group, n)
+        single, column = w.astype(np.float32), self.column[t]
+        long = column >= 0
+        seek, seek_weight, seek_ends = column[long], single[long], np.searchsorted(group[long], np.arange(len(SHARES) + 2))
+        first, last = first[~long], last[~long]
+        entries, n = ranges(first, last), last - first
+        weight, of_group = np.repeat(single[~long], n), np.repeat(group[~long], n)
         blocks = self.entry_block[entries]
-        bounds = np.bincount(of_group * self.n_blocks + blocks, self.entry_max[entries] * weight, (len(SHARES) + 1) * self.n_blocks).reshape(-1, self.n_blocks)
+        bounds = np.bincount(of_group * self.n_blocks + blocks, self.entry_max[entries] * weight, (len(SHARES) + 1) * self.n_blocks).astype(float).reshape(-1, self.n_blocks)
+        for g, (a, b) in enumerate(zip(seek_ends, seek_ends[1:])):
+            bounds[g] += seek_weight[a:b] @ self.column_max[seek[a:b]]
         left = bounds.sum(axis=0)
         margin = 1e-4 * (1 + left.max())
         score = np.zeros(len(self.ids))
@@ -206,6 +228,15 @@ class ShardIndex:
             self.read += len(postings)
             if len(postings):
                 score += np.bincount(self.doc[postings], self.impact[postings] * np.repeat(weight[ends[g] : ends[g + 1]][pick], stop - start), len(self.ids))
+            # In long lists cursors go to the possible pivots only, or through the whole list while most documents are.
+            some, by = seek[seek_ends[g] : seek_ends[g + 1]], seek_weight[seek_ends[g] : seek_ends[g + 1]]
+            if 4 * len(alive) > len(score):
+                for c, x in zip(some, by):
+                    score += x * self.columns[c]
+                self.read += int(self.sizes[some].sum())
+            elif len(some):
+                score[alive] += by @ self.columns[some[:, None], alive]
+                self.read += len(some) * len(alive)
             left = bounds[g + 1 :].sum(axis=0)
             so_far = score[alive]
             if len(alive) > k:
