@@ -11,6 +11,8 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of some numbers each that are broadcast at most: 12 MB.
+BROADCAST_ROWS = 500_000
 #: Paths of the tables stored on the way to a settled one.
 _ON_THE_WAY: ContextVar[list[str] | None] = ContextVar("on_the_way", default=None)
 
@@ -48,6 +50,11 @@ def stored(df: DataFrame, what: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, most: int | None = None) -> DataFrame:
+    """A stored table, to be broadcast if it is counted to have few rows; many meet others by a shuffle."""
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if most is None else most) else df
+
+
 def settled(spark: SparkSession, make: Callable[[], DataFrame], what: str = "table") -> DataFrame:
     """What make() returns, stored; the tables that it stored on the way are deleted, as nothing depends on them any more."""
     token = _ON_THE_WAY.set([])

@@ -15,8 +15,8 @@ Counting: the n-grams of a piece of the corpus (some thousand texts) are dealt t
 counts them and sends those of two sets or more back to their piece, where prefixes are cut. So whole sets are never
 stored, and a bucket's size is bounded, as their number follows the size of the corpus.
 
-Components: where over SMALL sets meet at an n-gram, all are compared with a few of them, in rounds (1, then 4, then 16
-...), and pairs that are connected by then are left out, so a large group of near-copies takes comparisons in proportion
+Components: where over SMALL sets meet at an n-gram, all are compared with a few of them, in rounds (1, then four times
+as many or more, where that makes no more pairs than there were keys at first), and pairs that are connected by then are left out, so a large group of near-copies takes comparisons in proportion
 to its size. No round holds all pairs of a group; unlike texts that meet and pass all filters are each compared in the end.
 
 Defined results: texts without words have an empty set, linked with nothing, not even each other; rows with equal sets
@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled, stored, table
+from .common import few, settled, stored, table
 from .simhash import components
 
 #: Texts and code points of a piece; code points to a bucket, buckets at least.
@@ -47,8 +47,8 @@ SMALL = 8
 KEY = ["bucket", "gram"]
 #: What stands for a null doc_id.
 LAST = (1 << 63) - 1
-#: Rows (node, doc_, at_) that are broadcast at most: 12 MB.
-BROADCAST_ROWS = 500_000
+#: Meetings, and nodes with what their filters need, that are broadcast at most: 12 MB each.
+MEETING_ROWS, NODE_ROWS = 200_000, 50_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -253,11 +253,11 @@ def _sides(df: DataFrame, *columns: str) -> list[DataFrame]:
 def _compared(pairs: DataFrame, read: DataFrame, nodes: DataFrame, words_each: int) -> DataFrame:
     """a, b and whether they are similar, of the pairs that pass the suffix filter."""
     left, right = _sides(nodes, "n", "cells", "marks")
-    pairs = stored(pairs.join(left, "a").join(right, "b").mapInArrow(_suffixes, "a long, b long"), "pairs")
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    asked = stored(nodes.join(asked, "node", "left_semi").select("node", "text.*"), "asked")
-    # Few nodes go to the texts; many meet them by a shuffle.
-    asked = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
+    if nodes.count() <= NODE_ROWS:
+        left, right = F.broadcast(left), F.broadcast(right)
+    pairs = few(stored(pairs.join(left, "a").join(right, "b").mapInArrow(_suffixes, "a long, b long"), "pairs"))
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    asked = few(stored(nodes.join(few(asked), "node", "left_semi").select("node", "text.*"), "asked"))
     texts = read.join(asked, ["doc_", "at_"]).select("node", "text_").dropDuplicates(["node"])
     sets = stored(texts.mapInArrow(_whole_sets(words_each), "node long, set binary"), "sets")
     left, right = _sides(sets, "set")
@@ -272,35 +272,37 @@ def _meetings(keys: DataFrame, labels: DataFrame | None, pivots: int) -> DataFra
     another label, or no other label has room for it; and only sets with room for their own size need to be pivots, as
     the smaller one of any such pair has. A key without pivots is done with.
     """
-    named = keys.withColumn("label", F.col("node")) if labels is None else keys.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    small = keys.count() <= MEETING_ROWS  # then tables with a row for each key are broadcast
+    some = F.broadcast if small else lambda df: df
+    named = keys.withColumn("label", F.col("node")) if labels is None else keys.join(few(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = named.withColumn("room", 9 * (F.col("n") - F.col("at")) - 4 * F.col("n"))
     of_label = named.groupBy(*KEY, "label").agg(F.count("*").alias("m"), F.min("n").alias("low"), F.max("room").alias("high"))
     ends = of_label.groupBy(*KEY).agg(F.count("*").alias("labels"), F.sum("m").alias("sets"), F.min(F.struct("low", "label")).alias("least"), F.max(F.struct("high", "label")).alias("most")).where("labels > 1")
     # The smallest size and the largest room, and those of all other labels than the one that has them.
-    second = of_label.select(*KEY, "label", "low", "high").join(ends, KEY).groupBy(*KEY).agg(
+    second = of_label.select(*KEY, "label", "low", "high").join(some(ends), KEY).groupBy(*KEY).agg(
         F.first("sets").alias("m"), F.first("least").alias("least"), F.first("most").alias("most"),
         F.min(F.when(F.col("label") != F.col("least.label"), F.col("low"))).alias("low"), F.max(F.when(F.col("label") != F.col("most.label"), F.col("high"))).alias("high"),
     )
     low = F.when(F.col("label") == F.col("least.label"), F.col("low")).otherwise(F.col("least.low"))
     high = F.when(F.col("label") == F.col("most.label"), F.col("high")).otherwise(F.col("most.high"))
-    alive = named.join(second, KEY).where((F.col("room") >= 4 * low) & (high >= 4 * F.col("n"))).select(*KEY, "node", "n", "at", "label", "room", "m")
+    alive = named.join(some(second), KEY).where((F.col("room") >= 4 * low) & (high >= 4 * F.col("n"))).select(*KEY, "node", "n", "at", "label", "room", "m")
     alive = stored(alive, "meetings")
     # The smallest sets come first: what all of a group share is most likely to be most of one of them.
     slots = alive.where("room >= 4 * n").groupBy(*KEY, F.pmod(F.xxhash64("node"), F.lit(pivots)).alias("slot")).agg(F.min(F.struct("n", "node", "at", "label")).alias("p"))
-    return alive.drop("room").join(slots.groupBy(*KEY).agg(F.collect_list("p").alias("p")), KEY)
+    return alive.drop("room").join(some(slots.groupBy(*KEY).agg(F.collect_list("p").alias("p"))), KEY)
 
 
 def _pairs_met(met: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
     """Pairs a < b with their places of meeting that pass the filters of length and position, and the keys that go on."""
-    few, many = met.where(F.col("m") <= small), met.where(F.col("m") > small)
-    other = few.select(*KEY, F.struct("n", "node", "at", "label").alias("q"))
+    close, many = met.where(F.col("m") <= small), met.where(F.col("m") > small)
+    other = few(close.select(*KEY, F.struct("n", "node", "at", "label").alias("q")), MEETING_ROWS)
 
     def fits(q: Column) -> Column:
         rest = F.least(F.col("n") - F.col("at"), q["n"] - q["at"])
         lengths = 5 * F.least(F.col("n"), q["n"]) >= 4 * F.greatest(F.col("n"), q["n"])
         return (F.col("label") != q["label"]) & lengths & overlap_may_do(rest, F.col("n"), q["n"])
 
-    both = few.join(other, KEY).where((F.col("node") < F.col("q.node")) & fits(F.col("q"))).select("node", "n", "at", "label", "q")
+    both = close.join(other, KEY).where((F.col("node") < F.col("q.node")) & fits(F.col("q"))).select("node", "n", "at", "label", "q")
     # In a large group all meet its pivots; a pivot is done with after that.
     both = both.unionByName(many.select("node", "n", "at", "label", F.explode(F.filter("p", fits)).alias("q")).where(F.col("node") != F.col("q.node")))
     first = F.col("node") < F.col("q.node")
@@ -312,7 +314,7 @@ def _pairs_met(met: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
 
 
 def set_links(read: DataFrame, sets: DataFrame, words_each: int, small: int, first=None) -> DataFrame | None:
-    """Links between nodes that connect all similar sets; None if there are none. sets has one row for each distinct set.
+    """node and root of all nodes that are similar to another or connected by such ones; None if there are none. sets has one row for each distinct set.
 
     first(nodes) may give pairs (a, b, at_a, at_b) that are compared before all others.
     """
@@ -321,30 +323,32 @@ def set_links(read: DataFrame, sets: DataFrame, words_each: int, small: int, fir
     every = nodes.select("node", "n", F.explode("keys").alias("k")).select("k.bucket", "k.gram", "node", "n", "k.at")
     shared = every.groupBy(*KEY).count().where("count > 1").select(*KEY)
     keys = settled(spark, lambda: every.join(shared, KEY, "left_semi"), "keys")
-    labels = links = refused = None
+    labels = refused = None
 
     def compare(pairs):
-        nonlocal labels, links, refused
+        nonlocal labels, refused
         found = settled(spark, lambda: _compared(pairs(), read, nodes, words_each), "compared")
         more = found.where("similar").select("a", "b")
-        links = more if links is None else links.unionByName(more)
         no = found.where("NOT similar").select("a", "b")
         refused = no if refused is None else refused.unionByName(no)
         if not more.isEmpty():
+            # What was connected before is a link to its root.
+            links = more if labels is None else more.unionByName(labels.select(F.col("label").alias("a"), F.col("node").alias("b")))
             labels = settled(spark, lambda: components(links).select("node", F.col("root").alias("label")), "labels")
 
     if first is not None:
         compare(lambda: first(nodes))
-    pivots = 1
+    pivots, most = 1, keys.count()
     while True:
         met = stored(_meetings(keys, labels, pivots), "meetings")
         if met.isEmpty():
-            return links
+            return None if labels is None else labels.withColumnRenamed("label", "root")
         pairs, keys = _pairs_met(met, small)
         if refused is not None:
-            pairs = pairs.join(refused, ["a", "b"], "left_anti")
+            pairs = pairs.join(few(refused), ["a", "b"], "left_anti")
         compare(lambda: pairs)  # noqa: B023
-        pivots *= 4
+        # More pivots where that makes no more pairs than there were keys at first.
+        pivots = max(4 * pivots, most // max(1, keys.count()))
 
 
 def similar_texts(docs: DataFrame, words_each: int = 5, small: int = SMALL) -> DataFrame:
@@ -353,11 +357,11 @@ def similar_texts(docs: DataFrame, words_each: int = 5, small: int = SMALL) -> D
     sets = stored(sets_of(read, words_each), "pieces")
     # Pieces hold a set once; the first piece with it stands for all.
     lowest = stored(sets.where("n > 0").groupBy("digest").agg(F.min("node").alias("node")), "sets")
-    links = set_links(read, sets.join(lowest.select("node"), "node", "left_semi"), words_each, small)
-    if links is None:
+    roots = set_links(read, sets.join(lowest.select("node"), "node", "left_semi"), words_each, small)
+    if roots is None:
         rooted = lowest.withColumn("root", F.col("node"))
     else:
-        rooted = lowest.join(stored(components(links), "roots"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rooted = lowest.join(few(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
     # A set has one row a piece at most, so copies meet in few rows.
     named = sets.where("n > 0").groupBy("digest").agg(F.min(F.array_min("texts.doc_")).alias("low")).join(rooted, "digest")
     names = named.groupBy("root").agg(F.min("low").alias("component_id"))

@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled, stored
+from .common import few, settled, stored
 from .jaccard import LAST, SMALL, set_links, sets_of
-from .simhash import components, fingerprint, near_links
+from .simhash import fingerprint, near_links
 
 WORDS = 5
 
@@ -55,8 +55,8 @@ def _first_rows(read: DataFrame, small: int) -> DataFrame:
     sets = stored(sets_of(read, WORDS), "pieces")
     # Pieces hold a set once; the first piece with it stands for all.
     lowest = stored(sets.groupBy("digest").agg(F.min("node").alias("node")), "sets")
-    links = set_links(read, sets.join(lowest.select("node"), "node", "left_semi"), WORDS, small, lambda nodes: close_prints(read, nodes))
-    rooted = lowest.join(stored(components(links), "roots"), "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
+    roots = set_links(read, sets.join(lowest.select("node"), "node", "left_semi"), WORDS, small, lambda nodes: close_prints(read, nodes))
+    rooted = lowest.withColumn("root", F.col("node")) if roots is None else lowest.join(few(roots), "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     first = sets.groupBy("digest").agg(F.min(F.array_min("texts")).alias("low"))
     return first.join(rooted, "digest").groupBy("root").agg(F.min("low").alias("low")).select("low.*")
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled, stored, table, texts
+from .common import few, settled, stored, table, texts
 
 SEED = 42
 #: Points of a shard that are compared with each other without a tree.
@@ -177,29 +177,45 @@ def near_links(nodes: DataFrame, radius: int = 2, shard_rows: int = 1500, sample
     return dealt.groupBy("shard").applyInPandas(compared, "a long, b long")
 
 
+def _forest(batches):
+    """Of each batch of links as few that connect the same nodes, each to the smallest."""
+    for batch in batches:
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = x = root[up]  # noqa: B023
+            return x
+
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+        pairs = [(find(x), x) for x in root]
+        pairs = [p for p in pairs if p[0] != p[1]]
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and root (the smallest node reachable) for every node with a link: alternating large and small stars.
 
-    Each round is written to the shared folder, so its lineage is short and executors may be lost.
+    Each round is written to the shared folder, so its lineage is short and executors may be lost. Links never get more,
+    so repeated ones stay; what a round takes of each node also tells whether the links are stars by now.
     """
-    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-    links = stored(links, "links")
+    links = links.select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b")).where("a < b")
+    links = stored(links.mapInArrow(_forest, "a long, b long"), "links")
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lowest = both.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("a", "low"))
-        large = both.join(lowest, "a").where("b > a").select(F.col("low").alias("a"), "b").where("a < b").distinct()
-        large = stored(large, "links")
-        lowest = large.groupBy("b").agg(F.min("a").alias("low"))
-        small = large.join(lowest, "b").select(F.col("low"), "a", "b")
-        small = small.select(F.col("low").alias("a"), F.when(F.col("a") == F.col("low"), F.col("b")).otherwise(F.col("a")).alias("b")).where("a < b").distinct()
-        small = stored(small, "links")
+        parent = F.when(F.col("b") < F.col("a"), F.col("b"))
         # Done when every node hangs on one root and no root hangs on anything.
-        state = small.agg(F.count("*").alias("n"), F.countDistinct("b").alias("leaves")).first()
-        roots_hang = small.select("a").join(small.select(F.col("b").alias("a")).distinct(), "a", "left_semi").limit(1).count()
-        links = small
-        if state["n"] == state["leaves"] and not roots_hang:
-            break
-    return links.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(links.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+        seen = both.groupBy("a").agg(F.min("b").alias("low"), F.min(parent).alias("root"), F.max(parent).alias("last"), F.max("b").alias("high"))
+        seen = stored(seen.select("a", F.least("a", "low").alias("low"), (F.col("root").isNotNull() & ((F.col("root") != F.col("last")) | (F.col("high") > F.col("a")))).alias("hangs")), "lowest")
+        if seen.where("hangs").isEmpty():
+            return seen.select(F.col("a").alias("node"), F.col("low").alias("root"))
+        large = both.join(few(seen.select("a", "low")), "a").where("b > a").select(F.col("low").alias("a"), "b").where("a < b")
+        large = stored(large, "links")
+        lowest = stored(large.groupBy("b").agg(F.min("a").alias("low")), "lowest")
+        small = large.join(few(lowest), "b").select(F.col("low").alias("a"), F.when(F.col("a") == F.col("low"), F.col("b")).otherwise(F.col("a")).alias("b"))
+        links = stored(small.where("a < b"), "links")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
