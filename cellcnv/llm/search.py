@@ -35,7 +35,7 @@ from .warc import filesystem
 
 K1, B = 1.2, 0.75
 #: Documents in a block, and blocks in a stretch, for each of which is settled anew which lists are long.
-BLOCK, STRETCH = 128, 8
+BLOCK, STRETCH = 256, 8
 #: A list with one in LONG documents of a stretch or more stands there as a column of impacts; the densest do, COLUMNS a stretch on average at most.
 LONG, COLUMNS = 16, 640
 #: Densities at which columns are parted: possible pivots are settled anew after each part.
@@ -43,8 +43,8 @@ SHARES = np.array([0.2, 0.5])
 #: A cursor's way to one document costs as much as SEEK documents of a matrix product, and to load its block as much as FEW queries do.
 SEEK, FEW = 32, 16
 #: Queries that are searched together.
-QUERIES = 256
-#: One row in so many is searched first, for a threshold to begin with.
+QUERIES = 512
+#: One row in so many is searched before the others, for a threshold to begin with.
 AHEAD = 8
 #: What stands for a null doc_id in a shard.
 LOWEST = -(1 << 63)
@@ -156,7 +156,8 @@ class ShardIndex:
         self.n_blocks = -(-n // BLOCK)
         self.size = np.bincount(term, minlength=len(self.names))
         self.weight = np.zeros(len(self.names))
-        self.read = self.listed = 0  # postings of the queries' lists that were read, and all of them
+        self.read = self.listed = 0  # postings of the queries' lists that were read, and all of them, unless they aren't counted
+        self.counting = True
         # Entries: the runs of one term within one stretch. The densest stand as columns of the stretch, in rising density.
         span = BLOCK * STRETCH
         stretch = doc // span
@@ -236,20 +237,21 @@ class ShardIndex:
                 score[i] = np.bincount(read[::2], read.view(np.float32)[1::2] * np.repeat(idf[a:b], stop[a:b] - start[a:b]), n)
         self.read += int((stop - start).sum())
         # Scores so far are in single precision, so thresholds get a margin; what is returned comes from whole scores.
-        bar = lowered(np.asarray(floors, float))
+        bar = lowered(np.asarray(floors, np.float32))
         top = np.full((len(asked), k), -np.inf, np.float32)
         hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for low, columns, slots, stages, peak, filled in self.stretches:
             weight, here = weights[:, slots], score[:, low : low + len(columns)]
-            given = (weight > 0).astype(np.float32)
-            left = np.zeros((len(stages) + 1, *(len(asked), peak.shape[1])), np.float32)
-            postings = np.empty((len(stages), len(asked), peak.shape[1]), np.float32)
+            n_blocks = peak.shape[1]
+            left = np.zeros((len(stages) + 1, len(asked), n_blocks), np.float32)
             for g, (a, b) in reversed([*enumerate(stages)]):
                 left[g] = left[g + 1] + weight[:, a:b] @ peak[a:b]
-                postings[g] = given[:, a:b] @ filled[a:b]
+            if self.counting:
+                given = (weight > 0).astype(np.float32)
+                postings = np.stack([given[:, a:b] @ filled[a:b] for a, b in stages])
             bound = left[0] + np.maximum.reduceat(here, np.arange(0, len(columns), BLOCK), axis=1)
-            for block in range(peak.shape[1]):
-                rows = np.flatnonzero((bound[:, block] >= bar) & (bound[:, block] > 0))
+            for block in range(n_blocks):
+                rows = np.flatnonzero(bound[:, block] >= bar)
                 if not len(rows):
                     continue
                 some = columns[block * BLOCK : (block + 1) * BLOCK]
@@ -257,8 +259,7 @@ class ShardIndex:
                 q = None
                 for g, (a, b) in enumerate([*stages, (0, 0)]):
                     if q is None:
-                        alive = s + left[g, rows, block][:, None]
-                        alive = (alive >= bar[rows, None]) & (alive > 0)
+                        alive = s >= (bar[rows] - left[g, rows, block])[:, None]
                         pairs = np.count_nonzero(alive)
                         if pairs * SEEK <= (len(rows) + FEW) * len(some) or g == len(stages):
                             q, d = np.nonzero(alive)
@@ -268,14 +269,15 @@ class ShardIndex:
                             if not going.all():
                                 rows, s = rows[going], s[going]
                             s += weight[rows, a:b] @ some[:, a:b].T
-                            self.read += int(postings[g, rows, block].sum())
+                            if self.counting:
+                                self.read += int(postings[g, rows, block].sum())
                     else:
-                        on = s + left[g, q, block]
-                        on = (on >= bar[q]) & (on > 0)
+                        on = s >= bar[q] - left[g, q, block]
                         q, d, s = q[on], d[on], s[on]
                     if q is not None and b > a and len(q):
                         s = s + np.einsum("ij,ij->i", weight[q, a:b], some[d, a:b])
-                        self.read += int(given[q, a:b].sum())
+                        if self.counting:
+                            self.read += int(given[q, a:b].sum())
                 if len(q):
                     hits.append((q, d + (low + block * BLOCK), s))
                     rows, at = np.unique(q, return_inverse=True)
@@ -283,7 +285,7 @@ class ShardIndex:
                     new[:, :k] = top[rows]
                     new[at, k + d] = s
                     top[rows] = np.partition(new, len(some), axis=1)[:, len(some) :]
-                    bar[rows] = np.maximum(bar[rows], lowered(top[rows].min(axis=1).astype(float)))
+                    bar[rows] = np.maximum(bar[rows], lowered(top[rows].min(axis=1)))
         q, d, s = (np.concatenate(c) for c in zip(*hits)) if hits else (np.zeros(0, np.int64),) * 3
         keep = s >= bar[q]
         q, d = q[keep], d[keep]
@@ -305,8 +307,8 @@ class ShardIndex:
 
 
 def lowered(threshold: np.ndarray) -> np.ndarray:
-    """A threshold that no document with that score misses, when scores are summed in single precision and rounded to 6 digits."""
-    return threshold * np.where(threshold > 0, 1 - 2e-4, 1.0) - 1e-5
+    """What no document with such a score misses, when scores are summed in single precision and rounded to 6 digits; above zero."""
+    return np.maximum(threshold * np.float32(1 - 2e-4) - np.float32(1e-5), np.finfo(np.float32).tiny)
 
 
 def parts_of(batches, most_bytes: int):
@@ -319,9 +321,10 @@ def parts_of(batches, most_bytes: int):
                 yield batch.slice(a, b - a)
 
 
-def _written(df: DataFrame) -> str:
-    path = fresh_path(df.sparkSession, "queries")
-    df.write.parquet(path)
+def _written(queries: DataFrame) -> str:
+    """Queries with the same most common word, and then with about as many words, stand together, so that they share lists and blocks."""
+    path = fresh_path(queries.sparkSession, "queries")
+    queries.orderBy(F.expr("element_at(terms, cast(array_position(idf, array_min(idf)) as int))"), F.size("terms")).write.parquet(path)
     return path
 
 
@@ -331,7 +334,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard_docs: int = 1
     Rows are dealt in turn, whatever their ids are, to partitions of shard_docs rows and shard_words words at most on
     average; a partition that gets half as much again is searched as several shards, which bounds the memory of a task.
     One row in AHEAD is searched first; the k-th best score there is what every other shard starts from, so the more
-    rows there are, the more is pruned. Every shard reads all queries: work grows with queries times shards.
+    rows there are, the more is pruned. Before those, one in AHEAD of them is, and so on, as long as that fills a shard. Every shard reads all queries: work grows with queries times shards.
     """
     docs, queries = texts(docs), texts(queries)
     counted = stored(statistics(docs), "terms")
@@ -352,13 +355,23 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard_docs: int = 1
         run = shard_search(_written(asked), k, mean_length, shard_docs * 3 // 2, shard_words * 12)
         return part.withColumn("doc_id", F.coalesce("doc_id", F.lit(LOWEST))).repartition(n_shards).mapInArrow(run, "query_id long, doc_id long, score double")
 
-    ahead = F.pmod(F.xxhash64("doc_id"), F.lit(AHEAD)) == 0
-    n_ahead = docs.where(ahead).count()
-    first = stored(best(hits_in(docs.where(ahead), n_ahead, asked)).drop("rank"), "hits")
-    floors = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") == k)
-    raised = asked.join(floors, "query_id", "left").select("query_id", "terms", "idf", F.coalesce("least", "floor").alias("floor"))
-    others = hits_in(docs.where(~ahead), n_docs - n_ahead, raised)
-    return best(first.unionByName(others)).select("query_id", F.when(F.col("doc_id") != LOWEST, F.col("doc_id")).alias("doc_id"), "score", "rank")
+    def raised(hits: DataFrame) -> DataFrame:
+        floors = hits.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") == k)
+        return asked.join(floors, "query_id", "left").select("query_id", "terms", "idf", F.coalesce("least", "floor").alias("floor"))
+
+    levels = 1
+    while n_docs // AHEAD ** (levels + 1) >= shard_docs:
+        levels += 1
+    found, n_found, done = None, 0, F.lit(False)
+    for level in range(levels, -1, -1):
+        here = F.pmod(F.xxhash64("doc_id"), F.lit(AHEAD**level)) == 0
+        part = docs.where(here & ~done)
+        n = part.count() if level else n_docs - n_found
+        hits = hits_in(part, n, asked if found is None else raised(found))
+        hits = best(hits if found is None else found.unionByName(hits))
+        if level:
+            found, n_found, done = stored(hits.drop("rank"), "hits"), n_found + n, here
+    return hits.select("query_id", F.when(F.col("doc_id") != LOWEST, F.col("doc_id")).alias("doc_id"), "score", "rank")
 
 
 def shard_search(path: str, k: int, mean_length: float, most_docs: int, most_bytes: int):
@@ -367,6 +380,7 @@ def shard_search(path: str, k: int, mean_length: float, most_docs: int, most_byt
     def answers(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         shard = pa.Table.from_batches(held)
         index = ShardIndex(shard["doc_id"].to_numpy(), shard["text"], mean_length)
+        index.counting = False
         where, root = filesystem(path)
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in pyarrow.dataset.dataset(root, filesystem=where, format="parquet").to_batches(batch_size=QUERIES):

@@ -76,3 +76,16 @@ def test_a_shard_reads_its_columns_for_many_queries_at_once(monkeypatch, tmp_pat
     for q, d in zip(hits["query_id"].to_pylist(), hits["doc_id"].to_pylist()):
         found.setdefault(q, []).append(d)
     assert found == {q: [d for d in np.lexsort((np.arange(len(texts)), -score))[:k].tolist() if score[d] > 0] for q, _, _, score in queries}
+
+
+@pytest.mark.parametrize("shard_docs", [3, 40, 1000])
+def test_searched_in_several_steps(spark, shard_docs):
+    texts, k = corpus(450), 4
+    _, one = scores_of(texts)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {}
+    for r in search.search(rows, rows.where("doc_id % 5 = 0"), k=k, shard_docs=shard_docs).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append(r["doc_id"])
+    for q in range(0, len(texts), 5):
+        score = one(q)[2]
+        assert found.get(q, []) == [d for d in np.lexsort((np.arange(len(texts)), -score))[:k].tolist() if score[d] > 0]
