@@ -379,11 +379,13 @@ def shard_search(path: str, k: int, mean_length: float, most_docs: int, most_byt
 
     def answers(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         shard = pa.Table.from_batches(held)
+        held.clear()
         index = ShardIndex(shard["doc_id"].to_numpy(), shard["text"], mean_length)
+        del shard
         index.counting = False
         where, root = filesystem(path)
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for batch in pyarrow.dataset.dataset(root, filesystem=where, format="parquet").to_batches(batch_size=QUERIES):
+        for batch in pyarrow.dataset.dataset(root, filesystem=where, format="parquet").to_batches(batch_size=QUERIES, batch_readahead=1, fragment_readahead=1):
             asked = [(t.values.to_numpy(), w.values.to_numpy()) for t, w in zip(batch.column("terms"), batch.column("idf"))]
             floors = batch.column("floor").to_numpy()
             for query, (ids, scores) in zip(batch.column("query_id").to_pylist(), index.search_many(asked, floors, k)):
