@@ -42,8 +42,8 @@ LONG, COLUMNS = 16, 640
 SHARES = np.array([0.2, 0.5])
 #: A cursor's way to one document costs as much as SEEK documents of a matrix product, and to load its block as much as FEW queries do.
 SEEK, FEW = 32, 16
-#: Queries that are searched together.
-QUERIES = 512
+#: Queries that are searched together, and about how many terms they have at most.
+QUERIES, QUERY_TERMS = 512, 400_000
 #: One row in so many is searched before the others, for a threshold to begin with.
 AHEAD = 8
 #: What stands for a null doc_id in a shard.
@@ -386,10 +386,13 @@ def shard_search(path: str, k: int, mean_length: float, most_docs: int, most_byt
         where, root = filesystem(path)
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in pyarrow.dataset.dataset(root, filesystem=where, format="parquet").to_batches(batch_size=QUERIES, batch_readahead=1, fragment_readahead=1):
-            asked = [(t.values.to_numpy(), w.values.to_numpy()) for t, w in zip(batch.column("terms"), batch.column("idf"))]
-            floors = batch.column("floor").to_numpy()
-            for query, (ids, scores) in zip(batch.column("query_id").to_pylist(), index.search_many(asked, floors, k)):
-                out.append((np.full(len(ids), query, np.int64), ids, scores))
+            ends = np.cumsum(pc.list_value_length(batch.column("terms")).to_numpy(), dtype=np.int64)
+            cuts = [0, *np.flatnonzero(np.diff(ends // QUERY_TERMS, prepend=0)).tolist(), batch.num_rows]
+            for part in (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a):
+                asked = [(t.values.to_numpy(), w.values.to_numpy()) for t, w in zip(part.column("terms"), part.column("idf"))]
+                floors = part.column("floor").to_numpy()
+                for query, (ids, scores) in zip(part.column("query_id").to_pylist(), index.search_many(asked, floors, k)):
+                    out.append((np.full(len(ids), query, np.int64), ids, scores))
         columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0)] * 3
         return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "doc_id", "score"])
 

@@ -59,7 +59,8 @@ def test_queries_together(monkeypatch, options):
     assert index.search_many([], np.zeros(0), k) == []
 
 
-def test_a_shard_reads_its_columns_for_many_queries_at_once(monkeypatch, tmp_path):
+@pytest.mark.parametrize("most_terms", [None, 300, 1])
+def test_a_shard_reads_its_columns_for_many_queries_at_once(monkeypatch, tmp_path, most_terms):
     def alone(*args, **options):
         raise AssertionError("a query was searched on its own")
 
@@ -70,8 +71,15 @@ def test_a_shard_reads_its_columns_for_many_queries_at_once(monkeypatch, tmp_pat
     pq.write_table(pa.table(table), tmp_path / "part.parquet")
     monkeypatch.setattr(search.ShardIndex, "search", alone)
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    if most_terms:
+        monkeypatch.setattr(search, "QUERY_TERMS", most_terms)
+    together = []
+    many = search.ShardIndex.search_many
+    monkeypatch.setattr(search.ShardIndex, "search_many", lambda self, asked, *rest: together.append([len(t) for t, _ in asked]) or many(self, asked, *rest))
     run = search.shard_search(str(tmp_path), k, mean, 10_000, 1 << 24)
     (hits,) = run([batch])
+    assert sum(map(len, together)) == len(queries)
+    assert len(together) == 1 if not most_terms else all(len(n) == 1 or sum(n) <= 2 * most_terms for n in together)
     found = {}
     for q, d in zip(hits["query_id"].to_pylist(), hits["doc_id"].to_pylist()):
         found.setdefault(q, []).append(d)
